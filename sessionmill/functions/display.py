@@ -1,99 +1,102 @@
-"""Display columns: money, counts, durations, shares, mood.
+"""Display expressions: money, counts, durations, shares, mood.
+
+Everything here takes and returns SQL expression text, to be used in ``expr`` or
+``selectExpr``: a page has dozens of these columns, and one text is parsed in
+one step where building the same tree call by call takes most of a second.
 
 Fixed-point text follows C's printf, which rounds the exact binary value of the
 double (0.15 -> '0.1', 12.25 -> '12.2').  Spark's own formatters round the
-decimal text half up, so ``fixed`` decides the last digit itself.  It stays
-inside generated code and needs no Python worker.
+decimal text half up, so ``fixed`` decides the last digit itself, without a
+Python worker.  Display columns belong on result rows, after aggregation.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-_EXACT_LIMIT = float(2**52)
+def _let(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` bound to a value that is evaluated once.
+
+    Without it every nested use repeats the whole expression, and a projection
+    with a dozen display columns outgrows what the JVM compiles as one method.
+    """
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def fixed(value: Column, places: int) -> Column:
+def fixed(value: str, places: int) -> str:
     """printf('%.<places>f') of a double."""
-    scale = float(10**places)
-    value = value.cast("double")
-    scaled = value * scale
-    floor = F.floor(scaled)
-    # Distance of value * scale from the tie above ``floor``.  Splitting the
-    # value at float precision makes both products exact, so the sign is too;
-    # on a tie the tiny odd term sends the result to the even neighbour.
-    coarse = value.cast("float").cast("double")
-    beyond_tie = (coarse * scale - (floor + 0.5)) + (value - coarse) * scale
-    odd = F.pmod(floor, F.lit(2)) * 1e-300
-    digits = floor + F.when(beyond_tie + odd > 0, 1).otherwise(0)
-    one = F.lit("0." + "0" * (places - 1) + "1").cast(f"decimal({places},{places})")
-    exact = (digits.cast("decimal(19,0)") * one).cast("string")
-    return F.when(F.abs(scaled) < _EXACT_LIMIT, exact).otherwise(F.format_string(f"%.{places}f", value))
-
-
-def money(value: Column, places: int = 4) -> Column:
-    return F.concat(F.lit("$"), fixed(value, places))
-
-
-def human_count(n: Column, largest: str = "B") -> Column:
+    scale = f"{10**places}D"
+    one = f"{'0.' + '0' * (places - 1) + '1'}BD"
+    floor = f"floor(x * {scale})"
+    # Distance of x * scale from the tie above the floor.  Splitting x at float
+    # precision makes both products exact, so the sign is too; on a tie the tiny
+    # odd term sends the result to the even neighbour.
+    coarse = "double(float(x))"
+    beyond_tie = f"({coarse} * {scale} - ({floor} + 0.5D)) + (x - {coarse}) * {scale}"
+    digits = f"{floor} + if({beyond_tie} + pmod({floor}, 2) * 1e-300D > 0, 1, 0)"
+    return _let(
+        f"double({value})",
+        "x",
+        f"CASE WHEN abs(x * {scale}) < {2**52}D THEN string(CAST({digits} AS DECIMAL(19,0)) * {one}) "
+        f"WHEN x IS NOT NULL THEN format_string('%.{places}f', x) END",
+    )
+
+
+def money(value: str, places: int = 4) -> str:
+    return f"concat('$', {fixed(value, places)})"
+
+
+def human_count(n: str, largest: str = "B") -> str:
     """1234 -> '1.2K'; ``largest`` caps the unit."""
-    steps = [("K", 10**3), ("M", 10**6), ("B", 10**9)]
+    steps = [("K", "1e3"), ("M", "1e6"), ("B", "1e9")]
     steps = steps[: [name for name, _ in steps].index(largest) + 1]
-    text = F.when(n < 1000, n.cast("string"))
-    for i, (name, size) in enumerate(steps):
-        scaled = F.concat(fixed(n / float(size), 1), F.lit(name))
-        text = text.otherwise(scaled) if i == len(steps) - 1 else text.when(n < size * 1000, scaled)
-    return text
+    suffix, unit = f"'{steps[-1][0]}'", f"{steps[-1][1]}D"
+    for (name, size), (_, next_size) in reversed(list(zip(steps, steps[1:]))):
+        unit = f"if(n < {next_size}, {size}D, {unit})"
+        suffix = f"if(n < {next_size}, '{name}', {suffix})"
+    return _let(n, "n", f"if(n < 1000, string(n), concat({fixed(f'n / {unit}', 1)}, {suffix}))")
 
 
-def token_breakdown(in_tok: Column, out_tok: Column, cache_tok: Column) -> Column:
-    return F.concat(
-        human_count(in_tok), F.lit(" in / "), human_count(out_tok), F.lit(" out / "), human_count(cache_tok),
-        F.lit(" cache"),
-    )
+def token_breakdown(in_tok: str, out_tok: str, cache_tok: str) -> str:
+    parts = (human_count(in_tok), "' in / '", human_count(out_tok), "' out / '", human_count(cache_tok), "' cache'")
+    return f"concat({', '.join(parts)})"
 
 
-def human_duration(seconds: Column) -> Column:
+def human_duration(seconds: str) -> str:
     """'-', '42s', '3m 5s' or '2h 10m' of whole seconds."""
-    minutes = F.floor(seconds / 60).cast("string")
-    hours = F.floor(seconds / 3600).cast("string")
-    return (
-        F.when(seconds <= 0, "-")
-        .when(seconds < 60, F.concat(seconds.cast("string"), F.lit("s")))
-        .when(seconds < 3600, F.concat(minutes, F.lit("m "), (seconds % 60).cast("string"), F.lit("s")))
-        .otherwise(F.concat(hours, F.lit("h "), F.floor((seconds % 3600) / 60).cast("string"), F.lit("m")))
+    return _let(
+        seconds,
+        "s",
+        "CASE WHEN s <= 0 THEN '-' WHEN s < 60 THEN concat(s, 's') "
+        "WHEN s < 3600 THEN concat(s div 60, 'm ', s % 60, 's') "
+        "WHEN s IS NOT NULL THEN concat(s div 3600, 'h ', (s % 3600) div 60, 'm') END",
     )
 
 
-def percent(part: Column, whole: Column) -> Column:
-    return F.when(whole == 0, "0%").otherwise(
-        F.concat(fixed(part * 100.0 / _nonzero(whole), 1), F.lit("%"))
-    )
+def percent(part: str, whole: str) -> str:
+    return f"if({whole} = 0, '0%', concat({fixed(_over(f'{part} * 100D', whole), 1)}, '%'))"
 
 
-def ratio(part: Column, whole: Column, places: int, empty: str) -> Column:
-    return F.when(whole == 0, empty).otherwise(fixed(part / _nonzero(whole), places))
+def ratio(part: str, whole: str, places: int, empty: str) -> str:
+    return f"if({whole} = 0, '{empty}', {fixed(_over(part, whole), places)})"
 
 
-def money_ratio(part: Column, whole: Column, places: int = 4) -> Column:
-    return F.concat(F.lit("$"), ratio(part, whole, places, "0." + "0" * places))
+def money_ratio(part: str, whole: str, places: int = 4) -> str:
+    return f"concat('$', {ratio(part, whole, places, '0.' + '0' * places)})"
 
 
-def round_even(value: Column) -> Column:
+def round_even(value: str) -> str:
     """Double to whole number, halves to even."""
-    return F.rint(value).cast("bigint")
+    return f"bigint(rint({value}))"
 
 
-def feel_points(severity: Column) -> Column:
-    return F.when(severity == "strong", 3).when(severity == "moderate", 2).otherwise(1)
+def feel_points(severity: str) -> str:
+    return f"CASE {severity} WHEN 'strong' THEN 3 WHEN 'moderate' THEN 2 ELSE 1 END"
 
 
-def mood(feel: Column) -> Column:
-    return (
-        F.when(feel == 0, "calm").when(feel <= 3, "irked").when(feel <= 9, "frustrated").otherwise("furious")
-    )
+def mood(feel: str) -> str:
+    return f"CASE WHEN {feel} = 0 THEN 'calm' WHEN {feel} <= 3 THEN 'irked' WHEN {feel} <= 9 THEN 'frustrated' ELSE 'furious' END"
 
 
-def _nonzero(n: Column) -> Column:
-    return F.nullif(n.cast("double"), F.lit(0.0))
+def _over(part: str, whole: str) -> str:
+    """Division that gives NULL, not an error, where a guard has already dealt with zero."""
+    return f"({part}) / nullif(double({whole}), 0D)"

@@ -3,7 +3,8 @@
 ``asof`` gives every point the latest state at or before it (or, forward, the
 earliest at or after it) within its key.  The usual case is one shuffle and one
 running window per key.  A key that holds a large part of all rows would make
-that window one endless task, so hot keys are laid out in several partitions:
+that window one endless task, so the keys are counted first and hot ones are
+laid out in several partitions:
 
 * their states are collapsed to one per instant,
 * state quantiles cut the key's time line into buckets, and each bucket starts
@@ -29,9 +30,10 @@ QUANTILES = 1024
 class Skew:
     """When a key counts as hot and how finely it is split.
 
-    Only the ``max_keys`` largest keys are split, which bounds what is broadcast
-    (at most ``max_keys`` rows of ``QUANTILES`` cuts).  Any key beyond them holds
-    less than 1 / ``max_keys`` of the rows and stays one partition.
+    Only the ``max_keys`` largest keys are split, which bounds what the driver
+    and the broadcasts hold: ``max_keys`` rows of at most ``QUANTILES`` cuts.
+    Any key beyond them holds less than 1 / ``max_keys`` of the rows and stays
+    one partition.
     """
 
     min_rows: int = 1_000_000
@@ -69,11 +71,12 @@ def asof(
     point_columns = [F.col(f"`{c}`") for c in points.columns]
     point_rows = points.where(matchable).select(*keys, instant.alias("_at"), F.struct(*point_columns).alias("_point"))
 
-    if skew is None:
+    hot = hot_keys(point_rows.select(*keys).unionByName(state_rows.select(*keys)), keys, skew) if skew else None
+    if hot is None:
         point_rows = point_rows.withColumns({"_bucket": F.lit(0), "_salt": F.lit(0)})
         state_rows = state_rows.withColumns({"_bucket": F.lit(0), "_salt": F.lit(0)})
     else:
-        point_rows, state_rows = _lay_out(point_rows, state_rows, keys, skew)
+        point_rows, state_rows = _lay_out(point_rows, state_rows, keys, skew, hot)
 
     both = point_rows.unionByName(state_rows, allowMissingColumns=True)
     # On one instant states (no point) come first, the largest last.
@@ -93,31 +96,38 @@ def asof(
     return found.unionByName(never)
 
 
-def hot_keys(rows: DataFrame, keys: Sequence[str], skew: Skew) -> DataFrame:
-    """The largest keys at or above ``skew.min_rows``, at most ``skew.max_keys``."""
-    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    return (
-        counted.where(F.col("_rows") >= skew.min_rows)
-        .orderBy(F.desc("_rows"), *keys)
-        .limit(skew.max_keys)
-        .select(*keys)
-    )
+def hot_keys(rows: DataFrame, keys: Sequence[str], skew: Skew) -> DataFrame | None:
+    """The largest keys at or above ``skew.min_rows``, at most ``skew.max_keys``; None if there are none.
+
+    Runs one job over the key columns, pre-aggregated before its shuffle.
+    """
+    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= skew.min_rows)
+    return _held(counted.orderBy(F.desc("_rows"), *keys).limit(skew.max_keys).select(*keys))
+
 
+def _held(small: DataFrame) -> DataFrame | None:
+    """A frame of bounded size as a local relation, so that plans using it repeatedly stay small."""
+    rows = small.collect()
+    return small.sparkSession.createDataFrame(rows, small.schema) if rows else None
 
-def _lay_out(points: DataFrame, states: DataFrame, keys: list[str], skew: Skew) -> tuple[DataFrame, DataFrame]:
+
+def _lay_out(
+    points: DataFrame, states: DataFrame, keys: list[str], skew: Skew, hot: DataFrame
+) -> tuple[DataFrame, DataFrame]:
     """Both inputs with the ``_bucket`` and ``_salt`` that spread hot keys."""
-    hot = hot_keys(points.select(*keys).unionByName(states.select(*keys)), keys, skew)
     collapsed = (
         states.join(F.broadcast(hot), keys, "left_semi").groupBy(*keys, "_at").agg(F.max("_state").alias("_state"))
     )
-    cuts = hot.join(_cuts(collapsed, keys, skew), keys, "left").select(
-        *keys, F.coalesce("_cuts", F.array().cast("array<bigint>")).alias("_cuts")
-    )
-
-    # One row per hot key: its cuts and how many salts each crowded bucket gets.
-    crowded = (
+    layout = hot.withColumn("_hot", F.lit(True))
+    cuts = _held(_cuts(collapsed, keys, skew))
+    layout = layout.withColumn("_cuts", F.array().cast("array<bigint>")) if cuts is None else layout.join(
+        cuts, keys, "left"
+    ).withColumn("_cuts", F.coalesce("_cuts", F.array().cast("array<bigint>")))
+
+    # How many salts each crowded bucket gets.
+    crowded = _held(
         points.select(*keys, "_at")
-        .join(F.broadcast(cuts), keys)
+        .join(F.broadcast(layout), keys)
         .groupBy(*keys, _bucket_of(F.col("_at")).alias("_bucket"))
         .agg(F.count(F.lit(1)).alias("_rows"))
         .where(F.col("_rows") > skew.rows_per_task)
@@ -125,17 +135,20 @@ def _lay_out(points: DataFrame, states: DataFrame, keys: list[str], skew: Skew)
         .groupBy(*keys)
         .agg(F.map_from_entries(F.collect_list(F.struct("_bucket", "_salts"))).alias("_crowded"))
     )
-    layout = F.broadcast(cuts.join(crowded, keys, "left").withColumn("_hot", F.lit(True)))
+    layout = (
+        layout.withColumn("_crowded", F.create_map().cast("map<int,int>")) if crowded is None
+        else layout.join(crowded, keys, "left")
+    )
+    layout = F.broadcast(layout)
 
     bucket = F.when(F.col("_hot"), _bucket_of(F.col("_at"))).otherwise(0)
     salts = F.coalesce(F.try_element_at("_crowded", "_bucket"), F.lit(1))
-    dropped = ["_cuts", "_crowded", "_hot"]
 
     placed_points = (
         points.join(layout, keys, "left")
         .withColumn("_bucket", bucket)
         .withColumn("_salt", F.pmod(F.monotonically_increasing_id(), salts).cast("int"))
-        .drop(*dropped)
+        .drop("_cuts", "_crowded", "_hot")
     )
     cold_states = states.join(F.broadcast(hot), keys, "left_anti").withColumns(
         {"_bucket": F.lit(0), "_salt": F.lit(0)}

@@ -11,21 +11,10 @@ from sessionmill.operators.attribution import attribute_tools
 from sessionmill.schemas import SESSION_KEY, USAGE_KEY
 
 
-def _count_if(condition: Column) -> Column:
-    return F.count_if(F.coalesce(condition, F.lit(False)))
-
-
-def _zero(total: Column, kind: str = "bigint") -> Column:
-    return F.coalesce(total, F.lit(0)).cast(kind)
-
-
 def model_tools(events: DataFrame, skew: Skew | None = Skew()) -> DataFrame:
     """Tool calls and tool errors per session, model, provider and tool."""
-    return (
-        attribute_tools(events, skew=skew)
-        .groupBy(*USAGE_KEY, "tool")
-        .agg(F.count(F.lit(1)).alias("count"), _count_if(F.col("is_error") == 1).alias("errors"))
-    )
+    calls = attribute_tools(events, skew=skew).groupBy(*USAGE_KEY, "tool")
+    return calls.agg(F.expr("count(1)").alias("count"), F.expr("count_if(is_error = 1)").alias("errors"))
 
 
 def session_model_stats(events: DataFrame, tools: DataFrame) -> DataFrame:
@@ -35,95 +24,86 @@ def session_model_stats(events: DataFrame, tools: DataFrame) -> DataFrame:
     is only ever attributed to a model with a turn, so the second kind of row
     adds no keys; grouping treats a NULL provider as a value.
     """
-    tokens = F.col("in_tok") + F.col("out_tok") + F.col("cache_tok")
-    used = F.coalesce((F.col("cost") != 0) | (tokens > 0), F.lit(False))
-    turned = F.coalesce(F.col("is_turn") == 1, F.lit(False))
-    raw = F.when(F.col("raw_model") != "", F.col("raw_model"))
-    own = (
-        events.where((F.col("model") != "") & (used | turned))
-        .select(
-            *USAGE_KEY,
-            F.when(used, raw).alias("used_raw"),
-            F.when(turned, raw).alias("turned_raw"),
-            F.when(turned, 1).otherwise(0).cast("bigint").alias("turns"),
-            *[F.when(used, F.col(c)).alias(c) for c in ("cost", "in_tok", "out_tok", "cache_tok")],
-        )
+    used = "coalesce(cost <> 0 OR in_tok + out_tok + cache_tok > 0, false)"
+    turned = "coalesce(is_turn = 1, false)"
+    own = events.where(f"model <> '' AND ({used} OR {turned})").selectExpr(
+        *USAGE_KEY,
+        f"if({used} AND raw_model <> '', raw_model, NULL) AS used_raw",
+        f"if({turned} AND raw_model <> '', raw_model, NULL) AS turned_raw",
+        f"bigint({turned}) AS turns",
+        *[f"if({used}, {n}, NULL) AS {n}" for n in ("cost", "in_tok", "out_tok", "cache_tok")],
     )
     attributed = tools.select(*USAGE_KEY, F.col("count").alias("tools"), "errors")
     merged = own.unionByName(attributed, allowMissingColumns=True).groupBy(*USAGE_KEY)
+    sums = ("turns", "cost", "in_tok", "out_tok", "cache_tok", "tools", "errors")
     return merged.agg(
-        F.coalesce(F.min("used_raw"), F.min("turned_raw")).alias("raw_model"),
-        _zero(F.sum("turns")).alias("turns"),
-        _zero(F.sum("cost"), "double").alias("cost"),
-        *[_zero(F.sum(c)).alias(c) for c in ("in_tok", "out_tok", "cache_tok", "tools", "errors")],
-    ).select(*SESSION_KEY, "raw_model", "model", "provider", "turns", "cost", "in_tok", "out_tok", "cache_tok",
-             "tools", "errors")
+        F.expr("coalesce(min(used_raw), min(turned_raw))").alias("raw_model"),
+        *[F.expr(f"coalesce(sum({n}), {'0D' if n == 'cost' else '0L'})").alias(n) for n in sums],
+    ).select(*SESSION_KEY, "raw_model", "model", "provider", *sums)
 
 
-def sessions(events: DataFrame, tools: DataFrame, stats: DataFrame) -> DataFrame:
-    """One row per session that has a valid time.
+def session_facts(events: DataFrame) -> DataFrame:
+    """One row per session that has a valid time: all that its own events tell.
 
-    All inputs of the joins are grouped by the session key, so they are already
-    co-partitioned and a reader that needs only a few columns lets the optimiser
-    drop the joins it does not use.
+    A reader that needs only a few columns lets the optimiser drop the join it
+    does not use.
     """
-    positive = F.when(F.col("ts") > 0, F.col("ts"))
     base = events.groupBy(*SESSION_KEY).agg(
-        F.min(positive).alias("start_time"),
-        F.max(positive).alias("end_time"),
+        F.expr("min(if(ts > 0, ts, NULL))").alias("start_time"),
+        F.expr("max(if(ts > 0, ts, NULL))").alias("end_time"),
         F.min("project").alias("project"),
         F.max("session_cwd").alias("cwd"),
-        F.array_sort(F.collect_set("model")).alias("_models"),
-        F.sum("cost").alias("cost"),
-        F.sum("in_tok").alias("in_tok"),
-        F.sum("out_tok").alias("out_tok"),
-        F.sum("cache_tok").alias("cache_tok"),
-        _count_if(F.col("is_user") == 1).alias("user_turns"),
-        _count_if(F.col("is_turn") == 1).alias("agent_turns"),
-        _count_if(F.col("is_error") == 1).alias("errors"),
-    ).where(F.col("start_time").isNotNull())
-
-    return (
-        base.join(_tool_maps(events), SESSION_KEY, "left")
-        .join(_model_tool_lists(tools), SESSION_KEY, "left")
-        .join(_model_stat_lists(stats), SESSION_KEY, "left")
-        .select(
-            *SESSION_KEY,
-            "start_time",
-            "end_time",
-            ((F.col("end_time") - F.col("start_time")) / F.lit(1000)).alias("duration_sec"),
-            "project",
-            "cwd",
-            F.when(F.size("_models") > 0, F.col("_models")).alias("models"),
-            "cost",
-            "in_tok",
-            "out_tok",
-            "cache_tok",
-            "user_turns",
-            "agent_turns",
-            "errors",
-            _zero(F.col("tool_count")).alias("tool_count"),
-            _zero(F.col("tool_error_count")).alias("tool_error_count"),
-            F.coalesce("tool_breakdown", F.create_map().cast("map<string,bigint>")).alias("tool_breakdown"),
-            F.coalesce("tool_error_breakdown", F.create_map().cast("map<string,bigint>")).alias(
-                "tool_error_breakdown"
-            ),
-            F.coalesce("model_tool_breakdown", F.array()).alias("model_tool_breakdown"),
-            F.coalesce("model_stats", F.array()).alias("model_stats"),
-        )
+        F.expr("array_sort(collect_set(model))").alias("_models"),
+        *[F.sum(n).alias(n) for n in ("cost", "in_tok", "out_tok", "cache_tok")],
+        F.expr("count_if(is_user = 1)").alias("user_turns"),
+        F.expr("count_if(is_turn = 1)").alias("agent_turns"),
+        F.expr("count_if(is_error = 1)").alias("errors"),
+    ).where("start_time IS NOT NULL")
+    return base.join(_tool_maps(events), SESSION_KEY, "left").selectExpr(
+        *SESSION_KEY,
+        "start_time",
+        "end_time",
+        "(end_time - start_time) / 1000 AS duration_sec",
+        "project",
+        "cwd",
+        "if(size(_models) > 0, _models, NULL) AS models",
+        "cost",
+        "in_tok",
+        "out_tok",
+        "cache_tok",
+        "user_turns",
+        "agent_turns",
+        "errors",
+        "coalesce(tool_count, 0L) AS tool_count",
+        "coalesce(tool_error_count, 0L) AS tool_error_count",
+        "coalesce(tool_breakdown, CAST(map() AS MAP<STRING, BIGINT>)) AS tool_breakdown",
+        "coalesce(tool_error_breakdown, CAST(map() AS MAP<STRING, BIGINT>)) AS tool_error_breakdown",
     )
 
 
+def sessions(events: DataFrame, tools: DataFrame, stats: DataFrame) -> DataFrame:
+    """``session_facts`` with the lists of a session's models and their tools.
+
+    All inputs of the joins are grouped by the session key, so they are already
+    co-partitioned.
+    """
+    facts = session_facts(events)
+    lists = {"model_tool_breakdown": _model_tool_lists(tools), "model_stats": _model_stat_lists(stats)}
+    for listed in lists.values():
+        facts = facts.join(listed, SESSION_KEY, "left")
+    return facts.withColumns({name: F.coalesce(name, F.array()) for name in lists})
+
+
 def _tool_maps(events: DataFrame) -> DataFrame:
     """Every row with a tool name counts here, whether or not it is flagged as a tool call."""
     per_tool = (
-        events.where(F.col("tool").isNotNull())
+        events.where("tool IS NOT NULL")
         .groupBy(*SESSION_KEY, "tool")
-        .agg(F.count(F.lit(1)).alias("n"), _count_if(F.col("is_error") == 1).alias("bad"))
+        .agg(F.expr("count(1)").alias("n"), F.expr("count_if(is_error = 1)").alias("bad"))
     )
 
     def as_map(value: str) -> Column:
-        return F.map_from_entries(F.array_sort(F.collect_list(F.struct("tool", value))))
+        return F.expr(f"map_from_entries(array_sort(collect_list(struct(tool, {value}))))")
 
     return per_tool.groupBy(*SESSION_KEY).agg(
         F.sum("n").alias("tool_count"),
@@ -134,18 +114,19 @@ def _tool_maps(events: DataFrame) -> DataFrame:
 
 
 def _model_tool_lists(tools: DataFrame) -> DataFrame:
-    item = F.struct("model", "tool", "count", "errors", D.percent(F.col("errors"), F.col("count")).alias("error_pct"))
+    item = F.expr(
+        f"struct(model, tool, count, errors, {D.percent('errors', 'count')} AS error_pct)"
+    )
     return tools.groupBy(*SESSION_KEY).agg(F.array_sort(F.collect_list(item)).alias("model_tool_breakdown"))
 
 
 def _model_stat_lists(stats: DataFrame) -> DataFrame:
-    c = F.col
-    item = F.struct(
-        "model", "provider", "turns", "cost", "in_tok", "out_tok", "cache_tok", "tools", "errors",
-        D.money(c("cost")).alias("cost_display"),
-        D.token_breakdown(c("in_tok"), c("out_tok"), c("cache_tok")).alias("token_breakdown_display"),
-        D.percent(c("errors"), c("tools")).alias("error_pct"),
-        D.money_ratio(c("cost"), c("turns")).alias("cost_per_turn_display"),
-        D.money_ratio(c("cost"), c("tools")).alias("cost_per_tool_display"),
-    )
+    item = F.expr(f"""struct(
+        model, provider, turns, cost, in_tok, out_tok, cache_tok, tools, errors,
+        {D.money('cost')} AS cost_display,
+        {D.token_breakdown('in_tok', 'out_tok', 'cache_tok')} AS token_breakdown_display,
+        {D.percent('errors', 'tools')} AS error_pct,
+        {D.money_ratio('cost', 'turns')} AS cost_per_turn_display,
+        {D.money_ratio('cost', 'tools')} AS cost_per_tool_display
+    )""")
     return stats.groupBy(*SESSION_KEY).agg(F.array_sort(F.collect_list(item)).alias("model_stats"))

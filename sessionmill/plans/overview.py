@@ -21,7 +21,9 @@ SESSION_ROWS = 100
 SHOWN_SESSIONS = 25
 
 c = F.col
-_TOKENS = c("in_tok") + c("out_tok") + c("cache_tok")
+
+def _tokens() -> Column:
+    return c("in_tok") + c("out_tok") + c("cache_tok")
 
 
 def _total(value: Column | str, kind: str = "bigint") -> Column:
@@ -32,17 +34,17 @@ def _spend() -> Column:
     return _total("cost", "double").alias("spend")
 
 
-def _sane_duration() -> Column:
-    return F.when((c("duration_sec") > 0) & (c("duration_sec") < 86_400), c("duration_sec"))
+# Durations that count towards a mean: above zero and below a day.
+_SANE = "if(duration_sec > 0 AND duration_sec < 86400, duration_sec, NULL)"
 
 
 def _mean_duration() -> Column:
-    return D.round_even(F.coalesce(F.avg(_sane_duration()), F.lit(0.0))).alias("avg_duration")
+    return F.expr(D.round_even(f"coalesce(avg({_SANE}), 0D)")).alias("avg_duration")
 
 
 def _sessions_by_content(r: Rollups, f: Filters) -> DataFrame:
     """Sessions with the row filters, and with an event, model or tool as asked for."""
-    rows = f.equal(f.recent(r.sessions), "project", "filename")
+    rows = f.equal(f.recent(r.session_facts), "project", "filename")
     rows = f.having(rows, r.events, "harness")
     rows = f.having(rows, r.stats, "provider", "model")
     return f.having(rows, r.events, "tool")
@@ -58,41 +60,41 @@ def summary(r: Rollups, f: Filters = Filters()) -> DataFrame:
         _total("cache_tok").alias("cache_tokens"),
         F.count_distinct("filename").alias("sessions"),
         _mean_duration(),
-        F.count(_sane_duration()).alias("timed_sessions"),
+        F.expr(f"count({_SANE})").alias("timed_sessions"),
         _total("tool_count").alias("tool_calls"),
         _total("tool_error_count").alias("tool_errors"),
         _total("agent_turns").alias("agent_turns"),
         _total("user_turns").alias("user_turns"),
         F.count(F.when(F.size("models") > 1, 1)).alias("multi_model_sessions"),
     )
-    turns = c("agent_turns") + c("user_turns")
-    per_turn = F.when(turns == 0, 0).otherwise(D.round_even(c("total_tokens") / F.nullif(turns, F.lit(0))))
-    derived = totals.withColumns({"total_turns": turns, "_per_turn": per_turn.cast("bigint")})
+    per_turn = f"if(total_turns = 0, 0L, {D.round_even('total_tokens / nullif(total_turns, 0)')})"
+    derived = totals.withColumn("total_turns", c("agent_turns") + c("user_turns"))
+    derived = derived.withColumn("_per_turn", F.expr(per_turn))
     return derived.select(
         *totals.columns,
-        D.money(c("total_spend"), 2).alias("total_spend_display"),
-        D.human_count(c("total_tokens")).alias("total_tokens_display"),
-        D.token_breakdown(c("in_tokens"), c("out_tokens"), c("cache_tokens")).alias("token_breakdown_display"),
-        D.percent(c("multi_model_sessions"), c("sessions")).alias("multi_model_sessions_pct"),
-        D.human_duration(c("avg_duration")).alias("avg_duration_display"),
-        D.human_count(c("tool_calls")).alias("tool_calls_display"),
-        D.human_count(c("tool_errors")).alias("tool_errors_display"),
-        D.percent(c("tool_errors"), c("tool_calls")).alias("tool_error_pct"),
-        D.money_ratio(c("total_spend"), c("sessions"), 2).alias("avg_cost_per_session_display"),
+        F.expr(D.money("total_spend", 2)).alias("total_spend_display"),
+        F.expr(D.human_count("total_tokens")).alias("total_tokens_display"),
+        F.expr(D.token_breakdown("in_tokens", "out_tokens", "cache_tokens")).alias("token_breakdown_display"),
+        F.expr(D.percent("multi_model_sessions", "sessions")).alias("multi_model_sessions_pct"),
+        F.expr(D.human_duration("avg_duration")).alias("avg_duration_display"),
+        F.expr(D.human_count("tool_calls")).alias("tool_calls_display"),
+        F.expr(D.human_count("tool_errors")).alias("tool_errors_display"),
+        F.expr(D.percent("tool_errors", "tool_calls")).alias("tool_error_pct"),
+        F.expr(D.money_ratio("total_spend", "sessions", 2)).alias("avg_cost_per_session_display"),
         "total_turns",
-        D.human_count(c("_per_turn")).alias("avg_tokens_per_turn_display"),
-        D.ratio(c("tool_calls"), c("sessions"), 1, "0").alias("avg_tools_per_session_display"),
+        F.expr(D.human_count("_per_turn")).alias("avg_tokens_per_turn_display"),
+        F.expr(D.ratio("tool_calls", "sessions", 1, "0")).alias("avg_tools_per_session_display"),
     )
 
 
 def _usage(r: Rollups, f: Filters) -> DataFrame:
     rows = f.equal(r.stats, "filename", "harness", "provider", "model")
-    return f.in_sessions(rows, r.sessions)
+    return f.in_sessions(rows, r.session_facts)
 
 
 def harnesses(r: Rollups, f: Filters = Filters()) -> DataFrame:
     groups = f.having(_usage(r, f), r.events, "tool").groupBy("harness").agg(
-        _spend(), _total(_TOKENS).alias("tokens"), *[_total(n).alias(n) for n in ("turns", "tools", "errors")]
+        _spend(), _total(_tokens()).alias("tokens"), *[_total(n).alias(n) for n in ("turns", "tools", "errors")]
     )
     order = f.order(
         "harnesses",
@@ -100,21 +102,21 @@ def harnesses(r: Rollups, f: Filters = Filters()) -> DataFrame:
         "spend",
     )
     return groups.select(
-        "harness", "spend", D.money(c("spend")).alias("spend_display"),
-        "tokens", D.human_count(c("tokens")).alias("tokens_display"), "turns", "tools", "errors",
+        "harness", "spend", F.expr(D.money("spend")).alias("spend_display"),
+        "tokens", F.expr(D.human_count("tokens")).alias("tokens_display"), "turns", "tools", "errors",
     ).orderBy(*order, "harness")
 
 
 def providers(r: Rollups, f: Filters = Filters()) -> DataFrame:
     groups = f.having(_usage(r, f), r.events, "tool").groupBy("provider").agg(
-        _spend(), _total(_TOKENS).alias("tokens"), *[_total(n).alias(n) for n in ("tools", "errors")]
+        _spend(), _total(_tokens()).alias("tokens"), *[_total(n).alias(n) for n in ("tools", "errors")]
     )
     order = f.order(
         "providers", {"provider": "provider", "spend": "spend", "tokens": "tokens", "tools": "tools"}, "spend"
     )
     return groups.select(
-        "provider", "spend", D.money(c("spend")).alias("spend_display"),
-        "tokens", D.human_count(c("tokens")).alias("tokens_display"), "tools", "errors",
+        "provider", "spend", F.expr(D.money("spend")).alias("spend_display"),
+        "tokens", F.expr(D.human_count("tokens")).alias("tokens_display"), "tools", "errors",
     ).orderBy(*order, c("provider").asc_nulls_last())
 
 
@@ -130,12 +132,12 @@ def models(r: Rollups, f: Filters = Filters()) -> DataFrame:
         used = f.equal(r.model_tools, "tool").select(*USAGE_KEY).distinct()
         rows = rows.join(used, USAGE_KEY, "left_semi")
     session = F.concat("harness", F.lit(":"), "filename")
-    unpriced = (c("cost") == 0) & (_TOKENS > 0)
+    unpriced = (c("cost") == 0) & (_tokens() > 0)
     groups = rows.groupBy("model", "provider").agg(
         _spend(),
         F.count(session).alias("sessions"),
-        _total(_TOKENS).alias("tokens"),
-        _total(F.when(unpriced, _TOKENS).otherwise(0)).alias("unpriced_tokens"),
+        _total(_tokens()).alias("tokens"),
+        _total(F.when(unpriced, _tokens()).otherwise(0)).alias("unpriced_tokens"),
         F.count(F.when(unpriced, session)).alias("unpriced_sessions"),
         _total("tools").alias("tools"),
         _total("errors").alias("errors"),
@@ -149,10 +151,10 @@ def models(r: Rollups, f: Filters = Filters()) -> DataFrame:
     )
     return groups.withColumn("avg_cost_per_session", mean).select(
         "model", F.coalesce("provider", F.lit("unknown")).alias("provider"),
-        "spend", D.money(c("spend")).alias("spend_display"), "sessions",
-        "avg_cost_per_session", D.money(c("avg_cost_per_session")).alias("avg_cost_per_session_display"),
-        "tokens", D.human_count(c("tokens")).alias("tokens_display"),
-        "unpriced_tokens", D.human_count(c("unpriced_tokens")).alias("unpriced_tokens_display"), "unpriced_sessions",
+        "spend", F.expr(D.money("spend")).alias("spend_display"), "sessions",
+        "avg_cost_per_session", F.expr(D.money("avg_cost_per_session")).alias("avg_cost_per_session_display"),
+        "tokens", F.expr(D.human_count("tokens")).alias("tokens_display"),
+        "unpriced_tokens", F.expr(D.human_count("unpriced_tokens")).alias("unpriced_tokens_display"), "unpriced_sessions",
         "tools", "errors",
     ).orderBy(*order, "model", "provider")
 
@@ -167,16 +169,16 @@ def projects(r: Rollups, f: Filters = Filters()) -> DataFrame:
         "spend",
     )
     return groups.select(
-        "project", "spend", D.money(c("spend")).alias("spend_display"), "sessions",
-        "avg_duration", D.human_duration(c("avg_duration")).alias("avg_duration_display"),
+        "project", "spend", F.expr(D.money("spend")).alias("spend_display"), "sessions",
+        "avg_duration", F.expr(D.human_duration("avg_duration")).alias("avg_duration_display"),
     ).orderBy(*order, c("project").asc_nulls_last())
 
 
 def _tool_groups(r: Rollups, f: Filters, *keys: str) -> DataFrame:
     rows = f.equal(r.model_tools, "filename", "harness", "provider", "model", "tool")
-    rows = f.in_sessions(rows.where(c("tool").isNotNull()), r.sessions)
+    rows = f.in_sessions(rows.where(c("tool").isNotNull()), r.session_facts)
     groups = rows.groupBy(*keys).agg(_total("count").alias("count"), _total("errors").alias("errors"))
-    return groups.withColumn("error_pct", D.percent(c("errors"), c("count")))
+    return groups.withColumn("error_pct", F.expr(D.percent("errors", "count")))
 
 
 def tools(r: Rollups, f: Filters = Filters()) -> DataFrame:
@@ -196,15 +198,15 @@ def model_tools(r: Rollups, f: Filters = Filters()) -> DataFrame:
     ).orderBy(*order, "model", "provider", "tool")
 
 
-def _session_rows(r: Rollups, f: Filters) -> DataFrame:
-    rows = f.equal(f.recent(r.sessions), "project", "filename", "harness")
+def _session_rows(sessions: DataFrame, r: Rollups, f: Filters) -> DataFrame:
+    rows = f.equal(f.recent(sessions), "project", "filename", "harness")
     rows = f.having(rows, r.stats, "provider", "model")
     return f.having(rows, r.events, "tool")
 
 
 def session_count(r: Rollups, f: Filters = Filters()) -> DataFrame:
     """How many sessions the list is the top of."""
-    return _session_rows(r, f).agg(F.count(F.lit(1)).alias("sessions"))
+    return _session_rows(r.session_facts, r, f).agg(F.count(F.lit(1)).alias("sessions"))
 
 
 def session_list(r: Rollups, f: Filters = Filters(), rows: int = SESSION_ROWS, zone: str = "UTC") -> DataFrame:
@@ -217,7 +219,7 @@ def session_list(r: Rollups, f: Filters = Filters(), rows: int = SESSION_ROWS, z
     )
     # The order is decided on the session table; texts are made for the rows kept.
     kept = (
-        _session_rows(r, f).withColumn("total_tokens", _TOKENS).orderBy(*order, "harness", "filename").limit(rows)
+        _session_rows(r.sessions, r, f).withColumn("total_tokens", _tokens()).orderBy(*order, "harness", "filename").limit(rows)
     )
     seconds = F.floor(c("end_time") / 1000) - F.floor(c("start_time") / 1000)
     kept = kept.withColumn("duration_sec_calc", seconds)
@@ -233,11 +235,11 @@ def session_list(r: Rollups, f: Filters = Filters(), rows: int = SESSION_ROWS, z
         F.to_json("model_tool_breakdown").alias("model_tool_breakdown_json"),
         F.to_json("model_stats", {"ignoreNullFields": "false"}).alias("model_stats_json"),
         F.coalesce(F.to_json("models"), F.lit("[]")).alias("models_json"),
-        D.money(c("cost")).alias("cost_display"),
-        D.human_count(c("total_tokens")).alias("total_tokens_display"),
-        D.token_breakdown(c("in_tok"), c("out_tok"), c("cache_tok")).alias("token_breakdown_display"),
-        D.human_duration(c("duration_sec_calc")).alias("duration_display"),
-        D.percent(c("tool_error_count"), c("tool_count")).alias("tool_error_pct"),
+        F.expr(D.money("cost")).alias("cost_display"),
+        F.expr(D.human_count("total_tokens")).alias("total_tokens_display"),
+        F.expr(D.token_breakdown("in_tok", "out_tok", "cache_tok")).alias("token_breakdown_display"),
+        F.expr(D.human_duration("duration_sec_calc")).alias("duration_display"),
+        F.expr(D.percent("tool_error_count", "tool_count")).alias("tool_error_pct"),
         resume.resume_command(c("harness"), c("filename"), c("cwd")).alias("resume_command"),
         resume.resume_label(c("harness")).alias("resume_label"),
     )

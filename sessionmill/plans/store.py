@@ -1,8 +1,8 @@
-"""The tables the dashboard reads, lazily computed or loaded from a run."""
+"""The tables the dashboard reads, computed on demand or loaded from a run."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,27 +14,50 @@ from sessionmill.schemas import ATTRIBUTED_HIT
 TABLES = ("events", "model_tools", "stats", "sessions", "hits")
 
 
-@dataclass(frozen=True)
 class Rollups:
-    """Events, the three rollups and the attributed term hits."""
-
-    events: DataFrame
-    model_tools: DataFrame
-    stats: DataFrame
-    sessions: DataFrame
-    hits: DataFrame
-
-    @classmethod
-    def of(cls, events: DataFrame, hits: DataFrame | None = None, skew: Skew | None = Skew()) -> Rollups:
-        """Everything derived from events and raw hits; without hits the hit table is empty."""
-        tools = rollups.model_tools(events, skew)
-        stats = rollups.session_model_stats(events, tools)
-        if hits is None:
-            attributed = events.sparkSession.createDataFrame([], ATTRIBUTED_HIT)
-        else:
-            attributed = attribute_hits(hits, events, skew)
-        return cls(events, tools, stats, rollups.sessions(events, tools, stats), attributed)
+    """Events, the three rollups and the attributed term hits.
+
+    A table is planned when a question first asks for it; tables given by name
+    are used as they are.
+    """
+
+    def __init__(
+        self, events: DataFrame, raw_hits: DataFrame | None = None, skew: Skew | None = Skew(), **tables: DataFrame
+    ):
+        unknown = set(tables) - set(TABLES)
+        if unknown:
+            raise TypeError(f"unknown tables {sorted(unknown)}")
+        self.events = events
+        self._raw_hits = raw_hits
+        self._skew = skew
+        # A given table takes the place of the property of its name.
+        self.__dict__.update(tables)
+
+    @cached_property
+    def model_tools(self) -> DataFrame:
+        return rollups.model_tools(self.events, self._skew)
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        return rollups.session_model_stats(self.events, self.model_tools)
+
+    @cached_property
+    def session_facts(self) -> DataFrame:
+        """Sessions without the lists that need attribution; all that most questions ask for."""
+        given = self.__dict__.get("sessions")
+        return rollups.session_facts(self.events) if given is None else given
+
+    @cached_property
+    def sessions(self) -> DataFrame:
+        return rollups.sessions(self.events, self.model_tools, self.stats)
+
+    @cached_property
+    def hits(self) -> DataFrame:
+        """Attributed hits; empty where no terms were collected."""
+        if self._raw_hits is None:
+            return self.events.sparkSession.createDataFrame([], ATTRIBUTED_HIT)
+        return attribute_hits(self._raw_hits, self.events, self._skew)
 
     @classmethod
     def load(cls, spark: SparkSession, run: str) -> Rollups:
-        return cls(*[spark.read.parquet(f"{run}/{table}") for table in TABLES])
+        return cls(**{table: spark.read.parquet(f"{run}/{table}") for table in TABLES})

@@ -31,7 +31,7 @@ def _severity_counts() -> list[Column]:
 def _hit_rows(r: Rollups, f: Filters) -> DataFrame:
     """Hits of existing sessions that pass the filters; a tool filter asks for the tool in the session."""
     rows = f.equal(r.hits, "filename", "harness", "provider", "model")
-    sessions = f.equal(f.recent(r.sessions), "project")
+    sessions = f.equal(f.recent(r.session_facts), "project")
     rows = rows.join(sessions.select(*SESSION_KEY), SESSION_KEY, "left_semi")
     return f.having(rows, r.model_tools, "tool")
 
@@ -61,9 +61,9 @@ def session_terms(r: Rollups, harness: str, filename: str) -> DataFrame:
     everything = Window.partitionBy(F.lit(0))
     scored = groups.withColumns({
         "total_hits": F.sum("count").over(everything),
-        "feel_score": F.sum(D.feel_points(c("severity")) * c("count")).over(everything),
+        "feel_score": F.sum(F.expr(D.feel_points("severity")) * c("count")).over(everything),
     })
-    return scored.withColumn("feel_display", D.mood(c("feel_score"))).orderBy(F.desc("count"), "group_name").limit(TOP)
+    return scored.withColumn("feel_display", F.expr(D.mood("feel_score"))).orderBy(F.desc("count"), "group_name").limit(TOP)
 
 
 def term_groups(r: Rollups, f: Filters = Filters()) -> DataFrame:
@@ -108,9 +108,9 @@ def term_model_harnesses(r: Rollups, f: Filters = Filters()) -> DataFrame:
         *SESSION_KEY, "severity", *[F.coalesce(n, F.lit("unknown")).alias(n) for n in ("model", "provider")]
     )
     per_session = named.groupBy(*SESSION_KEY, "model", "provider").agg(
-        _hits(), *_severity_counts(), F.sum(D.feel_points(c("severity"))).alias("feel_score")
+        _hits(), *_severity_counts(), F.sum(F.expr(D.feel_points("severity"))).alias("feel_score")
     )
-    sessions = f.equal(f.recent(r.sessions), "project").select(*SESSION_KEY, "user_turns")
+    sessions = f.equal(f.recent(r.session_facts), "project").select(*SESSION_KEY, "user_turns")
     sums = ("count", "strong_count", "moderate_count", "mild_count", "feel_score")
     groups = per_session.join(sessions, SESSION_KEY).groupBy("harness", "model", "provider").agg(
         *[_total(n).alias(n) for n in sums],
@@ -118,14 +118,14 @@ def term_model_harnesses(r: Rollups, f: Filters = Filters()) -> DataFrame:
         _total("user_turns").alias("user_turns"),
     )
     return groups.select(
-        "harness", "model", "provider", *sums, D.mood(c("feel_score")).alias("feel_display"), "sessions", "user_turns",
-        D.ratio(c("count"), c("user_turns"), 2, "0.00").alias("swears_per_user_turn_display"),
+        "harness", "model", "provider", *sums, F.expr(D.mood("feel_score")).alias("feel_display"), "sessions", "user_turns",
+        F.expr(D.ratio("count", "user_turns", 2, "0.00")).alias("swears_per_user_turn_display"),
     ).orderBy(F.desc("count"), F.desc("feel_score"), "harness", "model", "provider")
 
 
 def term_summary(r: Rollups, f: Filters = Filters()) -> DataFrame:
     """One row: hits, affected sessions, rates and the most frequent group."""
-    sessions = f.equal(f.recent(r.sessions), "project", "filename", "harness")
+    sessions = f.equal(f.recent(r.session_facts), "project", "filename", "harness")
     sessions = f.having(sessions, r.stats, "provider", "model")
     sessions = f.having(sessions, r.model_tools, "tool").select(*SESSION_KEY, "user_turns")
     rows = matching(f.equal(r.hits, "provider", "model", "filename", "harness"), sessions)
@@ -152,9 +152,9 @@ def term_summary(r: Rollups, f: Filters = Filters()) -> DataFrame:
     )
     return row.select(
         "*",
-        D.ratio(c("total_swears"), c("user_turns"), 2, "0.00").alias("swears_per_user_turn_display"),
-        D.ratio(c("total_swears"), c("sessions"), 2, "0.00").alias("swears_per_session_display"),
-        D.percent(c("sessions_with_swears"), c("sessions")).alias("sessions_with_swears_pct"),
+        F.expr(D.ratio("total_swears", "user_turns", 2, "0.00")).alias("swears_per_user_turn_display"),
+        F.expr(D.ratio("total_swears", "sessions", 2, "0.00")).alias("swears_per_session_display"),
+        F.expr(D.percent("sessions_with_swears", "sessions")).alias("sessions_with_swears_pct"),
     )
 
 
@@ -187,7 +187,7 @@ def timeline(r: Rollups, f: Filters = Filters(), zone: str = "UTC") -> DataFrame
         )
         .unionByName(
             hits.select(
-                *SESSION_KEY, F.lit(1).alias("profanity_hits"), D.feel_points(c("severity")).alias("feel_score")
+                *SESSION_KEY, F.lit(1).alias("profanity_hits"), F.expr(D.feel_points("severity")).alias("feel_score")
             ),
             allowMissingColumns=True,
         )
@@ -196,16 +196,16 @@ def timeline(r: Rollups, f: Filters = Filters(), zone: str = "UTC") -> DataFrame
     per_session = measures.groupBy(*SESSION_KEY).agg(
         F.sum("cost").alias("cost"), *[F.sum(n).alias(n) for n in counts]
     )
-    started = f.equal(f.recent(r.sessions), "project", "filename", "harness").where(c("start_time") > 0)
+    started = f.equal(f.recent(r.session_facts), "project", "filename", "harness").where(c("start_time") > 0)
     day = V.zone_date(c("start_time"), zone).cast("string").alias("date")
     daily = per_session.join(started.select(*SESSION_KEY, day), SESSION_KEY).groupBy("date").agg(
         F.coalesce(F.sum("cost"), F.lit(0.0)).alias("cost"), *[_total(n).alias(n) for n in counts]
     )
     return daily.select(
-        "date", "cost", D.money(c("cost"), 2).alias("cost_display"),
-        "tokens", D.human_count(c("tokens")).alias("tokens_display"),
-        "tool_calls", D.human_count(c("tool_calls"), "M").alias("tool_calls_display"),
-        "tool_errors", D.human_count(c("tool_errors"), "M").alias("tool_errors_display"),
-        "profanity_hits", D.human_count(c("profanity_hits"), "M").alias("profanity_hits_display"),
-        "feel_score", D.mood(c("feel_score")).alias("feel_display"),
+        "date", "cost", F.expr(D.money("cost", 2)).alias("cost_display"),
+        "tokens", F.expr(D.human_count("tokens")).alias("tokens_display"),
+        "tool_calls", F.expr(D.human_count("tool_calls", "M")).alias("tool_calls_display"),
+        "tool_errors", F.expr(D.human_count("tool_errors", "M")).alias("tool_errors_display"),
+        "profanity_hits", F.expr(D.human_count("profanity_hits", "M")).alias("profanity_hits_display"),
+        "feel_score", F.expr(D.mood("feel_score")).alias("feel_display"),
     ).orderBy("date")

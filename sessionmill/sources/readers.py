@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sessionmill.sources import claude, codex, gemini, opencode, pi
 
 
-def _file_name(frame: DataFrame) -> DataFrame:
+def with_file_name(frame: DataFrame) -> DataFrame:
     """Column ``filename``: the plain path of the file a row came from."""
     encoded = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
     plain = F.regexp_replace(F.url_decode(encoded), "^file:(//)?", "")
@@ -21,7 +21,7 @@ def json_lines(spark: SparkSession, path: str, schema: str, recursive: bool = Fa
     reader = spark.read.schema(schema).option("mode", "PERMISSIVE")
     if recursive:
         reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl")
-    return _file_name(reader.json(path))
+    return with_file_name(reader.json(path))
 
 
 def read_pi(spark: SparkSession, home: str) -> DataFrame:
@@ -39,7 +39,7 @@ def read_codex(spark: SparkSession, home: str) -> DataFrame:
 def read_gemini(spark: SparkSession, home: str) -> DataFrame:
     """One document per file; a document is the unit of work, so files are spread, not split."""
     reader = spark.read.schema(gemini.RAW).option("multiLine", True)
-    return _file_name(reader.json(f"{home}/{gemini.GLOB}"))
+    return with_file_name(reader.json(f"{home}/{gemini.GLOB}"))
 
 
 _TABLES = {"message": opencode.MESSAGE, "session": opencode.SESSION, "part": opencode.PART}
