@@ -40,7 +40,7 @@ def ntz_millis(stamp: Column) -> Column:
     """Epoch milliseconds of a zone-less timestamp, read as UTC; half a millisecond rounds up."""
     minutes = (F.hour(stamp) * 60 + F.minute(stamp)).cast("bigint")
     within = F.floor(F.extract(F.lit("SECOND"), stamp) * 1000 + F.lit(0.5).cast("decimal(2,1)"))
-    return F.unix_date(F.to_date(stamp)).cast("bigint") * MILLIS_PER_DAY + minutes * 60_000 + within
+    return F.unix_date(F.to_date(stamp)).cast("bigint") * MILLIS_PER_DAY + minutes * 60_000 + within.cast("bigint")
 
 
 def iso_millis(text: Column) -> Column:
