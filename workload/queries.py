@@ -263,7 +263,7 @@ def sorted_providers(spark: SparkSession, sf: str) -> DataFrame:
         f = Filters(sort_table="providers", sort_by="provider", sort_dir=direction)
         order = f.order("providers", {"provider": "provider"}, "spend")
         place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))
-        parts.append(overview.providers(r, f).select(F.lit(direction).alias("direction"), "provider", place.alias("place")))
+        parts.append(overview.providers(r, f).select(F.lit(direction).alias("direction"), "provider", place.cast("bigint").alias("place")))
     return parts[0].unionByName(parts[1])
 
 
