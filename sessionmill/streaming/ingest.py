@@ -126,6 +126,7 @@ def load(spark: SparkSession, out: str) -> Rollups:
             for source, version in batches
         ]
         rows = reduce(DataFrame.unionByName, parts)
-        return rows.join(newest, [*SESSION_KEY, "source", "version"], "left_semi").drop("source", "version")
+        kept = rows.join(newest, [*SESSION_KEY, "source", "version"], "left_semi")
+        return kept.select(*[c for c in rows.columns if c not in ("source", "version")])
 
     return Rollups(**{name: table(name) for name in TABLES})
