@@ -5,9 +5,9 @@ Everything here takes and returns SQL expression text, to be used in ``expr`` or
 one step where building the same tree call by call takes most of a second.
 
 Fixed-point text follows C's printf, which rounds the exact binary value of the
-double (0.15 -> '0.1', 12.25 -> '12.2').  Spark's own formatters round the
-decimal text half up, so ``fixed`` decides the last digit itself, without a
-Python worker.  Display columns belong on result rows, after aggregation.
+double (0.15 -> '0.1', 12.25 -> '12.2').  Spark's own formatter rounds the
+decimal text half up, so ``fixed`` tells it which side of a tie a value is on.
+Display columns belong on result rows, after aggregation.
 """
 
 from __future__ import annotations
@@ -23,22 +23,18 @@ def _let(value: str, name: str, body: str) -> str:
 
 
 def fixed(value: str, places: int) -> str:
-    """printf('%.<places>f') of a double."""
-    scale = f"{10**places}D"
-    one = f"{'0.' + '0' * (places - 1) + '1'}BD"
-    floor = f"floor(x * {scale})"
+    """printf('%.<places>f') of a double, for values that are not negative."""
+    x, scale = f"double({value})", f"{10**places}D"
+    floor = f"floor({x} * {scale})"
     # Distance of x * scale from the tie above the floor.  Splitting x at float
     # precision makes both products exact, so the sign is too; on a tie the tiny
     # odd term sends the result to the even neighbour.
-    coarse = "double(float(x))"
-    beyond_tie = f"({coarse} * {scale} - ({floor} + 0.5D)) + (x - {coarse}) * {scale}"
-    digits = f"{floor} + if({beyond_tie} + pmod({floor}, 2) * 1e-300D > 0, 1, 0)"
-    return _let(
-        f"double({value})",
-        "x",
-        f"CASE WHEN abs(x * {scale}) < {2**52}D THEN string(CAST({digits} AS DECIMAL(19,0)) * {one}) "
-        f"WHEN x IS NOT NULL THEN format_string('%.{places}f', x) END",
-    )
+    coarse = f"double(float({x}))"
+    beyond_tie = f"({coarse} * {scale} - ({floor} + 0.5D)) + ({x} - {coarse}) * {scale} + pmod({floor}, 2) * 1e-300D"
+    # A value at or below the tie goes down by a bit or two, which leaves the
+    # digits of any other value as they are.
+    nudged = f"if({beyond_tie} <= 0, {x} * {1 - 2**-51!r}D, {x})"
+    return f"if(({value}) IS NULL, NULL, format_string('%.{places}f', {nudged}))"
 
 
 def money(value: str, places: int = 4) -> str:

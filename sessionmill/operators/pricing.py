@@ -73,10 +73,9 @@ def overlay_aliases(prices: DataFrame, aliases: DataFrame) -> DataFrame:
     return renamed.unionByName(plain)
 
 
-def dimension(prices: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``prices`` marked for broadcast once its size has been checked."""
-    small = prices.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(prices) if small else prices
+def is_small(prices: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Whether the prices may be sent to every executor; the aliases laid over them add a handful of rows."""
+    return prices.select("model").limit(max_rows + 1).count() <= max_rows
 
 
 def with_prices(rows: DataFrame, prices: DataFrame, model: Column) -> DataFrame:

@@ -63,12 +63,17 @@ def write_tables(
         frame.write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
 
-    events = store(registry.unified_events(raw, prices), "events")
+    # The parsed logs, without texts: events take several looks at them.
+    parsed = {
+        name: store(frame, f"parsed/{name}") if isinstance(frame, DataFrame) else frame
+        for name, frame in registry.parse_all(raw).items()
+    }
+    events = store(registry.unified_events(parsed, prices), "events")
     if terms is None:
         store(spark.createDataFrame([], HIT), "hits_raw")
         hits = store(spark.createDataFrame([], ATTRIBUTED_HIT), "hits")
     else:
-        found = store(registry.term_hits(raw, terms, term_mode), "hits_raw")
+        found = store(registry.term_hits(raw, terms, term_mode, parsed), "hits_raw")
         hits = store(attribution.attribute_hits(found, events, skew), "hits")
     tools = store(rollups.model_tools(events, skew), "model_tools")
     stats = store(rollups.session_model_stats(events, tools), "stats")

@@ -7,93 +7,90 @@ from pyspark.sql import functions as F
 
 from sessionmill.functions import values as V
 from sessionmill.operators import pricing as P
-from sessionmill.sources.contract import as_events, as_messages, join_file_facts
+from sessionmill.sources.contract import Stage, as_events, as_is, as_messages, join_file_facts
 
 FOLDER = ".codex/sessions"
 RAW = "timestamp string, type string, payload string"
+_PAYLOAD = (
+    "type string, role string, cwd string, model_provider string, model string, "
+    "info struct<last_token_usage: string>"
+)
 # Injected context that is not the user's own text.
 CONTEXT_PATTERNS = ("<environment_context>%", "<permissions instructions>%")
 
 
-def file_facts(raw: DataFrame) -> DataFrame:
-    """Folder, provider and model of a session, from its meta and context rows."""
-    rows = raw.where(F.col("type").isin("session_meta", "turn_context")).select(
-        "filename", "type", F.from_json("payload", "cwd string, model_provider string, model string").alias("p")
+def parse(raw: DataFrame) -> DataFrame:
+    """The fields events are made of, each document parsed once.  No text is kept."""
+    used = F.col("p.info.last_token_usage")
+    info = F.get_json_object("payload", "$.info")
+    counts = F.from_json("used", "input_tokens string, cached_input_tokens string, output_tokens string")
+    parsed = raw.select(
+        "filename", "type", V.iso_millis(F.col("timestamp")).alias("ts"), "payload",
+        F.from_json("payload", _PAYLOAD).alias("p"),
+    ).select(
+        "filename", "type", "ts", F.col("p.type").alias("kind"), "p.role", "p.cwd", "p.model_provider", "p.model",
+        used.alias("used"),
+        # A usage that is present but null counts as one without tokens.
+        (used.isNotNull() | F.when(F.col("p.type") == "token_count", V.has_key(info, "last_token_usage"))).alias("reported"),
     )
+    return parsed.withColumn("u", counts).select(
+        "filename", "type", "ts", "kind", "role", "cwd", "model_provider", "model", "reported",
+        V.to_count(F.col("u.input_tokens")).alias("input"),
+        V.to_count(F.col("u.cached_input_tokens")).alias("cached"),
+        V.to_count(F.col("u.output_tokens")).alias("output"),
+    )
+
+
+def file_facts(parsed: DataFrame) -> DataFrame:
+    """Folder, provider and model of a session, from its meta and context rows."""
 
     def largest(kind: str, field: str) -> Column:
-        return F.max(F.when(F.col("type") == kind, F.col(f"p.{field}")))
+        return F.max(F.when(F.col("type") == kind, F.col(field)))
 
-    facts = rows.groupBy("filename").agg(
+    return parsed.where("type IN ('session_meta', 'turn_context')").groupBy("filename").agg(
         largest("session_meta", "cwd").alias("session_cwd"),
         largest("session_meta", "model_provider").alias("model_provider"),
         largest("turn_context", "model").alias("model"),
     )
-    return facts
 
 
 def project() -> Column:
     return F.coalesce(V.last_part(F.col("session_cwd")), F.lit("codex"))
 
 
-def _ts() -> Column:
-    return V.iso_millis(F.col("timestamp")).alias("ts")
-
-
-def _replies(raw: DataFrame) -> DataFrame:
-    payload = F.from_json("payload", "type string, role string").alias("p")
-    rows = raw.where(F.col("type").isin("session_meta", "response_item")).select("filename", "type", _ts(), payload)
-    said = (F.col("type") == "response_item") & (F.col("p.type") == "message")
-    return rows.select(
-        "filename", "ts",
-        V.flag(said & (F.col("p.role") == "assistant")).alias("is_turn"),
-        V.flag(said & (F.col("p.role") == "user")).alias("is_user"),
-    )
+def normalize(raw: DataFrame, prices: DataFrame, stage: Stage = as_is) -> DataFrame:
+    return normalize_parsed(stage(parse(raw)), prices)
 
 
-def _usage(raw: DataFrame) -> DataFrame:
-    rows = raw.where(F.col("type") == "event_msg").select(
-        "filename", _ts(), "payload",
-        F.from_json("payload", "type string, info struct<last_token_usage: string>").alias("p"),
-    )
-    info = F.get_json_object("payload", "$.info")
-    reported = F.col("p.info.last_token_usage").isNotNull() | V.has_key(info, "last_token_usage")
-    counts = F.from_json(
-        "p.info.last_token_usage", "input_tokens string, cached_input_tokens string, output_tokens string"
+def normalize_parsed(parsed: DataFrame, prices: DataFrame) -> DataFrame:
+    """Messages carry the turn and user flags, usage reports the tokens."""
+    usage = "type = 'event_msg' AND kind = 'token_count' AND reported"
+    said = "type = 'response_item' AND kind = 'message'"
+    rows = parsed.where(f"type IN ('session_meta', 'response_item') OR ({usage})").selectExpr(
+        "filename",
+        "ts",
+        f"if({said} AND role = 'assistant', 1, 0) AS is_turn",
+        f"if({said} AND role = 'user', 1, 0) AS is_user",
+        f"if({usage}, greatest(input - cached, 0), 0) AS in_tok",
+        f"if({usage}, output, 0) AS out_tok",
+        f"if({usage}, cached, 0) AS cache_tok",
     )
-    rows = rows.where((F.col("p.type") == "token_count") & reported).select("filename", "ts", counts.alias("u"))
-    cached = V.to_count(F.col("u.cached_input_tokens"))
-    return rows.select(
-        "filename", "ts",
-        F.greatest(V.to_count(F.col("u.input_tokens")) - cached, F.lit(0)).alias("in_tok"),
-        V.to_count(F.col("u.output_tokens")).alias("out_tok"),
-        cached.alias("cache_tok"),
-    )
-
-
-def normalize(raw: DataFrame, prices: DataFrame) -> DataFrame:
-    rows = _replies(raw).unionByName(_usage(raw), allowMissingColumns=True)
-    rows = P.with_prices(join_file_facts(rows, file_facts(raw)), prices, F.col("model"))
+    rows = P.with_prices(join_file_facts(rows, file_facts(parsed)), prices, F.col("model"))
     c = F.col
-    counts = {n: F.coalesce(c(n), F.lit(0)) for n in ("in_tok", "out_tok", "cache_tok")}
     return as_events(
         rows,
         "codex",
         project=project(),
-        model=c("model"),
         provider=F.coalesce(c("model_provider"), c("p_provider"), F.lit("codex")),
-        session_cwd=c("session_cwd"),
-        ts=c("ts"),
-        cost=P.usage_cost(counts["in_tok"], counts["out_tok"], counts["cache_tok"]),
-        is_turn=F.coalesce(c("is_turn"), F.lit(0)),
-        is_user=F.coalesce(c("is_user"), F.lit(0)),
-        **counts,
+        cost=P.usage_cost(c("in_tok"), c("out_tok"), c("cache_tok")),
+        **{n: c(n) for n in ("model", "session_cwd", "ts", "in_tok", "out_tok", "cache_tok", "is_turn", "is_user")},
     )
 
 
 def message_rows(raw: DataFrame) -> DataFrame:
     rows = raw.where(F.col("type") == "response_item").select(
-        "filename", _ts(), "payload", F.from_json("payload", "type string, role string").alias("p")
+        "filename", V.iso_millis(F.col("timestamp")).alias("ts"), "payload",
+        F.from_json("payload", "type string, role string").alias("p"),
     )
     first = F.get_json_object("payload", "$.content[0].text")
     rows = rows.where((F.col("p.type") == "message") & (F.col("p.role") == "user")).select(
@@ -105,10 +102,10 @@ def message_rows(raw: DataFrame) -> DataFrame:
     return rows.where(own & F.col("text").isNotNull()).select("filename", "ts", "text")
 
 
-def message_facts(raw: DataFrame) -> DataFrame:
-    return file_facts(raw).select("filename", "session_cwd")
+def message_facts(parsed: DataFrame) -> DataFrame:
+    return file_facts(parsed).select("filename", "session_cwd")
 
 
 def messages(raw: DataFrame) -> DataFrame:
-    rows = join_file_facts(message_rows(raw), message_facts(raw))
+    rows = join_file_facts(message_rows(raw), message_facts(parse(raw)))
     return as_messages(rows.withColumn("project", project()), "codex")

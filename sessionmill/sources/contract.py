@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionmill.schemas import EVENT, MESSAGE
 
+# What a normaliser does with its parsed frame before using it several times: a
+# job stores it and reads it back, so that the logs themselves are scanned once.
+Stage = Callable[[DataFrame], DataFrame]
+
+
+def as_is(frame: DataFrame) -> DataFrame:
+    return frame
+
+
 _DEFAULTS = {"cost": 0.0, "in_tok": 0, "out_tok": 0, "cache_tok": 0, "is_turn": 0, "is_user": 0, "is_tool": 0, "is_error": 0}
 
 

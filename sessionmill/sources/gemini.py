@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sessionmill.functions import values as V
 from sessionmill.operators import pricing as P
-from sessionmill.sources.contract import as_events, as_messages
+from sessionmill.sources.contract import Stage, as_events, as_is, as_messages
 
 GLOB = ".gemini/tmp/*/chats/*.json"
 # Elements keep their JSON text; a value that is no array reads as NULL.
@@ -26,12 +26,13 @@ def _provider() -> Column:
     return F.coalesce(F.col("p_provider"), F.lit("google"))
 
 
-def normalize_messages(raw: DataFrame, prices: DataFrame) -> DataFrame:
-    """Chat messages.  ``prices`` is the catalogue without the alias overlay."""
-    parsed = raw.select("filename", F.explode("messages").alias("json")).select(
+def parse(raw: DataFrame) -> DataFrame:
+    """One row per chat message with its tool calls, each document parsed once.  No text is kept."""
+    rows = raw.select("filename", F.explode("messages").alias("json")).select(
         "filename", F.from_json("json", _MESSAGE).alias("m")
     )
-    rows = parsed.where(F.col("m.type").isin("user", "gemini")).select(
+    call = "name string, status string, timestamp string"
+    return rows.select(
         "filename",
         V.iso_millis(F.col("m.timestamp")).alias("ts"),
         "m.type",
@@ -39,8 +40,13 @@ def normalize_messages(raw: DataFrame, prices: DataFrame) -> DataFrame:
         V.to_count(F.col("m.tokens.input")).alias("in_tok"),
         V.to_count(F.col("m.tokens.output")).alias("out_tok"),
         V.to_count(F.col("m.tokens.cached")).alias("cache_tok"),
+        F.transform("m.toolCalls", lambda json: F.from_json(json, call)).alias("calls"),
     )
-    rows = P.with_prices(rows, prices, F.col("model"))
+
+
+def normalize_messages(parsed: DataFrame, prices: DataFrame) -> DataFrame:
+    """Chat messages.  ``prices`` is the catalogue without the alias overlay."""
+    rows = P.with_prices(parsed.where("type IN ('user', 'gemini')"), prices, F.col("model"))
     c = F.col
     return as_events(
         rows,
@@ -55,18 +61,11 @@ def normalize_messages(raw: DataFrame, prices: DataFrame) -> DataFrame:
     )
 
 
-def normalize_tools(raw: DataFrame, prices: DataFrame) -> DataFrame:
-    """Tool calls nested in the messages."""
-    calls = (
-        raw.select("filename", F.explode("messages").alias("json"))
-        .select("filename", F.from_json("json", "model string, toolCalls array<string>").alias("m"))
-        .select("filename", "m.model", F.explode("m.toolCalls").alias("json"))
-        .select("filename", "model", F.from_json("json", "name string, status string, timestamp string").alias("t"))
-        .where(F.col("t.name").isNotNull())
-    )
-    rows = P.with_prices(calls, prices, F.col("model"))
+def normalize_tools(parsed: DataFrame, prices: DataFrame) -> DataFrame:
+    """Tool calls nested in the messages, each with a time of its own."""
+    calls = parsed.select("filename", "model", F.explode("calls").alias("t")).where("t.name IS NOT NULL")
     return as_events(
-        rows,
+        P.with_prices(calls, prices, F.col("model")),
         "gemini",
         project=_project(),
         model=F.col("model"),
@@ -78,8 +77,12 @@ def normalize_tools(raw: DataFrame, prices: DataFrame) -> DataFrame:
     )
 
 
-def normalize(raw: DataFrame, prices: DataFrame) -> DataFrame:
-    return normalize_messages(raw, prices).unionByName(normalize_tools(raw, prices))
+def normalize(raw: DataFrame, prices: DataFrame, stage: Stage = as_is) -> DataFrame:
+    return normalize_parsed(stage(parse(raw)), prices)
+
+
+def normalize_parsed(parsed: DataFrame, prices: DataFrame) -> DataFrame:
+    return normalize_messages(parsed, prices).unionByName(normalize_tools(parsed, prices))
 
 
 def message_rows(raw: DataFrame) -> DataFrame:

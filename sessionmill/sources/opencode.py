@@ -128,6 +128,7 @@ def normalize_tool(part: DataFrame, message: DataFrame, session: DataFrame, pric
 
 
 def normalize(raw: dict[str, DataFrame], prices: DataFrame) -> DataFrame:
+    """All events; the tables are relational already, so there is nothing to parse ahead."""
     message, session, part = raw["message"], raw["session"], raw["part"]
     return (
         normalize_assistant(message, session, prices)

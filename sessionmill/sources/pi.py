@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionmill.functions import values as V
 from sessionmill.operators import pricing as P
-from sessionmill.sources.contract import as_events, as_messages, join_file_facts
+from sessionmill.sources.contract import Stage, as_events, as_is, as_messages, join_file_facts
 
 GLOB = ".pi/agent/sessions/*/*.jsonl"
 RAW = "type string, message string, cwd string, timestamp string"
@@ -17,51 +17,53 @@ _MESSAGE = (
 )
 
 
-def _relevant() -> Column:
-    return F.col("message").isNotNull() | (F.col("type") == "session")
-
-
-def file_facts(raw: DataFrame) -> DataFrame:
-    return raw.where(_relevant()).groupBy("filename").agg(F.max("cwd").alias("file_cwd"))
-
-
-def project() -> Column:
-    """Last part of the session folder, else the name coded in the log's folder."""
-    coded = F.split_part(V.part_from_end(F.col("filename"), 2), F.lit("--"), F.lit(2))
-    return F.coalesce(V.last_part(F.col("file_cwd")), coded)
-
-
-def normalize(raw: DataFrame, prices: DataFrame) -> DataFrame:
-    parsed = raw.where(_relevant()).select(
-        "filename", "cwd", "timestamp", F.from_json("message", _MESSAGE).alias("m")
-    )
-    m = "m.usage."
-    rows = parsed.select(
+def parse(raw: DataFrame) -> DataFrame:
+    """The fields events are made of; no text but whether there is one."""
+    kept = raw.where("message IS NOT NULL OR type = 'session'")
+    return kept.select(
+        "filename", "cwd", V.iso_millis(F.col("timestamp")).alias("ts"), F.from_json("message", _MESSAGE).alias("m"),
+        V.json_text(F.col("message"), "content").isNotNull().alias("has_text"),
+    ).select(
         "filename",
         "cwd",
-        V.iso_millis(F.col("timestamp")).alias("ts"),
+        "ts",
         "m.role",
         "m.model",
         "m.provider",
         F.col("m.toolName").alias("tool"),
         V.is_true(F.col("m.isError")).alias("failed"),
-        V.to_double(F.col(m + "cost.total")).alias("recorded"),
-        V.to_count(F.col(m + "input")).alias("in_tok"),
-        V.to_count(F.col(m + "output")).alias("out_tok"),
-        V.to_count(F.col(m + "cacheRead")).alias("cache_tok"),
+        V.to_double(F.col("m.usage.cost.total")).alias("recorded"),
+        V.to_count(F.col("m.usage.input")).alias("in_tok"),
+        V.to_count(F.col("m.usage.output")).alias("out_tok"),
+        V.to_count(F.col("m.usage.cacheRead")).alias("cache_tok"),
+        "has_text",
     )
-    rows = join_file_facts(P.with_prices(rows, prices, F.col("model")), file_facts(raw))
+
+
+def _projects(rows: DataFrame) -> DataFrame:
+    """Per file the last part of its session folder, else the name coded in the log's folder."""
+    coded = F.split_part(V.part_from_end(F.col("filename"), 2), F.lit("--"), F.lit(2))
+    project = F.coalesce(V.last_part(F.col("cwd")), coded).alias("project")
+    return rows.groupBy("filename").agg(F.max("cwd").alias("cwd")).select("filename", project)
+
+
+def normalize(raw: DataFrame, prices: DataFrame, stage: Stage = as_is) -> DataFrame:
+    return normalize_parsed(stage(parse(raw)), prices)
+
+
+def normalize_parsed(parsed: DataFrame, prices: DataFrame) -> DataFrame:
+    rows = join_file_facts(P.with_prices(parsed, prices, F.col("model")), _projects(parsed))
     c = F.col
     result = c("role") == "toolResult"
     return as_events(
         rows,
         "pi",
-        project=project(),
+        project=c("project"),
         model=c("model"),
         provider=F.coalesce(c("provider"), F.lit("unknown")),
         session_cwd=c("cwd"),
         ts=c("ts"),
-        # Cache writes are not in the record's usage as read here, so they carry no price.
+        # Cache writes are not among the counts read here, so they carry no price.
         cost=P.recorded_or(c("recorded"), P.usage_cost(c("in_tok"), c("out_tok"), c("cache_tok"))),
         in_tok=c("in_tok"),
         out_tok=c("out_tok"),
@@ -84,13 +86,10 @@ def message_rows(raw: DataFrame) -> DataFrame:
     )
 
 
-def message_facts(raw: DataFrame) -> DataFrame:
-    """Facts for messages come from the user rows alone."""
-    users = raw.where(F.get_json_object("message", "$.role") == "user")
-    texts = users.where(V.json_text(F.col("message"), "content").isNotNull())
-    facts = texts.groupBy("filename").agg(F.max("cwd").alias("file_cwd"))
-    return facts.select("filename", project().alias("project"))
+def message_facts(parsed: DataFrame) -> DataFrame:
+    """Projects as the user rows alone tell them."""
+    return _projects(parsed.where("role = 'user' AND has_text"))
 
 
 def messages(raw: DataFrame) -> DataFrame:
-    return as_messages(join_file_facts(message_rows(raw), message_facts(raw)), "pi")
+    return as_messages(join_file_facts(message_rows(raw), message_facts(parse(raw))), "pi")

@@ -13,56 +13,69 @@ from pyspark.sql import functions as F
 from sessionmill.operators import detect as D
 from sessionmill.operators import pricing as P
 from sessionmill.sources import claude, codex, gemini, opencode, pi, readers
+from sessionmill.sources.contract import join_file_facts
 
 Raw = Any  # a DataFrame, or a dict of three for the relational source
 
 
 @dataclass(frozen=True)
 class Source:
+    """How one source is read, parsed and turned into events, messages and hits.
+
+    ``parse`` keeps what events need and no text; ``events`` and ``locate`` work
+    on its result, so a job that stores it scans the logs once for events and
+    once for terms.
+    """
+
     name: str
     read: Callable[[SparkSession, str], Raw]
+    parse: Callable[[Raw], Raw]
     events: Callable[[Raw, DataFrame], DataFrame]
     messages: Callable[[Raw], DataFrame]
     message_rows: Callable[[Raw], DataFrame]
     locate: Callable[[Raw, DataFrame], DataFrame]
     aliased: bool = True
 
-    def hits(self, raw: Raw, lexicon: list[tuple[str, str, str]], mode: str = "compat") -> DataFrame:
+    def hits(
+        self, raw: Raw, lexicon: list[tuple[str, str, str]], mode: str = "compat", parsed: Raw | None = None
+    ) -> DataFrame:
         """Term hits of the source's user messages.
 
         Terms are found before project and folder are joined, so no text is
         ever shuffled.
         """
         found = D.detect(self.message_rows(raw), lexicon, mode=mode)
-        located = self.locate(raw, found).withColumn("harness", F.lit(self.name))
-        return D.as_hits(located)
+        located = self.locate(self.parse(raw) if parsed is None else parsed, found)
+        return D.as_hits(located.withColumn("harness", F.lit(self.name)))
 
 
 def _by_file(facts):
-    return lambda raw, rows: rows.join(facts(raw), "filename", "left")
-
-
-def _codex_located(raw: DataFrame, rows: DataFrame) -> DataFrame:
-    return rows.join(codex.message_facts(raw), "filename", "left").withColumn("project", codex.project())
+    return lambda parsed, rows: join_file_facts(rows, facts(parsed))
 
 
 SOURCES = {
     s.name: s
     for s in (
-        Source("pi", readers.read_pi, pi.normalize, pi.messages, pi.message_rows, _by_file(pi.message_facts)),
         Source(
-            "opencode", lambda spark, home: readers.read_opencode(spark, f"{home}/opencode"), opencode.normalize,
-            opencode.messages, opencode.message_rows,
+            "pi", readers.read_pi, pi.parse, pi.normalize_parsed, pi.messages, pi.message_rows,
+            _by_file(pi.message_facts),
+        ),
+        Source(
+            "opencode", lambda spark, home: readers.read_opencode(spark, f"{home}/opencode"), lambda raw: raw,
+            opencode.normalize, opencode.messages, opencode.message_rows,
             lambda raw, rows: rows.join(opencode.message_facts(raw), "message_id"),
         ),
         Source(
-            "claude", readers.read_claude, claude.normalize, claude.messages, claude.message_rows,
-            _by_file(claude.message_facts),
+            "claude", readers.read_claude, claude.parse, claude.normalize_parsed, claude.messages,
+            claude.message_rows, _by_file(claude.message_facts),
+        ),
+        Source(
+            "codex", readers.read_codex, codex.parse, codex.normalize_parsed, codex.messages, codex.message_rows,
+            _by_file(lambda parsed: codex.message_facts(parsed).withColumn("project", codex.project())),
         ),
-        Source("codex", readers.read_codex, codex.normalize, codex.messages, codex.message_rows, _codex_located),
         Source(
-            "gemini", readers.read_gemini, gemini.normalize, gemini.messages, gemini.message_rows,
-            lambda raw, rows: rows, aliased=False,
+            "gemini", readers.read_gemini, gemini.parse, gemini.normalize_parsed, gemini.messages,
+            gemini.message_rows, lambda parsed, rows: rows, aliased=False,
         ),
     )
 }
@@ -87,13 +100,18 @@ class Prices:
     @classmethod
     def of(cls, documents: DataFrame, aliases: DataFrame) -> Prices:
         listed = P.price_per_model(P.flatten_catalogue(documents))
-        return cls(P.dimension(listed), P.dimension(P.overlay_aliases(listed, aliases)))
+        small = P.is_small(listed)
+        return cls(*[F.broadcast(p) if small else p for p in (listed, P.overlay_aliases(listed, aliases))])
+
+
+def parse_all(raw: Mapping[str, Raw]) -> dict[str, Raw]:
+    return {name: SOURCES[name].parse(frame) for name, frame in raw.items()}
 
 
-def unified_events(raw: Mapping[str, Raw], prices: Prices) -> DataFrame:
+def unified_events(parsed: Mapping[str, Raw], prices: Prices) -> DataFrame:
     parts = [
         SOURCES[name].events(frame, prices.overlaid if SOURCES[name].aliased else prices.listed)
-        for name, frame in raw.items()
+        for name, frame in parsed.items()
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -103,5 +121,11 @@ def user_messages(raw: Mapping[str, Raw]) -> DataFrame:
     return reduce(DataFrame.unionByName, [SOURCES[name].messages(frame) for name, frame in raw.items()])
 
 
-def term_hits(raw: Mapping[str, Raw], lexicon: list[tuple[str, str, str]], mode: str = "compat") -> DataFrame:
-    return reduce(DataFrame.unionByName, [SOURCES[name].hits(frame, lexicon, mode) for name, frame in raw.items()])
+def term_hits(
+    raw: Mapping[str, Raw],
+    lexicon: list[tuple[str, str, str]],
+    mode: str = "compat",
+    parsed: Mapping[str, Raw] | None = None,
+) -> DataFrame:
+    found = [SOURCES[n].hits(frame, lexicon, mode, parsed and parsed[n]) for n, frame in raw.items()]
+    return reduce(DataFrame.unionByName, found)

@@ -26,7 +26,7 @@ def events(spark, home, prices):
     """Events by source, in time order."""
     raw = registry.discover(spark, home)
     assert set(raw) == set(registry.SOURCES)
-    frame = registry.unified_events(raw, prices)
+    frame = registry.unified_events(registry.parse_all(raw), prices)
     assert frame.schema.simpleString() == EVENT.simpleString()
     found = {}
     for r in sorted(frame.collect(), key=lambda r: (r.harness, r.ts or 0, r.tool or "", r.is_turn)):

@@ -126,8 +126,8 @@ def tool_turns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tool_errors(spark: SparkSession, sf: str) -> DataFrame:
-    raw = logs.claude(spark, sf)
-    judged = claude.judge_tool_uses(claude.tool_uses(raw), claude.tool_results(raw))
+    parsed = claude.parse(logs.claude(spark, sf))
+    judged = claude.judge_tool_uses(claude.tool_uses(parsed), claude.tool_results(parsed))
     return judged.selectExpr("filename", "timestamp", "model", "uuid", "use_id", "tool", "is_error")
 
 
@@ -137,7 +137,7 @@ def session_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 def document_terms(mode: str) -> Query:
     def query(spark: SparkSession, sf: str) -> DataFrame:
-        documents = adapter.table(spark, sf, "documents").select("doc_id", "text")
+        documents = adapter.spread(adapter.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
         return detect.detect(documents, adapter.LEXICON, mode=mode)
 
     return query
@@ -235,7 +235,7 @@ def display_texts(spark: SparkSession, sf: str) -> DataFrame:
         "whole": D.round_even("l_quantity / 2"),
         "mood": D.mood("l_linenumber * 2 - 2"),
     }
-    lines = adapter.table(spark, sf, "lineitem")
+    lines = adapter.spread(adapter.table(spark, sf, "lineitem"), "l_orderkey")
     return lines.selectExpr("l_orderkey", "l_linenumber", "l_quantity", *[f"{t} AS {n}" for n, t in texts.items()])
 
 
