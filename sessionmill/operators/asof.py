@@ -18,27 +18,11 @@ Every row takes part whatever the skew; only the layout differs.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUANTILES = 1024
-
-
-@dataclass(frozen=True)
-class Skew:
-    """When a key counts as hot and how finely it is split.
-
-    Only the ``max_keys`` largest keys are split, which bounds what the driver
-    and the broadcasts hold: ``max_keys`` rows of at most ``QUANTILES`` cuts.
-    Any key beyond them holds less than 1 / ``max_keys`` of the rows and stays
-    one partition.
-    """
-
-    min_rows: int = 1_000_000
-    rows_per_task: int = 1_000_000
-    max_keys: int = 4096
+from sessionmill.operators.skew import QUANTILES, Skew, held, hot_keys
 
 
 def asof(
@@ -96,21 +80,6 @@ def asof(
     return found.unionByName(never)
 
 
-def hot_keys(rows: DataFrame, keys: Sequence[str], skew: Skew) -> DataFrame | None:
-    """The largest keys at or above ``skew.min_rows``, at most ``skew.max_keys``; None if there are none.
-
-    Runs one job over the key columns, pre-aggregated before its shuffle.
-    """
-    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= skew.min_rows)
-    return _held(counted.orderBy(F.desc("_rows"), *keys).limit(skew.max_keys).select(*keys))
-
-
-def _held(small: DataFrame) -> DataFrame | None:
-    """A frame of bounded size as a local relation, so that plans using it repeatedly stay small."""
-    rows = small.collect()
-    return small.sparkSession.createDataFrame(rows, small.schema) if rows else None
-
-
 def _lay_out(
     points: DataFrame, states: DataFrame, keys: list[str], skew: Skew, hot: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
@@ -119,13 +88,13 @@ def _lay_out(
         states.join(F.broadcast(hot), keys, "left_semi").groupBy(*keys, "_at").agg(F.max("_state").alias("_state"))
     )
     layout = hot.withColumn("_hot", F.lit(True))
-    cuts = _held(_cuts(collapsed, keys, skew))
+    cuts = held(_cuts(collapsed, keys, skew))
     layout = layout.withColumn("_cuts", F.array().cast("array<bigint>")) if cuts is None else layout.join(
         cuts, keys, "left"
     ).withColumn("_cuts", F.coalesce("_cuts", F.array().cast("array<bigint>")))
 
     # How many salts each crowded bucket gets.
-    crowded = _held(
+    crowded = held(
         points.select(*keys, "_at")
         .join(F.broadcast(layout), keys)
         .groupBy(*keys, _bucket_of(F.col("_at")).alias("_bucket"))

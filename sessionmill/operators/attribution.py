@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionmill.operators.asof import Skew, asof
+from sessionmill.operators.asof import asof
+from sessionmill.operators.skew import Skew
 from sessionmill.schemas import ATTRIBUTED_HIT, SESSION_KEY
 
 

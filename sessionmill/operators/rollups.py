@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionmill.functions import display as D
-from sessionmill.operators.asof import Skew
+from sessionmill.operators.skew import Skew
 from sessionmill.operators.attribution import attribute_tools
 from sessionmill.schemas import SESSION_KEY, USAGE_KEY
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from sessionmill.operators import attribution, lexicon, rollups
 from sessionmill.operators import pricing as P
-from sessionmill.operators.asof import Skew
+from sessionmill.operators.skew import Skew
 from sessionmill.plans.store import Rollups
 from sessionmill.schemas import ATTRIBUTED_HIT, HIT
 from sessionmill.sources import readers, registry
@@ -73,7 +73,10 @@ def write_tables(
         store(spark.createDataFrame([], HIT), "hits_raw")
         hits = store(spark.createDataFrame([], ATTRIBUTED_HIT), "hits")
     else:
-        found = store(registry.term_hits(raw, terms, term_mode, parsed), "hits_raw")
+        hits = registry.term_hits(
+            raw, terms, term_mode, parsed, lambda name: lambda frame: store(frame, f"found/{name}")
+        )
+        found = store(hits, "hits_raw")
         hits = store(attribution.attribute_hits(found, events, skew), "hits")
     tools = store(rollups.model_tools(events, skew), "model_tools")
     stats = store(rollups.session_model_stats(events, tools), "stats")

@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from sessionmill.operators import rollups
-from sessionmill.operators.asof import Skew
+from sessionmill.operators.skew import Skew
 from sessionmill.operators.attribution import attribute_hits
 from sessionmill.schemas import ATTRIBUTED_HIT
 

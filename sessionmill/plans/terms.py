@@ -9,7 +9,7 @@ from sessionmill.functions import display as D
 from sessionmill.functions import values as V
 from sessionmill.plans.filters import Filters, matching
 from sessionmill.plans.store import Rollups
-from sessionmill.schemas import SESSION_KEY
+from sessionmill.schemas import SESSION_KEY, USAGE_KEY
 
 TOP = 20
 
@@ -20,30 +20,41 @@ def _total(value: Column | str) -> Column:
     return F.coalesce(F.sum(value), F.lit(0)).cast("bigint")
 
 
-def _hits() -> Column:
-    return F.count(F.lit(1)).alias("count")
+def _severity_counts() -> list[Column]:
+    return [
+        F.sum(F.when(c("severity") == s, c("count")).otherwise(0)).alias(f"{s}_count")
+        for s in ("strong", "moderate", "mild")
+    ]
 
 
-def _severity_counts() -> list[Column]:
-    return [F.count_if(c("severity") == s).alias(f"{s}_count") for s in ("strong", "moderate", "mild")]
+def _feel() -> Column:
+    return F.sum(F.expr(D.feel_points("severity")) * c("count")).alias("feel_score")
 
 
-def _hit_rows(r: Rollups, f: Filters) -> DataFrame:
-    """Hits of existing sessions that pass the filters; a tool filter asks for the tool in the session."""
-    rows = f.equal(r.hits, "filename", "harness", "provider", "model")
-    sessions = f.equal(f.recent(r.session_facts), "project")
-    rows = rows.join(sessions.select(*SESSION_KEY), SESSION_KEY, "left_semi")
+def _counted(rows: DataFrame) -> DataFrame:
+    """Hits as counts per session, model, group and severity.
+
+    All questions are about counts.  Counting comes before any join, so a
+    session with very many hits reaches the join as a few rows.
+    """
+    return rows.groupBy(*USAGE_KEY, "group_name", "severity").agg(F.count(F.lit(1)).alias("count"))
+
+
+def _hit_counts(r: Rollups, f: Filters) -> DataFrame:
+    """Counted hits of existing sessions that pass the filters; a tool filter asks for the tool in the session."""
+    rows = _counted(f.equal(r.hits, "filename", "harness", "provider", "model"))
+    rows = matching(rows, f.equal(f.recent(r.session_facts), "project"))
     return f.having(rows, r.model_tools, "tool")
 
 
-def _with_tool_of_turn(rows: DataFrame, r: Rollups, f: Filters) -> DataFrame:
-    """Hits whose turn's model used the tool; an unattributed hit accepts any model."""
+def _with_tool_of_turn(counts: DataFrame, r: Rollups, f: Filters) -> DataFrame:
+    """Counted hits whose turn's model used the tool; an unattributed hit accepts any model."""
     if not f.tool:
-        return rows
+        return counts
     used = f.equal(r.model_tools, "tool").select(
         *SESSION_KEY, c("model").alias("_model"), c("provider").alias("_provider")
     ).distinct()
-    h, t = rows.alias("h"), used.alias("t")
+    h, t = counts.alias("h"), used.alias("t")
     same_session = (c("h.harness") == c("t.harness")) & (c("h.filename") == c("t.filename"))
     same_model = c("h.model").isNull() | (c("h.model") == c("t._model"))
     same_provider = c("h.provider").isNull() | c("h.provider").eqNullSafe(c("t._provider"))
@@ -53,33 +64,37 @@ def _with_tool_of_turn(rows: DataFrame, r: Rollups, f: Filters) -> DataFrame:
 def session_terms(r: Rollups, harness: str, filename: str) -> DataFrame:
     """Term groups of one session.  The feel weighs every hit of a group with the group's severity."""
     rows = r.hits.where((c("harness") == harness) & (c("filename") == filename))
-    groups = rows.groupBy("group_name").agg(
-        F.min("severity").alias("severity"), _hits(), *_severity_counts(),
-        F.array_join(F.array_sort(F.collect_set("word")), ", ").alias("words"),
-    )
-    # Totals over the groups, a handful of rows, before the list is cut.
+    words = rows.groupBy("group_name", "severity", "word").agg(F.count(F.lit(1)).alias("count"))
+    groups = words.groupBy("group_name").agg(
+        F.min("severity").alias("severity"), _total("count").alias("_count"), *_severity_counts(),
+        F.expr("array_join(array_sort(collect_set(word)), ', ')").alias("words"),
+    ).withColumnRenamed("_count", "count")
+    # Totals over the groups, no more rows than the dictionary has, before the list is cut.
     everything = Window.partitionBy(F.lit(0))
     scored = groups.withColumns({
         "total_hits": F.sum("count").over(everything),
         "feel_score": F.sum(F.expr(D.feel_points("severity")) * c("count")).over(everything),
     })
-    return scored.withColumn("feel_display", F.expr(D.mood("feel_score"))).orderBy(F.desc("count"), "group_name").limit(TOP)
+    return scored.withColumn("feel_display", F.expr(D.mood("feel_score"))).orderBy(
+        F.desc("count"), "group_name"
+    ).limit(TOP)
 
 
 def term_groups(r: Rollups, f: Filters = Filters()) -> DataFrame:
-    groups = _hit_rows(r, f).groupBy("group_name").agg(F.min("severity").alias("severity"), _hits())
+    groups = _hit_counts(r, f).groupBy("group_name").agg(
+        F.min("severity").alias("severity"), _total("count").alias("count")
+    )
     return groups.orderBy(F.desc("count"), "group_name").limit(TOP)
 
 
-def _per_session(rows: DataFrame, *keys: str) -> DataFrame:
-    """Hits counted per session and key first: what is left to count are distinct sessions."""
-    extra = [k for k in keys if k not in SESSION_KEY]
-    return rows.groupBy(*SESSION_KEY, *extra).agg(_hits())
+def _per_session(counts: DataFrame, *keys: str) -> DataFrame:
+    """One row per session and key: what is left to count are distinct sessions."""
+    return counts.groupBy(*SESSION_KEY, *keys).agg(_total("count").alias("count"))
 
 
 def term_models(r: Rollups, f: Filters = Filters()) -> DataFrame:
-    rows = _hit_rows(r, f).where(c("model") != "")
-    groups = _per_session(rows, "model", "provider").groupBy("model", "provider").agg(
+    counts = _hit_counts(r, f).where(c("model") != "")
+    groups = _per_session(counts, "model", "provider").groupBy("model", "provider").agg(
         _total("count").alias("count"), F.count(F.lit(1)).alias("sessions")
     )
     return (
@@ -90,7 +105,7 @@ def term_models(r: Rollups, f: Filters = Filters()) -> DataFrame:
 
 
 def term_harnesses(r: Rollups, f: Filters = Filters()) -> DataFrame:
-    groups = _per_session(_hit_rows(r, f)).groupBy("harness").agg(
+    groups = _per_session(_hit_counts(r, f)).groupBy("harness").agg(
         _total("count").alias("count"), F.count(F.lit(1)).alias("sessions")
     )
     return groups.orderBy(F.desc("count"), "harness")
@@ -102,14 +117,13 @@ def term_model_harnesses(r: Rollups, f: Filters = Filters()) -> DataFrame:
     Hits are first reduced to one row per session and model; joined to the
     sessions after that, every session adds its user turns once.
     """
-    rows = f.equal(r.hits, "filename", "harness", "provider", "model")
-    rows = _with_tool_of_turn(rows, r, f)
-    named = rows.select(
-        *SESSION_KEY, "severity", *[F.coalesce(n, F.lit("unknown")).alias(n) for n in ("model", "provider")]
-    )
-    per_session = named.groupBy(*SESSION_KEY, "model", "provider").agg(
-        _hits(), *_severity_counts(), F.sum(F.expr(D.feel_points("severity"))).alias("feel_score")
+    counts = _counted(f.equal(r.hits, "filename", "harness", "provider", "model"))
+    named = _with_tool_of_turn(counts, r, f).withColumns(
+        {n: F.coalesce(n, F.lit("unknown")) for n in ("model", "provider")}
     )
+    per_session = named.groupBy(*USAGE_KEY).agg(
+        *_severity_counts(), _feel(), _total("count").alias("_count")
+    ).withColumnRenamed("_count", "count")
     sessions = f.equal(f.recent(r.session_facts), "project").select(*SESSION_KEY, "user_turns")
     sums = ("count", "strong_count", "moderate_count", "mild_count", "feel_score")
     groups = per_session.join(sessions, SESSION_KEY).groupBy("harness", "model", "provider").agg(
@@ -118,8 +132,8 @@ def term_model_harnesses(r: Rollups, f: Filters = Filters()) -> DataFrame:
         _total("user_turns").alias("user_turns"),
     )
     return groups.select(
-        "harness", "model", "provider", *sums, F.expr(D.mood("feel_score")).alias("feel_display"), "sessions", "user_turns",
-        F.expr(D.ratio("count", "user_turns", 2, "0.00")).alias("swears_per_user_turn_display"),
+        "harness", "model", "provider", *sums, F.expr(D.mood("feel_score")).alias("feel_display"), "sessions",
+        "user_turns", F.expr(D.ratio("count", "user_turns", 2, "0.00")).alias("swears_per_user_turn_display"),
     ).orderBy(F.desc("count"), F.desc("feel_score"), "harness", "model", "provider")
 
 
@@ -128,17 +142,20 @@ def term_summary(r: Rollups, f: Filters = Filters()) -> DataFrame:
     sessions = f.equal(f.recent(r.session_facts), "project", "filename", "harness")
     sessions = f.having(sessions, r.stats, "provider", "model")
     sessions = f.having(sessions, r.model_tools, "tool").select(*SESSION_KEY, "user_turns")
-    rows = matching(f.equal(r.hits, "provider", "model", "filename", "harness"), sessions)
+    counts = _counted(f.equal(r.hits, "provider", "model", "filename", "harness"))
 
-    per_group = rows.groupBy(*SESSION_KEY, "group_name").agg(_hits(), F.count_if(c("severity") == "strong").alias("strong"))
-    groups = per_group.groupBy("group_name").agg(_total("count").alias("count"), _total("strong").alias("strong"))
+    per_session = matching(counts, sessions).groupBy(*SESSION_KEY, "group_name").agg(
+        _total("count").alias("count"),
+        F.sum(F.when(c("severity") == "strong", c("count")).otherwise(0)).alias("strong"),
+    )
+    groups = per_session.groupBy("group_name").agg(_total("count").alias("count"), _total("strong").alias("strong"))
     parts = [
         groups.agg(
             _total("count").alias("total_swears"),
             _total("strong").alias("strong_swears"),
-            F.min_by("group_name", F.struct(-c("count"), c("group_name"))).alias("top_group"),
+            F.expr("min_by(group_name, struct(-count, group_name))").alias("top_group"),
         ),
-        per_group.select(*SESSION_KEY).distinct().agg(F.count(F.lit(1)).alias("sessions_with_swears")),
+        per_session.select(*SESSION_KEY).distinct().agg(F.count(F.lit(1)).alias("sessions_with_swears")),
         sessions.agg(F.count(F.lit(1)).alias("sessions"), _total("user_turns").alias("user_turns")),
     ]
     # Three single rows with different columns become one.
@@ -177,7 +194,7 @@ def timeline(r: Rollups, f: Filters = Filters(), zone: str = "UTC") -> DataFrame
             "left_semi",
         )
     calls = f.equal(r.model_tools, "filename", "harness", "provider", "model", "tool")
-    hits = _with_tool_of_turn(f.equal(r.hits, "filename", "harness", "provider", "model"), r, f)
+    hits = _with_tool_of_turn(_counted(f.equal(r.hits, "filename", "harness", "provider", "model")), r, f)
 
     measures = (
         usage.select(*SESSION_KEY, "cost", (c("in_tok") + c("out_tok") + c("cache_tok")).alias("tokens"))
@@ -187,7 +204,8 @@ def timeline(r: Rollups, f: Filters = Filters(), zone: str = "UTC") -> DataFrame
         )
         .unionByName(
             hits.select(
-                *SESSION_KEY, F.lit(1).alias("profanity_hits"), F.expr(D.feel_points("severity")).alias("feel_score")
+                *SESSION_KEY, c("count").alias("profanity_hits"),
+                (F.expr(D.feel_points("severity")) * c("count")).alias("feel_score"),
             ),
             allowMissingColumns=True,
         )

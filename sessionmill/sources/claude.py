@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sessionmill.functions import values as V
 from sessionmill.operators import pricing as P
+from sessionmill.operators.skew import join_facts
 from sessionmill.sources.contract import Stage, as_events, as_is, as_messages, join_file_facts
 
 FOLDER = ".claude/projects"
@@ -134,20 +135,17 @@ def judge_tool_uses(uses: DataFrame, results: DataFrame) -> DataFrame:
     and one per record before they are joined.
     """
     failed = results.where("failed")
-    by_id = failed.where("use_id is not null").select("filename", F.col("use_id").alias("_id")).distinct()
-    by_record = failed.where("uuid is not null").select("filename", F.col("uuid").alias("_uuid")).distinct()
-    distinct = uses.distinct()
+    by_id = failed.where("use_id IS NOT NULL").select("filename", F.col("use_id").alias("_id")).distinct()
+    by_record = failed.where("uuid IS NOT NULL").select("filename", F.col("uuid").alias("_uuid")).distinct()
 
     def never(column: str) -> Column:
         """NULL never matches; give it a value of its own so that NULLs do not share a partition."""
         own = F.concat(F.lit("\u0000"), F.xxhash64(*uses.columns).cast("string"))
         return F.coalesce(F.col(column), own)
 
-    found = (
-        distinct.withColumns({"_id": never("use_id"), "_uuid": never("uuid")})
-        .join(by_id.withColumn("_hit_id", F.lit(1)), ["filename", "_id"], "left")
-        .join(by_record.withColumn("_hit_uuid", F.lit(1)), ["filename", "_uuid"], "left")
-    )
+    distinct = uses.distinct().withColumns({"_id": never("use_id"), "_uuid": never("uuid")})
+    found = join_facts(distinct, by_id.withColumn("_hit_id", F.lit(1)), ["filename", "_id"])
+    found = join_facts(found, by_record.withColumn("_hit_uuid", F.lit(1)), ["filename", "_uuid"])
     return found.select(*uses.columns, F.coalesce("_hit_id", "_hit_uuid", F.lit(0)).alias("is_error"))
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sessionmill.operators.skew import join_facts
 from sessionmill.schemas import EVENT, MESSAGE
 
 # What a normaliser does with its parsed frame before using it several times: a
@@ -47,8 +48,8 @@ def as_messages(rows: DataFrame, harness: str) -> DataFrame:
 def join_file_facts(rows: DataFrame, facts: DataFrame) -> DataFrame:
     """Spread per-file facts over the file's rows.
 
-    The facts are aggregated first, with partial aggregation on the map side,
-    and joined back: unlike a window over the file this lets adaptive execution
-    split a file that holds a large part of all rows.
+    The facts are aggregated, with partial aggregation on the map side, and
+    joined back: unlike a window over the file this holds when one file has a
+    large part of all rows.
     """
-    return rows.join(facts, "filename", "left")
+    return join_facts(rows, facts, ["filename"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sessionmill.functions import values as V
 from sessionmill.operators import pricing as P
+from sessionmill.operators.skew import join_facts
 from sessionmill.sources.contract import as_events, as_messages
 
 MESSAGE = "id string, session_id string, time_created bigint, data string"
@@ -52,7 +53,7 @@ def normalize_assistant(message: DataFrame, session: DataFrame, prices: DataFram
         V.to_count(F.col("d.tokens.output")).alias("out_tok"),
         V.to_count(F.col("d.tokens.cache.read")).alias("cache_tok"),
     )
-    rows = P.with_prices(rows, prices, F.col("modelID")).join(_directories(session), "filename", "left")
+    rows = join_facts(P.with_prices(rows, prices, F.col("modelID")), _directories(session), ["filename"])
     c = F.col
     cwd = F.coalesce(c("own_cwd"), c("directory"))
     priced = P.usage_cost(c("fresh_tok"), c("out_tok"), c("cache_tok"), c("write_tok"))
@@ -78,7 +79,7 @@ def _user_rows(message: DataFrame, session: DataFrame) -> DataFrame:
         F.col("session_id").cast("string").alias("filename"),
         F.col("time_created").cast("bigint").alias("ts"),
     )
-    return users.join(_directories(session), "filename")
+    return join_facts(users, _directories(session), ["filename"], "inner")
 
 
 def normalize_user(message: DataFrame, session: DataFrame) -> DataFrame:
@@ -110,7 +111,7 @@ def normalize_tool(part: DataFrame, message: DataFrame, session: DataFrame, pric
         F.col("id").alias("message_id"),
         F.from_json("data", "modelID string, providerID string, path struct<cwd: string>").alias("d"),
     ).select("message_id", "d.modelID", "d.providerID", F.col("d.path.cwd").alias("own_cwd"))
-    rows = calls.join(callers, "message_id").join(_directories(session), "filename", "left")
+    rows = join_facts(join_facts(calls, callers, ["message_id"], "inner"), _directories(session), ["filename"])
     rows = P.with_prices(rows, prices, F.col("modelID"))
     cwd = F.coalesce(F.col("own_cwd"), F.col("directory"))
     return as_events(
@@ -156,4 +157,4 @@ def message_facts(raw: dict[str, DataFrame]) -> DataFrame:
 
 
 def messages(raw: dict[str, DataFrame]) -> DataFrame:
-    return as_messages(message_rows(raw).join(message_facts(raw), "message_id"), "opencode")
+    return as_messages(join_facts(message_rows(raw), message_facts(raw), ["message_id"], "inner"), "opencode")

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from sessionmill.operators import detect as D
 from sessionmill.operators import pricing as P
+from sessionmill.operators.skew import join_facts
 from sessionmill.sources import claude, codex, gemini, opencode, pi, readers
-from sessionmill.sources.contract import join_file_facts
+from sessionmill.sources.contract import Stage, as_is, join_file_facts
 
 Raw = Any  # a DataFrame, or a dict of three for the relational source
 
@@ -37,14 +38,19 @@ class Source:
     aliased: bool = True
 
     def hits(
-        self, raw: Raw, lexicon: list[tuple[str, str, str]], mode: str = "compat", parsed: Raw | None = None
+        self,
+        raw: Raw,
+        lexicon: list[tuple[str, str, str]],
+        mode: str = "compat",
+        parsed: Raw | None = None,
+        stage: Stage = as_is,
     ) -> DataFrame:
         """Term hits of the source's user messages.
 
         Terms are found before project and folder are joined, so no text is
-        ever shuffled.
+        ever shuffled, and ``stage`` sees the hits without their texts.
         """
-        found = D.detect(self.message_rows(raw), lexicon, mode=mode)
+        found = stage(D.detect(self.message_rows(raw), lexicon, mode=mode))
         located = self.locate(self.parse(raw) if parsed is None else parsed, found)
         return D.as_hits(located.withColumn("harness", F.lit(self.name)))
 
@@ -63,7 +69,7 @@ SOURCES = {
         Source(
             "opencode", lambda spark, home: readers.read_opencode(spark, f"{home}/opencode"), lambda raw: raw,
             opencode.normalize, opencode.messages, opencode.message_rows,
-            lambda raw, rows: rows.join(opencode.message_facts(raw), "message_id"),
+            lambda raw, rows: join_facts(rows, opencode.message_facts(raw), ["message_id"], "inner"),
         ),
         Source(
             "claude", readers.read_claude, claude.parse, claude.normalize_parsed, claude.messages,
@@ -126,6 +132,7 @@ def term_hits(
     lexicon: list[tuple[str, str, str]],
     mode: str = "compat",
     parsed: Mapping[str, Raw] | None = None,
+    stage: Callable[[str], Stage] = lambda name: as_is,
 ) -> DataFrame:
-    found = [SOURCES[n].hits(frame, lexicon, mode, parsed and parsed[n]) for n, frame in raw.items()]
+    found = [SOURCES[n].hits(frame, lexicon, mode, parsed and parsed[n], stage(n)) for n, frame in raw.items()]
     return reduce(DataFrame.unionByName, found)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sessionmill.operators.asof import Skew
+from sessionmill.operators.skew import Skew
 from sessionmill.plans.refresh import write_tables
 from sessionmill.plans.store import TABLES, Rollups
 from sessionmill.schemas import SESSION_KEY

@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from sessionmill.operators.asof import Skew, asof
+from sessionmill.operators.asof import asof
+from sessionmill.operators.skew import Skew, join_facts
 
 POINT = "k string, f string, at bigint, id bigint"
 STATE = "k string, f string, at bigint, state struct<model: string, provider: string>"
@@ -85,3 +86,16 @@ def test_hot_key_is_spread(spark):
     # 500 points at one instant are salted, the rest cut by time.
     assert sum(sizes) == 1000 and max(sizes) <= 300 and len(sizes) >= 10
     assert spread_states.groupBy("_bucket", "_salt").count().agg(F.max("count")).first()[0] <= 120
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+@pytest.mark.parametrize("skew", [Skew(), Skew(min_rows=50, max_keys=2), Skew(min_rows=1)])
+def test_join_facts_equals_plain_join(spark, skew, how):
+    rows = spark.range(1000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 50 = 1 THEN NULL ELSE concat('k', id % 40) END AS k", "id"
+    )
+    facts = spark.createDataFrame([("hot", 1), ("k1", 2), ("k7", 3), (None, 4), ("unused", 5)], "k string, fact int")
+    got = join_facts(rows, facts, ["k"], how, skew)
+    want = rows.join(facts, ["k"], how)
+    assert got.columns == want.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))

@@ -11,7 +11,7 @@ from fixture_logs import MS, write_home
 
 from sessionmill.operators import lexicon
 from sessionmill.operators import pricing as P
-from sessionmill.operators.asof import Skew
+from sessionmill.operators.skew import Skew
 from sessionmill.plans import overview, refresh, terms
 from sessionmill.plans.bundles import VIEWS, answer, bundle
 from sessionmill.plans.filters import Filters
