@@ -26,6 +26,9 @@ class Skew:
     max_keys: int = 4096
 
 
+DEFAULT = Skew()
+
+
 def hot_keys(rows: DataFrame, keys: Sequence[str], skew: Skew) -> DataFrame | None:
     """The largest keys at or above ``skew.min_rows``, at most ``skew.max_keys``; None if there are none.
 
@@ -52,7 +55,7 @@ def join_facts(
     where they are read; all other rows are shuffled.
     """
     keys = list(keys)
-    skew = skew or Skew()
+    skew = skew or DEFAULT
     hot = hot_keys(rows.select(*keys), keys, skew)
     if hot is None:
         return rows.join(facts, keys, how)

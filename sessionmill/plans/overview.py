@@ -217,13 +217,12 @@ def session_list(r: Rollups, f: Filters = Filters(), rows: int = SESSION_ROWS, z
          "duration": "duration_sec", "turns": "agent_turns"},
         "start_time",
     )
-    # The order is decided on the session table; texts are made for the rows kept.
-    kept = (
-        _session_rows(r.sessions, r, f).withColumn("total_tokens", _tokens()).orderBy(*order, "harness", "filename").limit(rows)
-    )
+    # The order is decided on few columns; lists and texts are made for the rows kept.
+    facts = _session_rows(r.session_facts, r, f).withColumn("total_tokens", _tokens())
+    first = facts.orderBy(*order, "harness", "filename").limit(rows)
     seconds = F.floor(c("end_time") / 1000) - F.floor(c("start_time") / 1000)
-    kept = kept.withColumn("duration_sec_calc", seconds)
-    return kept.orderBy(*order, "harness", "filename").select(
+    kept = r.sessions_of(first).withColumns({"total_tokens": _tokens(), "duration_sec_calc": seconds})
+    return kept.orderBy(*order, "harness", "filename").limit(rows).select(
         "harness", "filename",
         V.zone_text(c("start_time"), zone).alias("start_time_str"),
         V.zone_text(c("end_time"), zone).alias("end_time_str"),

@@ -5,11 +5,12 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sessionmill.operators import rollups
 from sessionmill.operators.skew import Skew
 from sessionmill.operators.attribution import attribute_hits
-from sessionmill.schemas import ATTRIBUTED_HIT
+from sessionmill.schemas import ATTRIBUTED_HIT, SESSION_KEY
 
 TABLES = ("events", "model_tools", "stats", "sessions", "hits")
 
@@ -51,6 +52,17 @@ class Rollups:
     def sessions(self) -> DataFrame:
         return rollups.sessions(self.events, self.model_tools, self.stats)
 
+    def sessions_of(self, few: DataFrame) -> DataFrame:
+        """Full session rows of a handful of sessions, given by key; ``few`` is sent to every executor.
+
+        Sessions do not depend on each other, so where the session table has to
+        be computed, it is computed from the events of these sessions alone.
+        """
+        keys = F.broadcast(few.select(*SESSION_KEY))
+        if "sessions" in self.__dict__:
+            return self.sessions.join(keys, SESSION_KEY, "left_semi")
+        return Rollups(self.events.join(keys, SESSION_KEY, "left_semi"), skew=None).sessions
+
     @cached_property
     def hits(self) -> DataFrame:
         """Attributed hits; empty where no terms were collected."""

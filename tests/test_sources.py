@@ -3,7 +3,7 @@
 import pytest
 from fixture_logs import MS, write_home
 
-from sessionmill.operators import detect, lexicon
+from sessionmill.operators import detect, lexicon, skew
 from sessionmill.operators import pricing as P
 from sessionmill.schemas import EVENT, MESSAGE
 from sessionmill.sources import readers, registry
@@ -141,6 +141,14 @@ def test_hits_equal_detection_on_messages(spark, home):
     ])
 
 
+def test_hot_files_give_the_same_events(spark, home, prices, monkeypatch):
+    """With every key hot, all fact joins take the broadcast way."""
+    parsed = registry.parse_all(registry.discover(spark, home))
+    want = sorted(map(repr, registry.unified_events(parsed, prices).collect()))
+    monkeypatch.setattr(skew, "DEFAULT", skew.Skew(min_rows=1))
+    assert sorted(map(repr, registry.unified_events(parsed, prices).collect())) == want
+
+
 def test_absent_sources_are_skipped(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         registry.discover(spark, str(tmp_path / "nothing"))
