@@ -23,8 +23,8 @@ def _let(value: str, name: str, body: str) -> str:
 
 
 def fixed(value: str, places: int) -> str:
-    """printf('%.<places>f') of a double, for values that are not negative."""
-    x, scale = f"double({value})", f"{10**places}D"
+    """printf('%.<places>f') of a double."""
+    x, scale = f"abs(double({value}))", f"{10**places}D"
     floor = f"floor({x} * {scale})"
     # Distance of x * scale from the tie above the floor.  Splitting x at float
     # precision makes both products exact, so the sign is too; on a tie the tiny
@@ -34,7 +34,8 @@ def fixed(value: str, places: int) -> str:
     # A value at or below the tie goes down by a bit or two, which leaves the
     # digits of any other value as they are.
     nudged = f"if({beyond_tie} <= 0, {x} * {1 - 2**-51!r}D, {x})"
-    return f"if(({value}) IS NULL, NULL, format_string('%.{places}f', {nudged}))"
+    sign = f"if({value} < 0, '-', '')"
+    return f"if(({value}) IS NULL, NULL, concat({sign}, format_string('%.{places}f', {nudged})))"
 
 
 def money(value: str, places: int = 4) -> str:

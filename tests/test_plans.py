@@ -42,7 +42,7 @@ def test_nulls_are_last(spark, direction, want):
 
 def test_fixed_is_printf(spark):
     rng = random.Random(3)
-    values = [0.0, 0.15, 0.25, 0.35, 2.5, 12.25, 5e-5, 1.5e-4, 2.5e-4, 1e-30, 99.95, 0.99995, 1e15 + 0.5, -0.15, -3.25]
+    values = [0.0, 0.15, 0.25, 0.35, 2.5, 12.25, 5e-5, 1.5e-4, 2.5e-4, 1e-30, 99.95, 0.99995, 1e15 + 0.5, -0.15, -3.25, -1e-9]
     values += [rng.random() * 10 ** rng.randint(-6, 9) for _ in range(3000)]
     values += [rng.randint(0, 10**7) / 1000 for _ in range(3000)] + [rng.randint(0, 10**6) / 32 for _ in range(1000)]
     frame = spark.createDataFrame([(v,) for v in [None, *values]], "x double")

@@ -511,7 +511,7 @@ def _event(harness: str, **columns: str) -> str:
     flags = ("is_turn", "is_user", "is_tool", "is_error")
     listed = [f"'{harness}' AS harness"]
     listed += [f"CAST({columns.get(n, 'NULL')} AS VARCHAR) AS {n}" for n in text]
-    listed += [f"CAST({columns['ts']} AS BIGINT) AS ts", f"round(CAST({columns.get('cost', '0')} AS DOUBLE), 6) AS cost"]
+    listed += [f"CAST({columns['ts']} AS BIGINT) AS ts", f"round(CAST({columns.get('cost', '0')} AS DOUBLE), 9) AS cost"]
     listed += [f"CAST({columns.get(n, '0')} AS BIGINT) AS {n}" for n in whole]
     listed += [f"CAST({columns.get(n, '0')} AS INTEGER) AS {n}" for n in flags]
     listed += [f"CAST({columns.get('tool', 'NULL')} AS VARCHAR) AS tool"]

@@ -203,7 +203,7 @@ def _normalized(source: str) -> Query:
         p = logs.prices(spark, sf)
         module = {"pi": pi, "opencode": opencode, "claude": claude, "codex": codex, "gemini": gemini}[source]
         raw = getattr(logs, source)(spark, sf)
-        return rounded(module.normalize(raw, p.listed if source == "gemini" else p.overlaid), cost=6)
+        return rounded(module.normalize(raw, p.listed if source == "gemini" else p.overlaid), cost=9)
 
     return query
 
