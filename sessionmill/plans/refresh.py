@@ -9,7 +9,7 @@ they never see new events next to old rollups.  No message text is written.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -42,7 +42,7 @@ def refresh(
     prices = registry.Prices.of(readers.read_catalogue(spark, catalogue), P.alias_frame(spark, aliases))
     terms = lexicon.entries(lexicon.build(spark, dictionary, dictionary_mode)) if collect_terms else None
     run = f"{out}/run={dt.datetime.now(dt.timezone.utc):%Y%m%dT%H%M%S%f}"
-    write_tables(spark, raw, prices, terms, run, term_mode, skew)
+    write_tables(spark, raw, prices, terms, lambda table: f"{run}/{table}", term_mode, skew)
     publish(spark, out, run)
     return run
 
@@ -52,16 +52,21 @@ def write_tables(
     raw: Mapping[str, registry.Raw],
     prices: registry.Prices,
     terms: list[tuple[str, str, str]] | None,
-    run: str,
+    place: Callable[[str], str],
     term_mode: str = "compat",
     skew: Skew | None = Skew(),
 ) -> Rollups:
-    """Write all tables of one run.  ``terms`` None leaves the hit tables empty and reads no text."""
+    """Write all tables, each to the folder ``place`` gives for its name.
+
+    ``terms`` None leaves the hit tables empty and reads no text.  Events are
+    partitioned by harness, so a question about one reads only its files.
+    """
 
     def store(frame: DataFrame, table: str) -> DataFrame:
-        path = f"{run}/{table}"
-        frame.write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+        path = place(table)
+        parts = ["harness"] if table == "events" else []
+        frame.write.mode("overwrite").partitionBy(*parts).parquet(path)
+        return spark.read.parquet(path).select(*frame.columns)
 
     # The parsed logs, without texts: events take several looks at them.
     parsed = {

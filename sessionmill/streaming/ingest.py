@@ -10,13 +10,12 @@ failure rewrites exactly its own version.
 from __future__ import annotations
 
 import datetime as dt
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sessionmill.operators.skew import Skew
+from sessionmill.operators.skew import Skew, join_facts
 from sessionmill.plans.refresh import write_tables
 from sessionmill.plans.store import TABLES, Rollups
 from sessionmill.schemas import SESSION_KEY
@@ -45,15 +44,12 @@ def store_batch(
     skew: Skew | None = Skew(),
 ) -> None:
     """Roll up the sessions of some files and make them the current version of those sessions."""
-    tables = write_tables(spark, {source: raw}, prices, terms, _folder(out, source, version), skew=skew)
-    keys = tables.events.select(*SESSION_KEY).distinct().withColumns(
-        {"source": F.lit(source), "version": F.lit(version).cast("bigint")}
-    )
-    keys.write.mode("overwrite").parquet(f"{out}/{INDEX}/{source}/{version}")
-
+    def place(table: str) -> str:
+        return f"{out}/{table}/source={source}/version={version}"
 
-def _folder(out: str, source: str, version: int) -> str:
-    return f"{out}/batch/{source}/{version}"
+    tables = write_tables(spark, {source: raw}, prices, terms, place, skew=skew)
+    keys = tables.events.select(*SESSION_KEY).distinct()
+    keys.write.mode("overwrite").parquet(place(INDEX))
 
 
 def stream_source(
@@ -113,20 +109,18 @@ def store_changed(
 
 
 def load(spark: SparkSession, out: str) -> Rollups:
-    """All tables with the newest version of every session."""
-    index = spark.read.option("recursiveFileLookup", True).parquet(f"{out}/{INDEX}")
-    newest = index.groupBy(*SESSION_KEY, "source").agg(F.max("version").alias("version"))
-    batches = sorted(tuple(r) for r in index.select("source", "version").distinct().collect())
+    """All tables with the newest version of every session.
+
+    Source and version are partition columns, so any number of batches is one
+    scan, and the plan does not grow with them.
+    """
+    version = F.col("version").cast("bigint")
+    index = spark.read.parquet(f"{out}/{INDEX}").groupBy(*SESSION_KEY, "source")
+    newest = index.agg(F.max(version).alias("version"))
 
     def table(name: str) -> DataFrame:
-        parts = [
-            spark.read.parquet(f"{_folder(out, source, version)}/{name}").withColumns(
-                {"source": F.lit(source), "version": F.lit(version).cast("bigint")}
-            )
-            for source, version in batches
-        ]
-        rows = reduce(DataFrame.unionByName, parts)
-        kept = rows.join(newest, [*SESSION_KEY, "source", "version"], "left_semi")
+        rows = spark.read.parquet(f"{out}/{name}").withColumn("version", version)
+        kept = join_facts(rows, newest.withColumn("_kept", F.lit(1)), [*SESSION_KEY, "source", "version"], "inner")
         return kept.select(*[c for c in rows.columns if c not in ("source", "version")])
 
     return Rollups(**{name: table(name) for name in TABLES})
