@@ -44,8 +44,17 @@ def held(small: DataFrame) -> DataFrame | None:
     return small.sparkSession.createDataFrame(rows, small.schema) if rows else None
 
 
+def any_hot(rows: DataFrame, keys: Sequence[str], skew: Skew | None = None) -> bool:
+    return hot_keys(rows.select(*keys), keys, skew or DEFAULT) is not None
+
+
 def join_facts(
-    rows: DataFrame, facts: DataFrame, keys: Sequence[str], how: str = "left", skew: Skew | None = None
+    rows: DataFrame,
+    facts: DataFrame,
+    keys: Sequence[str],
+    how: str = "left",
+    skew: Skew | None = None,
+    split: bool = True,
 ) -> DataFrame:
     """Join ``facts``, at most one row per key, to many ``rows`` per key; ``how`` is 'left' or 'inner'.
 
@@ -53,10 +62,12 @@ def join_facts(
     of an aggregation that already has the join's partitioning.  So rows of hot
     keys meet their facts, at most ``max_keys`` rows, by broadcast and stay
     where they are read; all other rows are shuffled.
+
+    Counting keys reads ``rows`` once more; ``split=False`` is for callers that
+    know from a cheaper count that no key is hot.
     """
     keys = list(keys)
-    skew = skew or DEFAULT
-    hot = hot_keys(rows.select(*keys), keys, skew)
+    hot = hot_keys(rows.select(*keys), keys, skew or DEFAULT) if split else None
     if hot is None:
         return rows.join(facts, keys, how)
     hot = F.broadcast(hot)

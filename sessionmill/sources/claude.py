@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sessionmill.functions import values as V
 from sessionmill.operators import pricing as P
-from sessionmill.operators.skew import join_facts
+from sessionmill.operators.skew import any_hot, join_facts
 from sessionmill.sources.contract import Stage, as_events, as_is, as_messages, join_file_facts
 
 FOLDER = ".claude/projects"
@@ -127,7 +127,7 @@ def tool_results(parsed: DataFrame) -> DataFrame:
     )
 
 
-def judge_tool_uses(uses: DataFrame, results: DataFrame) -> DataFrame:
+def judge_tool_uses(uses: DataFrame, results: DataFrame, split: bool = True) -> DataFrame:
     """Distinct tool uses with ``is_error`` 1 if a failed result names their id or their record.
 
     "Same id or same record" is two equality joins: the only thing asked of the
@@ -144,13 +144,13 @@ def judge_tool_uses(uses: DataFrame, results: DataFrame) -> DataFrame:
         return F.coalesce(F.col(column), own)
 
     distinct = uses.distinct().withColumns({"_id": never("use_id"), "_uuid": never("uuid")})
-    found = join_facts(distinct, by_id.withColumn("_hit_id", F.lit(1)), ["filename", "_id"])
-    found = join_facts(found, by_record.withColumn("_hit_uuid", F.lit(1)), ["filename", "_uuid"])
+    found = join_facts(distinct, by_id.withColumn("_hit_id", F.lit(1)), ["filename", "_id"], split=split)
+    found = join_facts(found, by_record.withColumn("_hit_uuid", F.lit(1)), ["filename", "_uuid"], split=split)
     return found.select(*uses.columns, F.coalesce("_hit_id", "_hit_uuid", F.lit(0)).alias("is_error"))
 
 
-def _tool_calls(parsed: DataFrame) -> DataFrame:
-    judged = judge_tool_uses(tool_uses(parsed), tool_results(parsed))
+def _tool_calls(parsed: DataFrame, split: bool) -> DataFrame:
+    judged = judge_tool_uses(tool_uses(parsed), tool_results(parsed), split)
     return judged.select("filename", "ts", "model", "tool", "is_error", F.lit(1).alias("is_tool"))
 
 
@@ -159,15 +159,17 @@ def normalize(raw: DataFrame, prices: DataFrame, stage: Stage = as_is) -> DataFr
 
 
 def normalize_parsed(parsed: DataFrame, prices: DataFrame) -> DataFrame:
+    # All joins are within a file: one count of records per file tells whether any needs care.
+    split = any_hot(parsed, ["filename"])
     users = parsed.where("said").select("filename", "ts", F.lit(1).alias("is_user"))
     rows = (
         _assistant(parsed, prices)
         .unionByName(users, allowMissingColumns=True)
-        .unionByName(_tool_calls(parsed), allowMissingColumns=True)
+        .unionByName(_tool_calls(parsed, split), allowMissingColumns=True)
     )
     numbers = ("cost", "in_tok", "out_tok", "cache_tok", "is_turn", "is_user", "is_tool", "is_error")
     return as_events(
-        join_file_facts(rows, file_facts(parsed)),
+        join_file_facts(rows, file_facts(parsed), split),
         "claude",
         provider=F.lit(PROVIDER),
         **{c: F.col(c) for c in ("project", "model", "session_cwd", "ts", "tool")},

@@ -45,11 +45,11 @@ def as_messages(rows: DataFrame, harness: str) -> DataFrame:
     return kept.withColumn("harness", F.lit(harness)).select(*[F.col(f.name).cast(f.dataType) for f in MESSAGE.fields])
 
 
-def join_file_facts(rows: DataFrame, facts: DataFrame) -> DataFrame:
+def join_file_facts(rows: DataFrame, facts: DataFrame, split: bool = True) -> DataFrame:
     """Spread per-file facts over the file's rows.
 
     The facts are aggregated, with partial aggregation on the map side, and
     joined back: unlike a window over the file this holds when one file has a
     large part of all rows.
     """
-    return join_facts(rows, facts, ["filename"])
+    return join_facts(rows, facts, ["filename"], split=split)

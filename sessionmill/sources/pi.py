@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sessionmill.functions import values as V
 from sessionmill.operators import pricing as P
+from sessionmill.operators.skew import any_hot
 from sessionmill.sources.contract import Stage, as_events, as_is, as_messages, join_file_facts
 
 GLOB = ".pi/agent/sessions/*/*.jsonl"
@@ -52,7 +53,8 @@ def normalize(raw: DataFrame, prices: DataFrame, stage: Stage = as_is) -> DataFr
 
 
 def normalize_parsed(parsed: DataFrame, prices: DataFrame) -> DataFrame:
-    rows = join_file_facts(P.with_prices(parsed, prices, F.col("model")), _projects(parsed))
+    split = any_hot(parsed, ["filename"])
+    rows = join_file_facts(P.with_prices(parsed, prices, F.col("model")), _projects(parsed), split)
     c = F.col
     result = c("role") == "toolResult"
     return as_events(

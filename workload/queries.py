@@ -14,6 +14,7 @@ from sessionmill.functions import values as V
 from sessionmill.operators import attribution, detect, lexicon, resume
 from sessionmill.operators import pricing as P
 from sessionmill.operators.asof import asof
+from sessionmill.operators.skew import any_hot
 from sessionmill.plans import overview, terms
 from sessionmill.plans.filters import Filters
 from sessionmill.plans.store import Rollups
@@ -127,7 +128,9 @@ def tool_turns(spark: SparkSession, sf: str) -> DataFrame:
 
 def tool_errors(spark: SparkSession, sf: str) -> DataFrame:
     parsed = claude.parse(logs.claude(spark, sf))
-    judged = claude.judge_tool_uses(claude.tool_uses(parsed), claude.tool_results(parsed))
+    judged = claude.judge_tool_uses(
+        claude.tool_uses(parsed), claude.tool_results(parsed), any_hot(parsed, ["filename"])
+    )
     return judged.selectExpr("filename", "timestamp", "model", "uuid", "use_id", "tool", "is_error")
 
 
