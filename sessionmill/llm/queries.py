@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionmill.llm import bpe
+from sessionmill.llm import bpe, language, toxicity
 from sessionmill.llm.frames import read
 
 
@@ -14,6 +14,18 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.held_out_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted", "expected", "n_words", "spans")
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.held_out_predictions(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "ambiguous", "bit_errors")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op3_toxicity": op3_toxicity,
+    "op4_language": op4_language,
 }
