@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionmill.llm import bpe, language, toxicity
+from sessionmill.llm import bpe, katz, language, toxicity
 from sessionmill.llm.frames import read
 
 
@@ -24,8 +24,14 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "ambiguous", "bit_errors")
 
 
+def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = katz.held_out_scores(read(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_toxicity": op3_toxicity,
     "op4_language": op4_language,
+    "op5_katz": op5_katz,
 }
