@@ -56,23 +56,23 @@ class Steps:
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.folder = spark, shared_folder(spark)
+        # A finished step has its table; Spark is to delete the shuffle files that led to it.
+        spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
     def keep(self, frame: DataFrame, name: str) -> DataFrame:
         path = f"{self.folder}/{name}"
         frame.write.mode("error").parquet(path)
-        self.release()
         return self.spark.read.schema(frame.schema).parquet(path)
 
+    def keep_by(self, frame: DataFrame, name: str, key: str, parts: int) -> DataFrame:
+        """A table whose files are dealt by ``key``: grouping by it moves no row."""
+        table = "llm_" + self.folder.rpartition("-")[2] + "_" + name
+        frame.write.bucketBy(parts, key).option("path", f"{self.folder}/{name}").saveAsTable(table)
+        return self.spark.table(table)
+
     def drop(self, *names: str) -> None:
         """Delete tables of this run that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-    def release(self) -> None:
-        """Let Spark delete the shuffle files of finished steps: it does when their plans are collected."""
-        import gc
-
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()

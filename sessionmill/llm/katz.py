@@ -349,12 +349,11 @@ def score(docs: DataFrame, learn: Column | None = None) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     steps = Steps(spark)
-    # More buckets than tasks: a bucket is one group in memory.
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a bucket is one group in memory
     source = texts(docs).withColumn(
         "learn", F.coalesce((F.lit(True) if learn is None else learn) & F.col("doc_id").isNotNull(), F.lit(False))
     )
-    chunks = steps.keep(source.mapInArrow(encode, CHUNKS), "chunks")
+    chunks = steps.keep_by(source.mapInArrow(encode, CHUNKS), "chunks", "chunk", buckets)
     counted = steps.keep(
         chunks.select("chunk", "vocabulary", "trained").mapInArrow(lambda b: ask_words(b, buckets), MESSAGES)
         .groupBy("bucket").applyInArrow(count_words, MESSAGES),
