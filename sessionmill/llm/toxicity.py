@@ -3,7 +3,7 @@
 Labels say only which documents are toxic. Tokens are labelled from them: a word, prefix or suffix that is found in far
 more toxic than other documents marks its tokens in toxic documents. A two-state chain over the tokens of a sentence is
 then fitted to these labels by its exact gradient (forward-backward), and a document's score is a logistic function of
-the expected number of toxic tokens, the largest marginal and the length. Fitting uses a bounded sample of labelled rows
+the expected number of toxic tokens, the largest marginal, the length and the rate. Fitting uses a bounded sample of labelled rows
 (``SAMPLE_TOXIC``, ``SAMPLE_OTHER``, in expectation, of texts up to ``SAMPLE_CHARS``); scoring reads every whole text
 and shuffles nothing.
 
@@ -16,6 +16,7 @@ labels (0 if there are none); other columns are not read.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,11 +27,11 @@ from pyspark.sql import functions as F
 from sessionmill.llm.frames import fold, small_batches, texts
 from sessionmill.llm.text import U64, Words, joined, mix, run_hash, slices, words
 
-SAMPLE_TOXIC, SAMPLE_OTHER, SAMPLE_CHARS = 2_000, 4_000, 20_000
+SAMPLE_TOXIC, SAMPLE_OTHER, SAMPLE_CHARS = 1_500, 3_000, 20_000
 BITS = 17
 CHAIN = 128
-PREFIXES, SUFFIXES = (3, 4, 5, 6, 7), (3, 4, 5)
-MARK_RATIO, MARK_SHARE, MARK_LEAST = 10.0, 0.008, 4
+PREFIXES, SUFFIXES = (4, 5, 6, 7, 8), (4, 5)
+MARK_RATIO, MARK_SHARE, MARK_LEAST = 12.0, 0.008, 4
 EPOCHS = 30
 SCHEMA = (
     "doc_id long, score double, predicted int, expected double, n_words long,"
@@ -117,11 +118,6 @@ def marginals(
     return odds / (1 + odds), expected
 
 
-def _inputs(of: list[str]) -> tuple[Words, np.ndarray]:
-    data, offsets = joined(pa.array(of, pa.string()))
-    return words(data, offsets), offsets
-
-
 def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-3) -> np.ndarray:
     """Newton's method; the first column is the constant."""
     beta = np.zeros(x.shape[1])
@@ -135,13 +131,15 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-3
     return beta
 
 
-def document_inputs(p: np.ndarray, w: Words, docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Columns for the document's logistic function, and the expected number of toxic words."""
-    expected = np.bincount(w.doc, weights=p, minlength=docs)
+def document_inputs(p: np.ndarray, doc: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Columns for the logistic function of documents with ``n`` words, and their expected numbers of toxic words."""
+    docs = len(n)
+    expected = np.bincount(doc, weights=p, minlength=docs)
     top = np.zeros(docs)
-    np.maximum.at(top, w.doc, p)
-    n = w.counts
-    return np.stack([np.ones(docs), np.log1p(expected), np.log1p(np.maximum(expected - 1, 0)), top, np.log1p(n)], axis=1), expected
+    np.maximum.at(top, doc, p)
+    rate = expected / (n + 20)  # a long text has words that look like a mark by chance
+    columns = [np.ones(docs), np.log1p(expected), np.log1p(np.maximum(expected - 1, 0)), top, np.log1p(n), np.log1p(100 * rate), np.log1p(1000 * rate)]
+    return np.stack(columns, axis=1), expected
 
 
 def fit(sample: list[tuple[str, int]], epochs: int = EPOCHS) -> Crf:
@@ -149,39 +147,58 @@ def fit(sample: list[tuple[str, int]], epochs: int = EPOCHS) -> Crf:
     sample = sorted(set(sample))  # a text copied many times would make all its words marks
     y = np.array([t for _, t in sample], dtype=float)
     prior = float(y.mean()) if len(y) else 0.0
-    nothing = Crf(np.zeros(1 << BITS), 0.0, np.ones((2, 2)), np.zeros(5), np.zeros(5), prior)
+    nothing = Crf(np.zeros(1 << BITS), 0.0, np.ones((2, 2)), np.zeros(7), np.zeros(7), prior)
     if not 0 < prior < 1:
         return nothing
-    w, _ = _inputs([t for t, _ in sample])
-    docs = len(sample)
-    if not len(w.hash):
+    texts_of = pa.RecordBatch.from_arrays([pa.array([t for t, _ in sample], pa.string())], ["text"])
+    hashes, docs, counts, kinds, features, begins, lengths, at, base = [], [], [], [], [], [], [], 0, 0
+    for batch in slices(iter([texts_of])):
+        w = words(*joined(batch.column("text")))
+        found, first = np.unique(w.hash, return_index=True)
+        kinds.append(found)
+        features.append(word_features(w, first))
+        begin, length = chains(w)
+        begins.append(begin + at)
+        lengths.append(length)
+        hashes.append(w.hash)
+        docs.append(w.doc + base)
+        counts.append(w.counts)
+        at, base = at + len(w.hash), base + batch.num_rows
+    word_doc, n_words = np.concatenate(docs), np.concatenate(counts)
+    types, of = np.unique(np.concatenate(hashes), return_inverse=True)
+    if not len(types):
         return nothing
-    types, first, of = np.unique(w.hash, return_index=True, return_inverse=True)
-    features = word_features(w, first)
-    # In how many toxic and other documents is each feature?
-    known, number = np.unique(features, return_inverse=True)
-    number = number.reshape(features.shape)
-    pair = np.unique(w.doc.astype(np.int64) * len(types) + of)
-    doc, kind = pair // len(types), pair % len(types)
-    seen = np.unique((doc[:, None] * len(known) + number[kind]).ravel())
+    features = np.concatenate(features)[np.unique(np.concatenate(kinds), return_index=True)[1]]
+    begin, length = np.concatenate(begins), np.concatenate(lengths)
+    order = np.argsort(-length, kind="stable")
+    begin, length = begin[order], length[order]
+    del hashes, docs, counts, kinds, begins, lengths, texts_of
+    # In how many toxic and other documents is each feature? One kind of feature after the other, to hold little at once.
     n1, n0 = y.sum(), (1 - y).sum()
-    toxic = np.bincount(seen % len(known), weights=y[seen // len(known)], minlength=len(known))
-    other = np.bincount(seen % len(known), minlength=len(known)) - toxic
-    marks = (toxic >= max(MARK_LEAST, MARK_SHARE * n1)) & (
-        (toxic + 0.5) / (n1 + 1) >= MARK_RATIO * (other + 0.5) / (n0 + 1)
-    )
-    marked = marks[number].any(axis=1)
-    label = marked[of] & (y[w.doc] > 0)
-    begin, length = chains(w)
+    marked = np.zeros(len(types), dtype=bool)
+    pair = np.unique(word_doc * len(types) + of)
+    doc, kind = pair // len(types), pair % len(types)
+    for column in features.T:
+        known, number = np.unique(column, return_inverse=True)
+        seen = np.unique(doc * len(known) + number[kind])
+        toxic = np.bincount(seen % len(known), weights=y[seen // len(known)], minlength=len(known))
+        other = np.bincount(seen % len(known), minlength=len(known)) - toxic
+        marks = (toxic >= max(MARK_LEAST, MARK_SHARE * n1)) & (
+            (toxic + 0.5) / (n1 + 1) >= MARK_RATIO * (other + 0.5) / (n0 + 1)
+        )
+        marked |= marks[number]
+    del pair, doc, kind
+    label = marked[of] & (y[word_doc] > 0)
     head = np.zeros(len(of), dtype=bool)
     head[begin] = True
     inner = ~head
     move_seen = np.array([[np.sum(inner[1:] & (label[:-1] == a) & (label[1:] == b)) for b in (0, 1)] for a in (0, 1)], float)
-    slot = slots(features)
+    slot = slots(features).astype(np.int32)
+    del features
     weight, bias, move = np.zeros(1 << BITS), -3.0, np.zeros((2, 2))
     squares, bias_squares, move_squares = np.full(1 << BITS, 1e-6), 1e-6, np.full((2, 2), 1e-6)
     for _ in range(epochs):
-        emission = weight[slot].sum(axis=1) + bias
+        emission = sum(weight[column] for column in slot.T) + bias
         p, pairs = marginals(emission[of], np.exp(move), begin, length, pairs=True)
         gap = np.bincount(of, weights=label - p, minlength=len(types))
         slope = np.zeros_like(weight)
@@ -196,14 +213,14 @@ def fit(sample: list[tuple[str, int]], epochs: int = EPOCHS) -> Crf:
         slope = move_seen - pairs - 0.05 * move
         move_squares += slope**2
         move += 0.2 * slope / np.sqrt(move_squares)
-    emission = weight[slot].sum(axis=1) + bias
+    emission = sum(weight[column] for column in slot.T) + bias
     p, _ = marginals(emission[of], np.exp(move), begin, length)
-    x, _ = document_inputs(p, w, docs)
-    centre = x.mean(axis=0) * np.array([0, 1, 1, 1, 1])
+    x, _ = document_inputs(p, word_doc, n_words)
+    centre = x.mean(axis=0) * np.array([0.0] + [1.0] * 6)
     return Crf(weight, bias, np.exp(move), _logistic(x - centre, y), centre, prior)
 
 
-def tag(model: Crf, w: Words, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def tag(model: Crf, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Marginal of every word, score and expected count of every document."""
     if len(w.hash):
         _, first, of = np.unique(w.hash, return_index=True, return_inverse=True)
@@ -211,11 +228,11 @@ def tag(model: Crf, w: Words, docs: int) -> tuple[np.ndarray, np.ndarray, np.nda
         p, _ = marginals(emission[of], model.move, *chains(w))
     else:
         p = np.zeros(0)
-    x, expected = document_inputs(p, w, docs)
+    x, expected = document_inputs(p, w.doc, w.counts)
     if model.calibration.any():
         score = 1 / (1 + np.exp(-np.clip((x - model.centre) @ model.calibration, -30, 30)))
     else:
-        score = np.full(docs, model.prior)
+        score = np.full(len(x), model.prior)
     return p, score, expected
 
 
@@ -234,7 +251,7 @@ def spans(p: np.ndarray, w: Words, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return doc, points[w.start[first]] - base, points[w.end[last]] - base
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> list[tuple[str, int]]:
+def training_sample(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> DataFrame:
     """A bounded sample of labelled (text, toxic) rows for which ``learn`` holds, chosen by a hash of the id."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (F.lit(True) if learn is None else learn)).groupBy(
         F.col("doc_id").cast("long").alias("doc_id")
@@ -244,26 +261,35 @@ def training_sample(docs: DataFrame, labels: DataFrame, learn: Column | None = N
         min(1.0, SAMPLE_OTHER / max(sizes.get(0, 0), 1))
     )
     chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < share * (1 << 20))
-    rows = (
+    return (
         texts(docs)
         .where((F.length("text") <= SAMPLE_CHARS) & (F.length("text") > 0))
         .join(F.broadcast(chosen), "doc_id")  # at most SAMPLE_TOXIC + SAMPLE_OTHER ids are expected
         .select("text", "toxic")
     )
-    return [(r["text"], r["toxic"]) for r in rows.toLocalIterator()]
+
+
+def fit_frame(sample: DataFrame) -> Crf:
+    """The model of a bounded sample, fitted in one task."""
+
+    def run(batches):
+        rows = [(r["text"], r["toxic"]) for b in batches for r in b.to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], ["model"])
+
+    return pickle.loads(sample.repartition(1).mapInArrow(run, "model binary").first()[0])
 
 
 def score(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> DataFrame:
     """Every document with its score, the expected number of toxic words, and the spans that offend."""
     spark = docs.sparkSession
     small_batches(spark)
-    model = spark.sparkContext.broadcast(fit(training_sample(docs, labels, learn)))
+    model = spark.sparkContext.broadcast(fit_frame(training_sample(docs, labels, learn)))
 
     def run(batches):
         for batch in slices(batches):
             data, offsets = joined(batch.column("text"))
             w = words(data, offsets)
-            p, scores, expected = tag(model.value, w, batch.num_rows)
+            p, scores, expected = tag(model.value, w)
             doc, begin, end = spans(p, w, offsets)
             lists = np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32)
             found = pa.StructArray.from_arrays([pa.array(begin, pa.int64()), pa.array(end, pa.int64())], ["begin", "end"])
