@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionmill.llm import bpe, jaccard, katz, language, toxicity
+from sessionmill.llm import bpe, jaccard, katz, language, repeats, toxicity
 from sessionmill.llm.frames import read
 
 
@@ -33,10 +33,15 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_toxicity": op3_toxicity,
     "op4_language": op4_language,
     "op5_katz": op5_katz,
     "op7_jaccard": op7_jaccard,
+    "op9_repeats": op9_repeats,
 }
