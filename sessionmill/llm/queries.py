@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionmill.llm import bpe, jaccard, katz, language, repeats, toxicity
+from sessionmill.llm import bpe, decontaminate, jaccard, katz, language, repeats, toxicity
 from sessionmill.llm.frames import read
 
 
@@ -37,6 +37,10 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digests(read(spark, sf_dir, "documents"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_toxicity": op3_toxicity,
@@ -44,4 +48,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_katz": op5_katz,
     "op7_jaccard": op7_jaccard,
     "op9_repeats": op9_repeats,
+    "op10_decontaminate": op10_decontaminate,
 }
