@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionmill.llm import bpe, decontaminate, jaccard, katz, language, repeats, toxicity
+from sessionmill.llm import bpe, decontaminate, fertility, jaccard, katz, language, repeats, toxicity
 from sessionmill.llm.frames import read
 
 
@@ -33,6 +33,13 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op8_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.judged(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "n_tokens", "chars_per_token", "chars_per_byte_token", "fallback_share", "entropy",
+    )
+
+
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digests(read(spark, sf_dir, "documents"))
 
@@ -47,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language": op4_language,
     "op5_katz": op5_katz,
     "op7_jaccard": op7_jaccard,
+    "op8_fertility": op8_fertility,
     "op9_repeats": op9_repeats,
     "op10_decontaminate": op10_decontaminate,
 }
