@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sessionmill.llm import bpe, decontaminate, fertility, jaccard, katz, language, repeats, toxicity
+from sessionmill.llm import bpe, decontaminate, fertility, jaccard, katz, language, licences, repeats, toxicity, warc
 from sessionmill.llm.frames import read
 
 
@@ -14,6 +15,18 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second copy of the archives with known damage: bytes overwritten, records cut short, records lost."""
+    text, page = warc.record(F.col("url"), F.col("html")), F.col("page_id")
+    replica = (
+        F.when(page % 211 == 7, F.overlay(text, F.lit("~~~"), F.lit(200)))
+        .when(page % 307 == 11, F.left(text, (F.length(text) / 2).cast("int")))
+        .when(page % 401 == 13, F.lit(None))
+        .otherwise(text)
+    )
+    return warc.audited(read(spark, sf_dir, "pages"), replica)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.held_out_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted", "expected", "n_words", "spans")
@@ -29,6 +42,10 @@ def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(read(spark, sf_dir, "documents"))
+
+
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -50,9 +67,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_warc": op2_warc,
     "op3_toxicity": op3_toxicity,
     "op4_language": op4_language,
     "op5_katz": op5_katz,
+    "op6_licences": op6_licences,
     "op7_jaccard": op7_jaccard,
     "op8_fertility": op8_fertility,
     "op9_repeats": op9_repeats,

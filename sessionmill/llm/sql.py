@@ -1,3 +1,28 @@
 """The same queries as SQL over the test tables, where SQL can express them."""
 
-ORACLE: dict[str, str] = {}
+WARC = """
+WITH records AS (
+  SELECT page_id,
+         'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: '
+           || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, ''))
+           || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record
+  FROM pages
+), hashed AS (
+  SELECT page_id, strlen(record) AS length, sha256(record) AS digest,
+         CASE WHEN page_id % 401 = 13 AND page_id % 211 <> 7 AND page_id % 307 <> 11 THEN 'missing'
+              WHEN page_id % 211 = 7 AND left(record, 199) || '~~~' || substr(record, 203) <> record THEN 'corrupt'
+              WHEN page_id % 211 <> 7 AND page_id % 307 = 11 THEN 'corrupt'
+              ELSE 'ok' END AS status
+  FROM records
+), counted AS (
+  SELECT page_id, length, digest, status, count(*) AS copies FROM hashed GROUP BY ALL
+)
+SELECT page_id, CAST(floor(page_id / 1024) AS BIGINT) AS archive,
+       CAST(coalesce(sum(length * copies) OVER (
+         PARTITION BY floor(page_id / 1024) ORDER BY page_id, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING
+       ), 0) AS BIGINT) AS "offset",
+       CAST(length AS BIGINT) AS length, copies, digest, status
+FROM counted
+"""
+
+ORACLE: dict[str, str] = {"op2_warc": WARC}
