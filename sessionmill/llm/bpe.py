@@ -24,11 +24,13 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 from sessionmill.llm.frames import small_batches, texts
+from sessionmill.llm.text import slices
 
 CACHE_WORDS = 250_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -204,6 +206,30 @@ def decode_frame(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame
     return encoded.selectExpr("cast(doc_id as long) doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
+def encoded_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """doc_id, ids, and as ``digests`` their number and the digests of ids and decoded text."""
+    vocabulary = vocabulary or default_vocabulary()
+
+    def run(batches):
+        t = tokenizer(vocabulary)
+        for batch in slices(batches):
+            raws, of_text = [], []
+            for text in batch.column("text").to_pylist():
+                raw, decoded = t.encode_decode(text)
+                raws.append(raw)
+                of_text.append(hashlib.sha256(decoded.encode("utf-8")).hexdigest())
+            counts = np.array([len(raw) // 4 for raw in raws], np.int64)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+            ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(raws), "<i4"), pa.int32()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), ids, pa.array(counts), pa.array([hashlib.sha256(r).hexdigest() for r in raws], pa.string()), pa.array(of_text, pa.string())],
+                ["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
+
+    small_batches(docs.sparkSession)
+    return texts(docs).mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
 def digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """Token count and digests of ids and of the decoded text, without moving either out of the task."""
     vocabulary = vocabulary or default_vocabulary()

@@ -171,6 +171,33 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield [(r["item_id"], r["text"]) for r in rows.toLocalIterator()]
 
 
+def judged(index: Index, column: pa.Array) -> list[list[tuple[int, float, int]]]:
+    """What each text of a batch holds."""
+    w = words(*joined(column))
+    h, first = plain(w), w.first
+    # A glance at all texts of the batch at once; few go on.
+    glance = fingerprints(h, SEED)
+    seen = np.flatnonzero(index.filter[(glance >> U64(64 - _FILTER_BITS)).astype(np.int64)])
+    able = np.zeros(len(column), bool)
+    able[w.doc[seen]] = True
+    return [held(index, h[first[row] : first[row + 1]]) if able[row] else [] for row in range(len(column))]
+
+
+def kept(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows, with all their columns, that hold no item."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    for items in blocks(benchmark):
+        index = spark.sparkContext.broadcast(Index(items))
+
+        def run(batches, index=index):
+            for batch in slices(batches):
+                yield batch.filter(pa.array([not found for found in judged(index.value, batch.column("text"))], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for every document: whether it holds an item, the best covered one, and all that it holds."""
     spark = docs.sparkSession
@@ -184,18 +211,12 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches, index=index):
             for batch in slices(batches):
-                w = words(*joined(batch.column("text")))
-                h, first = plain(w), w.first
-                # A glance at all texts of the batch at once; few go on.
-                glance = fingerprints(h, SEED)
-                seen = np.flatnonzero(index.value.filter[(glance >> U64(64 - _FILTER_BITS)).astype(np.int64)])
-                able = np.zeros(batch.num_rows, bool)
-                able[w.doc[seen]] = True
+                results = judged(index.value, batch.column("text"))
                 before = [batch.column(c).to_pylist() for c in ("item_id", "coverage", "n_tiles", "items")]
                 rows = []
                 for row in range(batch.num_rows):
                     best, coverage, n_tiles, known = (c[row] for c in before)
-                    found = held(index.value, h[first[row] : first[row + 1]]) if able[row] else []
+                    found = results[row]
                     for item, covered, n in found:
                         number = index.value.ids[item]
                         if best is None or (covered, -number) > (coverage, -best):

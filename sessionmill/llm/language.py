@@ -161,6 +161,30 @@ def training_sample(docs: DataFrame, learn: Column | None = None) -> list[tuple[
     return [(r["text"], r["lang"]) for r in rows.toLocalIterator()]
 
 
+def identify(codes: Codes, column: pa.Array) -> tuple[np.ndarray, ...]:
+    """Language number (-1: none), share, ambiguity and wrong bits of each text."""
+    winner, score, unsure, wrong = decode(codes, margins(codes, *joined(column)))
+    none = ~np.asarray(pc.match_substring_regex(column.fill_null(""), LETTER).to_numpy(zero_copy_only=False), bool)
+    if not codes.languages:
+        none[:] = True
+    winner[none], score[none], unsure[none], wrong[none] = -1, 0.0, False, 0
+    return winner, score, unsure, wrong
+
+
+def kept(docs: DataFrame) -> DataFrame:
+    """The rows, with all their columns, whose language is known and not ambiguous; learned from all rows with a language."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    codes = spark.sparkContext.broadcast(fit(training_sample(docs)))
+
+    def run(batches):
+        for batch in slices(batches):
+            winner, _, unsure, _ = identify(codes.value, batch.column("text"))
+            yield batch.filter(pa.array((winner >= 0) & ~unsure))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def predict(docs: DataFrame, learn: Column | None = None) -> DataFrame:
     """Every document with its language, the winner's share, the ambiguity flag and the number of wrong bits."""
     spark = docs.sparkSession
@@ -170,12 +194,7 @@ def predict(docs: DataFrame, learn: Column | None = None) -> DataFrame:
     def run(batches):
         names = np.array([*codes.value.languages, "und"], dtype=object)
         for batch in slices(batches):
-            data, offsets = joined(batch.column("text"))
-            winner, score, unsure, wrong = decode(codes.value, margins(codes.value, data, offsets))
-            none = ~np.asarray(pc.match_substring_regex(batch.column("text"), LETTER).to_numpy(zero_copy_only=False), bool)
-            if not codes.value.languages:
-                none[:] = True
-            winner[none], score[none], unsure[none], wrong[none] = -1, 0.0, False, 0
+            winner, score, unsure, wrong = identify(codes.value, batch.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(names[winner], pa.string()), pa.array(score), pa.array(unsure), pa.array(wrong.astype(np.int32))],
                 ["doc_id", "lang_pred", "score", "ambiguous", "bit_errors"],

@@ -31,7 +31,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionmill.llm.frames import Steps, small_batches, texts
@@ -370,8 +370,17 @@ def merged(begin: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(begin[heads].tolist(), reach[tails].tolist(), strict=True))
 
 
+BEGIN, END, KEYS = "__begin", "__end", ["__id", "__no_id", "__text_hash"]
+
+
+def keyed(frame: DataFrame, text_hash: Column) -> DataFrame:
+    """With columns that a document's rows are joined by; a null id is equal to a null id."""
+    identity = F.col("doc_id").cast("long")
+    return frame.withColumns({KEYS[0]: F.coalesce(identity, F.lit(0)), KEYS[1]: identity.isNull(), KEYS[2]: text_hash})
+
+
 def spans(docs: DataFrame) -> DataFrame:
-    """doc_id, text and the maximal runs of bytes that go (``spans``: array of begin, end), for every row."""
+    """Every row with all its columns, and the runs of bytes that go as two lists, ``BEGIN`` and ``END``; runs may overlap."""
     spark = docs.sparkSession
     small_batches(spark)
     steps = Steps(spark)
@@ -394,29 +403,28 @@ def spans(docs: DataFrame) -> DataFrame:
         (F.shiftleft("chunk", 24) + F.col("pos")).alias("node"), F.col("col.doc_id"), F.col("col.text_hash")
     )
 
-    def keyed(frame: DataFrame) -> DataFrame:
-        return frame.withColumns({"key": F.coalesce("doc_id", F.lit(0)), "no_key": F.col("doc_id").isNull()})
-
     first_of = nodes.groupBy("doc_id", "text_hash").agg(F.min("node").alias("node"))
-    wanted = keyed(first_of).join(keyed(copies).select("key", "no_key", "text_hash"), ["key", "no_key", "text_hash"], "left_anti")
-    wanted = steps.keep(found.join(wanted, "node"), "wanted")
+    tied = F.col("text_hash")
+    wanted = keyed(first_of, tied).join(keyed(copies, tied).select(*KEYS), KEYS, "left_anti")
+    wanted = steps.keep(found.join(wanted.select("node", *KEYS), "node"), "wanted")
     steps.drop("emitted", "found", "rows")
-    sent = keyed(source).select("key", "no_key", "text_hash", "text").join(wanted.hint("shuffle_hash"), ["key", "no_key", "text_hash"])
+    sent = keyed(source, tied).join(wanted.hint("shuffle_hash"), KEYS)
     sent = sent.select("doc_id", "text_hash", "text", "place", "before", "after").mapInArrow(lambda b: surroundings(b, buckets), SURROUNDINGS)
     resolved = steps.keep(sent.groupBy("bucket").applyInArrow(resolve, SPANS), "resolved")
     steps.drop("wanted")
     every = resolved.unionByName(
         copies.select("doc_id", "text_hash", F.array(F.lit(0)).alias("begin"), F.array(F.col("n").cast("int")).alias("end"))
     )
-    every = keyed(every).groupBy("key", "no_key", "text_hash").agg(
-        F.flatten(F.collect_list("begin")).alias("begin"), F.flatten(F.collect_list("end")).alias("end")
+    every = keyed(every, tied).groupBy(*KEYS).agg(
+        F.flatten(F.collect_list("begin")).alias(BEGIN), F.flatten(F.collect_list("end")).alias(END)
     )
-    return keyed(source).join(every.hint("shuffle_hash"), ["key", "no_key", "text_hash"], "left").select("doc_id", "text", "begin", "end")
+    whole = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return keyed(docs, whole).join(every.hint("shuffle_hash"), KEYS, "left").drop(*KEYS)
 
 
 def _runs(batch: pa.RecordBatch, row: int) -> list[tuple[int, int]]:
-    begin = batch.column("begin")[row].as_py()
-    return merged(np.array(begin, np.int64), np.array(batch.column("end")[row].as_py(), np.int64)) if begin else []
+    begin = batch.column(BEGIN)[row].as_py()
+    return merged(np.array(begin, np.int64), np.array(batch.column(END)[row].as_py(), np.int64)) if begin else []
 
 
 def _kept(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
@@ -440,21 +448,28 @@ def digests(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
 
-    return spans(docs).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    cut = spans(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), BEGIN, END)
+    return cut.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
-    """doc_id, text without the runs, and how many bytes went; bytes of a code point cut in two are left out."""
+    """The rows with their runs cut out of ``text`` and ``n_chars``, if there, counted anew. A row that loses bytes and has no word
+    left goes; bytes of a code point cut in two are left out; a null text stays null."""
+    names = docs.columns
 
     def run(batches):
         for batch in batches:
-            out, gone = [], []
+            out, keep = [], []
             for row, raw in enumerate(batch.column("text").cast(pa.large_binary()).to_pylist()):
-                kept = _kept(raw, _runs(batch, row))
-                out.append(kept.decode("utf-8", "ignore"))
-                gone.append(len(raw) - len(kept))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(out, pa.string()), pa.array(gone, pa.int64())], ["doc_id", "text", "n_removed"]
-            )
-
-    return spans(docs).mapInArrow(run, "doc_id long, text string, n_removed long")
+                runs = _runs(batch, row) if raw else []
+                kept = _kept(raw, runs) if runs else raw
+                out.append(None if kept is None else kept.decode("utf-8", "ignore"))
+                keep.append(not runs or bool(kept.split()))
+            columns = [batch.column(c) for c in names]
+            columns[names.index("text")] = pa.array(out, pa.string())
+            if "n_chars" in names:
+                counted = pa.array([None if x is None else len(x) for x in out], pa.int64())
+                columns[names.index("n_chars")] = counted.cast(batch.column("n_chars").type)
+            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep))
+
+    return spans(docs).select(*names, BEGIN, END).mapInArrow(run, docs.schema)
