@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from sessionmill.llm.frames import Steps, fold, small_batches, texts
 from sessionmill.llm.text import U64, joined, mix, pack, pack_rows, pack_sorted, slices, unpack, unpack_sorted, words
 
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 K = 5  # counts above it are not discounted
 END, START = U64(0x5E5F454E445F5E01), U64(0x5E5F535441525402)
 
@@ -200,8 +200,8 @@ class Chunk:
 
     def parts(self):
         """(bucket, from, to) of each run of ``order``."""
-        at = np.flatnonzero(np.diff(self.bucket, prepend=-1))
-        for i, j in zip(at, np.append(at[1:], len(self.bucket)), strict=True):
+        at = np.flatnonzero(np.diff(self.bucket, prepend=-1, append=-1))
+        for i, j in zip(at[:-1], at[1:], strict=True):
             yield int(self.bucket[i]), int(i), int(j)
 
     def contexts(self, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
@@ -349,7 +349,7 @@ def score(docs: DataFrame, learn: Column | None = None) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     steps = Steps(spark)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a bucket is one group in memory
+    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # a bucket is one group in memory
     source = texts(docs).withColumn(
         "learn", F.coalesce((F.lit(True) if learn is None else learn) & F.col("doc_id").isNotNull(), F.lit(False))
     )

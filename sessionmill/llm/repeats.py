@@ -43,7 +43,7 @@ WIDTH = REACH + LENGTH
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)  # every difference modulo 31 is one of two members of the cover
 STRIDE = 186  # WIDTH and zeros up to a multiple of PERIOD
 BLOCK_ROWS = 8192
-CHUNK_BYTES, FLUSH_ROWS = 8 << 20, 1 << 15
+CHUNK_BYTES, FLUSH_ROWS, SLICE_BYTES = 8 << 20, 1 << 14, 1 << 19
 
 EMITTED = (
     "bucket int, chunk long, hashes binary, owners binary, places binary, before binary, after binary,"
@@ -99,7 +99,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def emit(batches, buckets: int):
     part, nth, size, held = TaskContext.get().partitionId(), 0, 0, []
-    for batch in slices(batches):
+    for batch in slices(batches, limit=SLICE_BYTES):
         held.append(batch)
         size += batch.column("text").nbytes
         if size >= CHUNK_BYTES:
@@ -175,7 +175,7 @@ def repeated(table: pa.Table) -> pa.Table:
 def surroundings(batches, buckets: int):
     """For each bucket, blocks of anchors with the bytes around them and where they stand."""
     held, rows = [], 0
-    for batch in slices(batches):
+    for batch in slices(batches, limit=SLICE_BYTES):
         data, offsets = joined(batch.column("text"))
         lists = [batch.column(c).combine_chunks() if isinstance(batch.column(c), pa.ChunkedArray) else batch.column(c) for c in ("place", "before", "after")]
         n = np.diff(lists[0].offsets.to_numpy())
@@ -184,8 +184,8 @@ def surroundings(batches, buckets: int):
         at = offsets[doc] + place
         h = run_hash(data, at, at + GRAM)
         padded = np.concatenate([np.zeros(WIDTH, np.uint8), data, np.zeros(WIDTH, np.uint8)])
-        column = np.arange(WIDTH)
-        around = padded[(at + WIDTH - REACH)[:, None] + column]
+        column = np.arange(WIDTH, dtype=np.int16)
+        around = np.lib.stride_tricks.sliding_window_view(padded, WIDTH)[at + WIDTH - REACH]
         # Only the strings known by the anchor: first begins REACH - before, last ends at REACH - after + LENGTH.
         around[(column < (REACH - before)[:, None]) | (column >= (REACH - after + LENGTH)[:, None])] = 0
         ids = batch.column("doc_id")
