@@ -226,7 +226,8 @@ def fit_frame(docs: DataFrame) -> Model:
         of = [x for b in batches for x in b.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(of))], pa.binary())], ["model"])
 
-    return pickle.loads(sample.repartition(1).mapInArrow(run, "model binary").first()[0])
+    row = sample.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(row[0]) if row else fit([])
 
 
 def scan(docs: DataFrame) -> DataFrame:

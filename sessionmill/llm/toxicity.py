@@ -276,7 +276,8 @@ def fit_frame(sample: DataFrame) -> Crf:
         rows = [(r["text"], r["toxic"]) for b in batches for r in b.to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], ["model"])
 
-    return pickle.loads(sample.repartition(1).mapInArrow(run, "model binary").first()[0])
+    row = sample.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(row[0]) if row else fit([])
 
 
 def score(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> DataFrame:
