@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionmill.llm.frames import Steps, small_batches, texts
-from sessionmill.llm.text import U64, joined, mix, pack, pack_sorted, rolling, run_hash, slices, unpack, unpack_sorted
+from sessionmill.llm.text import U64, joined, mix, pack, pack_sorted, powers, rolling, run_hash, slices, unpack, unpack_sorted
 
 LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM  # an anchor begins at most so far after its string
@@ -295,7 +295,9 @@ def resolve(table: pa.Table) -> pa.Table:
     prior = np.empty(len(h), np.int64)
     prior[order] = np.cumsum(new)
     # Equal surroundings are one: the earliest stands for all, the others go with all their strings.
-    whole = run_hash(around.reshape(-1), np.arange(len(h)) * WIDTH, np.arange(1, len(h) + 1) * WIDTH)
+    whole = np.zeros(len(h), dtype=U64)
+    for column, factor in zip(np.ascontiguousarray(around).view(U64).T, powers(0x9E3779B97F4A7C15, WIDTH // 8), strict=True):
+        whole += mix(column + factor)
     order = np.lexsort((prior, after, before, whole, h))
     equal = np.zeros(len(h), dtype=bool)
     a, b = order[1:], order[:-1]
