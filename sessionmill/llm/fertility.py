@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from sessionmill.llm.frames import Steps, small_batches, texts
 from sessionmill.llm.text import _SPACE, U64, Words, joined, mix, run_hash, slices, words
+from sessionmill.operators.skew import join_facts
 
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 WIDEN, SLACK = 4.0, {"chars_per_token": 0.5, "chars_per_byte_token": 0.5, "fallback_share": 0.02, "entropy": 0.1}
@@ -228,7 +229,7 @@ def bands(measured: DataFrame) -> DataFrame:
 def judged(docs: DataFrame) -> DataFrame:
     """Every text with its counts, its measures and the verdict."""
     measured = Steps(docs.sparkSession).keep(measures(docs), "measures")
-    out = measured.join(bands(measured), "grouping", "left")
+    out = join_facts(measured, bands(measured), ["grouping"])  # a language may have most of the rows
     inside = F.lit(True)
     for name in SLACK:
         inside &= F.coalesce(F.col(name).between(F.col(f"{name}_low"), F.col(f"{name}_high")), F.lit(True))
