@@ -13,8 +13,8 @@ MILLIS_PER_DAY = 86_400_000
 
 
 def to_long(text: Column) -> Column:
-    """Whole number from text; '12.7' rounds to 13 and '1e3' is 1000."""
-    rounded = F.rint(text.try_cast("double")).try_cast("bigint")
+    """Whole number from text; halves round away from zero ('2.5' is 3, '-2.5' is -3) and '1e3' is 1000."""
+    rounded = F.round(text.try_cast("double")).try_cast("bigint")
     return F.coalesce(text.try_cast("bigint"), rounded)
 
 
@@ -47,9 +47,10 @@ def iso_millis(text: Column) -> Column:
     """Epoch milliseconds of an ISO 8601 text; NULL if it is none.
 
     A zone suffix is dropped, not applied, so '...+02:00' and '...Z' give the
-    same instant for the same wall clock.
+    same instant for the same wall clock. A text without year, month and day is no time.
     """
-    return ntz_millis(text.try_cast("timestamp_ntz"))
+    dated = F.when(text.rlike(r"^\s*[+-]?\d+-\d{1,2}-\d{1,2}"), text)
+    return ntz_millis(dated.try_cast("timestamp_ntz"))
 
 
 def utc_date(millis: Column) -> Column:

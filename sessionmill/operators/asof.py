@@ -1,28 +1,21 @@
-"""As-of lookup that survives hot keys.
+"""As-of lookup laid out by key and time.
 
-``asof`` gives every point the latest state at or before it (or, forward, the
-earliest at or after it) within its key.  The usual case is one shuffle and one
-running window per key.  A key that holds a large part of all rows would make
-that window one endless task, so the keys are counted first and hot ones are
-laid out in several partitions:
-
-* their states are collapsed to one per instant,
-* state quantiles cut the key's time line into buckets, and each bucket starts
-  with the state carried over from the bucket before,
-* a bucket that still holds too many points (many points at one instant) is
-  salted, its few states being repeated for every salt.
-
-Every row takes part whatever the skew; only the layout differs.
+``asof`` gives every point the latest state at or before it (or, forward, the earliest at or after it) within its key.
+A key's time line is cut into buckets of equal width, and points and states of a (key, bucket) meet in one running window. Each
+bucket starts with the state carried over from the buckets before, found on one aggregated row per (key, bucket). So a
+key with a large part of all rows is as many tasks as it has buckets, and the layout is the same for every key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionmill.operators.skew import QUANTILES, Skew, held, hot_keys
+from sessionmill.operators.skew import join_facts
+
+HOUR = 3_600_000
 
 
 def asof(
@@ -33,131 +26,69 @@ def asof(
     payload: str,
     forward: bool = False,
     how: str = "left",
-    skew: Skew | None = Skew(),
+    width: int = HOUR,
+    by_instant: bool = False,
 ) -> DataFrame:
     """``points`` plus column ``payload`` taken from ``states``.
 
-    ``points`` and ``states`` both hold ``keys`` and ``time``; ``payload`` is an
-    orderable non-null column of ``states``.  Of several states at one instant
-    the largest payload wins.  NULL keys or times match nothing.  ``how`` is
-    'left' (unmatched points keep a NULL payload) or 'inner'.
+    ``points`` and ``states`` both hold ``keys`` and ``time``; ``payload`` is an orderable non-null column of ``states``.
+    Of several states at one instant the largest payload wins. NULL keys or times match nothing. ``how`` is 'left'
+    (unmatched points keep a NULL payload) or 'inner'. ``width`` is a bucket's length in units of ``time``.
 
-    Salting numbers the rows of ``points`` as they are read, so give it a table
-    scan or another input that is read in the same order when a task is retried.
+    ``by_instant`` looks up the distinct instants and joins the answers back to the points: for points of which very
+    many may share an instant.
     """
     keys = list(keys)
     matchable = F.col(time).isNotNull()
     for key in keys:
         matchable = matchable & F.col(key).isNotNull()
     instant = -F.col(time) if forward else F.col(time)
-
-    state_rows = states.where(matchable).select(*keys, instant.alias("_at"), F.col(payload).alias("_state"))
-    point_columns = [F.col(f"`{c}`") for c in points.columns]
-    point_rows = points.where(matchable).select(*keys, instant.alias("_at"), F.struct(*point_columns).alias("_point"))
-
-    hot = hot_keys(point_rows.select(*keys).unionByName(state_rows.select(*keys)), keys, skew) if skew else None
-    if hot is None:
-        point_rows = point_rows.withColumns({"_bucket": F.lit(0), "_salt": F.lit(0)})
-        state_rows = state_rows.withColumns({"_bucket": F.lit(0), "_salt": F.lit(0)})
+    known = points.where(matchable)
+    if by_instant:
+        at = known.select(*keys, time).distinct()
+        answers = _lookup(at, states.where(matchable), keys, instant, payload, width)
+        found = join_facts(known, answers, [*keys, time])
     else:
-        point_rows, state_rows = _lay_out(point_rows, state_rows, keys, skew, hot)
-
-    both = point_rows.unionByName(state_rows, allowMissingColumns=True)
-    # On one instant states (no point) come first, the largest last.
-    running = (
-        Window.partitionBy(*keys, "_bucket", "_salt")
-        .orderBy("_at", F.col("_point").isNotNull(), "_state")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    found = (
-        both.withColumn("_found", F.last("_state", ignorenulls=True).over(running))
-        .where(F.col("_point").isNotNull())
-        .select("_point.*", F.col("_found").alias(payload))
-    )
+        found = _lookup(known, states.where(matchable), keys, instant, payload, width)
+    found = found.select(*points.columns, payload)
     if how == "inner":
         return found.where(F.col(payload).isNotNull())
     never = points.where(~matchable).withColumn(payload, F.lit(None).cast(states.schema[payload].dataType))
     return found.unionByName(never)
 
 
-def _lay_out(
-    points: DataFrame, states: DataFrame, keys: list[str], skew: Skew, hot: DataFrame
-) -> tuple[DataFrame, DataFrame]:
-    """Both inputs with the ``_bucket`` and ``_salt`` that spread hot keys."""
+def _lookup(points: DataFrame, states: DataFrame, keys: list[str], instant, payload: str, width: int) -> DataFrame:
+    bucket = F.floor(F.col("_at") / width).alias("_bucket")
     collapsed = (
-        states.join(F.broadcast(hot), keys, "left_semi").groupBy(*keys, "_at").agg(F.max("_state").alias("_state"))
-    )
-    layout = hot.withColumn("_hot", F.lit(True))
-    cuts = held(_cuts(collapsed, keys, skew))
-    layout = layout.withColumn("_cuts", F.array().cast("array<bigint>")) if cuts is None else layout.join(
-        cuts, keys, "left"
-    ).withColumn("_cuts", F.coalesce("_cuts", F.array().cast("array<bigint>")))
-
-    # How many salts each crowded bucket gets.
-    crowded = held(
-        points.select(*keys, "_at")
-        .join(F.broadcast(layout), keys)
-        .groupBy(*keys, _bucket_of(F.col("_at")).alias("_bucket"))
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > skew.rows_per_task)
-        .select(*keys, "_bucket", _parts(F.col("_rows"), skew).alias("_salts"))
-        .groupBy(*keys)
-        .agg(F.map_from_entries(F.collect_list(F.struct("_bucket", "_salts"))).alias("_crowded"))
-    )
-    layout = (
-        layout.withColumn("_crowded", F.create_map().cast("map<int,int>")) if crowded is None
-        else layout.join(crowded, keys, "left")
+        states.select(*keys, instant.alias("_at"), F.col(payload).alias("_state"))
+        .groupBy(*keys, "_at").agg(F.max("_state").alias("_state"))
+        .select(*keys, "_at", "_state", bucket)
     )
-    layout = F.broadcast(layout)
-
-    bucket = F.when(F.col("_hot"), _bucket_of(F.col("_at"))).otherwise(0)
-    salts = F.coalesce(F.try_element_at("_crowded", "_bucket"), F.lit(1))
-
-    placed_points = (
-        points.join(layout, keys, "left")
-        .withColumn("_bucket", bucket)
-        .withColumn("_salt", F.pmod(F.monotonically_increasing_id(), salts).cast("int"))
-        .drop("_cuts", "_crowded", "_hot")
-    )
-    cold_states = states.join(F.broadcast(hot), keys, "left_anti").withColumns(
-        {"_bucket": F.lit(0), "_salt": F.lit(0)}
+    point_columns = [F.col(f"`{c}`") for c in points.columns]
+    placed = points.select(*keys, instant.alias("_at"), F.struct(*point_columns).alias("_point")).select(
+        *keys, "_at", "_point", bucket
     )
-    in_buckets = collapsed.join(layout, keys).withColumn("_bucket", bucket)
-    every_salt = F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt")
-    hot_states = in_buckets.select(*keys, "_at", "_state", "_bucket", every_salt)
-    latest = in_buckets.groupBy(*keys, "_bucket").agg(
-        F.max(F.struct("_at", "_state")).alias("_latest"), F.any_value("_crowded").alias("_crowded")
+    # One row per bucket: the last state in it, if any; then the last one before it.
+    last = F.max(F.when(F.col("_state").isNotNull(), F.struct("_at", "_state"))).alias("_last")
+    buckets = (
+        collapsed.unionByName(placed.select(*keys, "_bucket"), allowMissingColumns=True)
+        .groupBy(*keys, "_bucket").agg(last)
     )
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        latest.withColumn("_carry", F.lag("_latest").over(Window.partitionBy(*keys).orderBy("_bucket")))
+        buckets.withColumn("_carry", F.last("_last", ignorenulls=True).over(before))
         .where(F.col("_carry").isNotNull())
-        .select(*keys, "_carry._at", "_carry._state", "_bucket", every_salt)
+        .select(*keys, "_carry._at", "_carry._state", "_bucket")
+    )
+    both = placed.unionByName(collapsed, allowMissingColumns=True).unionByName(carried, allowMissingColumns=True)
+    # On one instant states (no point) come first.
+    running = (
+        Window.partitionBy(*keys, "_bucket")
+        .orderBy("_at", F.col("_point").isNotNull())
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return placed_points, cold_states.unionByName(hot_states).unionByName(carried)
-
-
-def _parts(rows: Column, skew: Skew) -> Column:
-    return F.least(F.lit(QUANTILES), F.ceil(rows / skew.rows_per_task)).cast("int")
-
-
-def _cuts(collapsed: DataFrame, keys: list[str], skew: Skew) -> DataFrame:
-    """Ascending instants that start a new bucket, about ``rows_per_task`` states apart."""
-    grid = [i / QUANTILES for i in range(1, QUANTILES)]
-    step = F.ceil(F.lit(QUANTILES) / F.col("_parts"))
     return (
-        collapsed.groupBy(*keys)
-        .agg(
-            F.percentile_approx("_at", grid, 10 * QUANTILES).alias("_grid"),
-            _parts(F.count(F.lit(1)), skew).alias("_parts"),
-        )
-        .select(
-            *keys,
-            F.array_distinct(
-                F.filter("_grid", lambda at, i: (F.col("_parts") > 1) & ((i + 1) % step == 0))
-            ).alias("_cuts"),
-        )
+        both.withColumn("_found", F.last("_state", ignorenulls=True).over(running))
+        .where(F.col("_point").isNotNull())
+        .select("_point.*", F.col("_found").alias(payload))
     )
-
-
-def _bucket_of(at: Column) -> Column:
-    return F.size(F.filter("_cuts", lambda cut: cut <= at))

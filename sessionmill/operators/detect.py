@@ -7,10 +7,8 @@ offset.  Offsets of the second search count in the collapsed, shorter text, so
 a term behind a collapsed run is found again; ``mode='token'`` counts every
 occurrence once instead.
 
-Lower-casing, collapsing and a yes/no search run in generated code and leave
-only the messages that hold a term.  Positions of all matches are not something
-Spark's regular expressions return, so those messages alone pass through one
-Arrow function.  Nothing is shuffled: texts become hits where they are read.
+All of it is column expressions: matches are marked by a replacement, the text is cut at the marks, and the
+lengths of the pieces give the byte offsets.  No text is shuffled: texts become hits where they are read.
 """
 
 from __future__ import annotations
@@ -18,7 +16,6 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,39 +56,51 @@ def collapse(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)(.)\1+", "$1")
 
 
-def _locator(words: Sequence[str]):
-    """Arrow function: (text, collapsed text) -> list of (pass, start, index of word).
+# Stands around matches while they are located; in a text it counts as another control character.
+MARK, OTHER = "\u0001", "\u0002"
 
-    It works on the UTF-8 bytes: there ``\\b`` and ``\\w`` are ASCII and offsets are byte offsets.
+
+BLOCK = 512  # pieces; an even number, so that the second of each two is a match in every block
+
+
+def _blocks(text: Column, expression: str) -> Column:
+    """The matches of each ``BLOCK`` pieces and the pieces' length in bytes.
+
+    Matches are marked, the text is cut at the marks, and a piece starts where the bytes before it end. Sums run within blocks,
+    so a list grows by appending to at most ``BLOCK`` entries.
     """
-    ranked = sorted((w.encode() for w in words), key=lambda w: (-len(w), w))
-    expression = rb"\b(?:" + b"|".join(map(re.escape, ranked)) + rb")\b"
-    number = {w.encode(): i for i, w in enumerate(words, start=1)}
-
-    @F.arrow_udf("array<struct<pass: int, start: bigint, entry: int>>")
-    def locate(lowered: pa.Array, collapsed: pa.Array) -> pa.Array:
-        search = re.compile(expression).finditer
-        ends, passes, starts, entries = [0], [], [], []
-        for low, short in zip(lowered.cast(pa.binary()).to_pylist(), collapsed.cast(pa.binary()).to_pylist()):
-            seen = set()
-            for match in search(low):
-                seen.add(match.start())
-                passes.append(1)
-                starts.append(match.start())
-                entries.append(number[match.group()])
-            for match in search(short) if short != low else ():
-                if match.start() not in seen:
-                    passes.append(2)
-                    starts.append(match.start())
-                    entries.append(number[match.group()])
-            ends.append(len(starts))
-        hits = pa.StructArray.from_arrays(
-            [pa.array(passes, pa.int32()), pa.array(starts, pa.int64()), pa.array(entries, pa.int32())],
-            names=["pass", "start", "entry"],
+    pieces = F.split(F.regexp_replace(F.replace(text, F.lit(MARK), F.lit(OTHER)), expression, f"{MARK}$0{MARK}"), MARK)
+
+    def summed(part: Column) -> Column:
+        return F.aggregate(
+            part,
+            F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(0).alias("nth"), F.array().cast(_PLACES).alias("found")),
+            lambda acc, piece: F.struct(
+                (acc["at"] + F.octet_length(piece)).alias("at"),
+                (acc["nth"] + 1).alias("nth"),
+                F.when(acc["nth"] % 2 == 1, F.array_append(acc["found"], F.struct(acc["at"].alias("start"), piece.alias("word"))))
+                .otherwise(acc["found"]).alias("found"),
+            ),
         )
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), hits)
 
-    return locate
+    # Pieces are cut into blocks first, so that no lambda works the text out again.
+    nested = F.transform(F.array(pieces), lambda p: F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(p) - 1) / BLOCK).cast("int")), lambda i: F.slice(p, i * BLOCK + 1, BLOCK)
+    ))
+    return F.transform(F.flatten(nested), summed)
+
+
+def _places(blocks: str, number: int) -> Column:
+    """(start, pass, word) of all matches of a column of blocks."""
+    bases = F.aggregate(
+        blocks, F.array(F.lit(0).cast("bigint")), lambda acc, block: F.array_append(acc, F.element_at(acc, -1) + block["at"])
+    )
+    return F.flatten(F.filter(F.zip_with(blocks, bases, lambda block, base: F.transform(
+        block["found"], lambda p: F.struct((p["start"] + base).alias("start"), F.lit(number).alias("pass"), p["word"].alias("word"))
+    )), lambda listed: listed.isNotNull()))
+
+
+_PLACES = "array<struct<start: bigint, word: string>>"
 
 
 def detect(
@@ -112,39 +121,51 @@ def detect(
     source = messages.where(f"`{text}` is not null and `{text}` <> ''")
     found = _compat(source, text, words, keep) if mode == "compat" else _token(source, text, words, keep)
 
-    listed = F.array(
-        *[F.struct(F.lit(w).alias("word"), F.lit(g).alias("group_name"), F.lit(s).alias("severity"))
-          for w, s, g in lexicon]
+    # The words that were found meet the dictionary as a frame: a plan does not grow with the dictionary.
+    entry = messages.sparkSession.createDataFrame(
+        [(w, g, s) for w, s, g in lexicon], "word string, group_name string, severity string"
     )
-    return found.select(
-        *keep, "hit.pass", "hit.start", F.element_at(listed, F.col("hit.entry")).alias("entry")
-    ).select(*keep, "pass", "start", "entry.*")
+    joined = found.select(*keep, "hit.pass", "hit.start", "hit.word").join(entry, "word")
+    return joined.select(*keep, "pass", "start", "word", "group_name", "severity")
 
 
 def _compat(source: DataFrame, text: str, words: Sequence[str], keep: list[str]) -> DataFrame:
     expression = pattern(words)
     low = source.select(*keep, lower_text(F.col(text)).alias("_low"))
     both = low.select(*keep, "_low", collapse(F.col("_low")).alias("_short"))
-    # Most messages contain no term: a plain search decides before texts leave the JVM.
+    # Most messages contain no term: a plain search decides before anything is marked.
     hopeful = both.where(F.col("_low").rlike(expression) | F.col("_short").rlike(expression))
-    return hopeful.select(*keep, F.explode(_locator(words)("_low", "_short")).alias("hit"))
+    blocks = hopeful.select(
+        *keep, _blocks(F.col("_low"), expression).alias("_first"),
+        F.when(F.col("_short") != F.col("_low"), _blocks(F.col("_short"), expression)).alias("_second"),
+    )
+    none = F.array().cast("array<struct<start: bigint, pass: int, word: string>>")
+    every = blocks.select(*keep, F.array_sort(F.concat(_places("_first", 1), F.coalesce(_places("_second", 2), none))).alias("_all"))
+    # In the order of starts a match of the second search follows the one of the first that it repeats.
+    before = F.concat(F.slice(none, 1, 0), F.array(F.lit(None)), F.slice("_all", 1, F.greatest(F.size("_all") - 1, F.lit(0))))
+    paired = every.select(*keep, F.zip_with("_all", before, lambda hit, last: F.struct(
+        hit.alias("hit"), (last.isNull() | (hit["pass"] == 1) | (last["start"] != hit["start"])).alias("fresh")
+    )).alias("_pairs"))
+    return paired.select(*keep, F.explode(F.filter("_pairs", lambda p: p["fresh"] & p["hit"].isNotNull())).alias("_pair")).select(
+        *keep, F.col("_pair.hit").alias("hit")
+    )
 
 
 def _token(source: DataFrame, text: str, words: Sequence[str], keep: list[str]) -> DataFrame:
     """Each token once: as written, else with its repeats collapsed; ``start`` is the token's position."""
+    odd = sorted(w for w in words if not re.fullmatch(f"{_WORD}+", w))
+    if odd:
+        raise ValueError(f"token mode finds single words of [0-9A-Za-z_] only; not {', '.join(odd[:5])}: use mode='compat'")
     tokens = F.split(lower_text(F.col(text)), f"(?:(?!{_WORD})(?s:.))+")
     exploded = source.select(*keep, F.posexplode(tokens).alias("start", "_token"))
-    short = collapse(F.col("_token"))
-    plain = F.col("_token").isin(*words)
-    matched = exploded.where(plain | short.isin(*words))
-    return matched.select(
+    listed = source.sparkSession.createDataFrame([(w,) for w in words], "_word string")
+    plain = exploded.join(listed.withColumnRenamed("_word", "_token").withColumn("_plain", F.lit(1)), "_token", "left")
+    short = plain.withColumn("_word", F.when(F.col("_plain") == 1, F.col("_token")).otherwise(collapse(F.col("_token"))))
+    return short.join(listed, "_word", "left_semi").select(
         *keep,
         F.struct(
-            F.when(plain, 1).otherwise(2).alias("pass"),
-            F.col("start").cast("bigint").alias("start"),
-            F.array_position(F.array(*map(F.lit, words)), F.when(plain, F.col("_token")).otherwise(short))
-            .cast("int")
-            .alias("entry"),
+            F.when(F.col("_plain") == 1, 1).otherwise(2).alias("pass"), F.col("start").cast("bigint").alias("start"),
+            F.col("_word").alias("word"),
         ).alias("hit"),
     )
 
@@ -152,10 +173,13 @@ def _token(source: DataFrame, text: str, words: Sequence[str], keep: list[str])
 def as_hits(found: DataFrame) -> DataFrame:
     """Detector output of messages projected to the hit contract.
 
-    A NULL time counts as 0 and a NULL project as ''.
+    A NULL time counts as 0 and a NULL project as ''. ``hit_id`` is a hash of the hit, of what else the row says of its
+    message, and of a number that tells apart hits that are equal in all of that.
     """
-    hit_id = F.xxhash64("harness", "filename", "ts", "pass", "start", "word")
-    return found.select(
+    same = found.groupBy(*[F.col(f"`{c}`") for c in found.columns]).agg(F.count(F.lit(1)).alias("_copies"))
+    each = same.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))).drop("_copies")
+    hit_id = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(each.columns)])
+    return each.select(
         hit_id.alias("hit_id"), "harness", "filename", F.coalesce("project", F.lit("")).alias("project"),
         F.coalesce("ts", F.lit(0)).cast("bigint").alias("ts"), "word", "group_name", "severity",
     ).select(*HIT.fieldNames())

@@ -12,10 +12,6 @@ from sessionmill.schemas import LEXICON
 SEVERITIES = ("mild", "moderate", "strong")
 EXTEND, REPLACE = "extend", "replace"
 
-# A dictionary file may hold 1 MiB, which bounds what is folded into a plan.
-MAX_FILE_BYTES = 1 << 20
-MAX_WORDS = MAX_FILE_BYTES // 2
-
 # The built-in dictionary, "group: severity word word ...".
 BUILT_IN = """
 fuck: strong fuck fucking fucked fucker fuckin fucks motherfucker motherfucking mothafucka fuckup fuckoff clusterfuck
@@ -70,8 +66,7 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     The first line is a header if its first cell is 'word' or 'words'.  Lines of
     unequal width, an empty file and a file without any word are errors.
     """
-    _check_size(spark, path)
-    raw = spark.read.csv(path, mode="FAILFAST", ignoreLeadingWhiteSpace=True)
+    raw = spark.read.csv(path, mode="FAILFAST", ignoreLeadingWhiteSpace=True, quote='"', escape='"', multiLine=True)
     if not raw.columns:
         raise ValueError(f"dictionary {path} is empty")
     cells = [F.trim(F.coalesce(F.col(c), F.lit(""))) for c in raw.columns] + [F.lit("")] * 2
@@ -87,14 +82,13 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """An array of {word, severity, group}; here an unknown severity is an error (see ``merge``)."""
-    _check_size(spark, path)
+    """An array of {word, severity, group}; an unknown severity is an error (see ``merge``). An empty array is no entries."""
     entries = (
         spark.read.text(path, wholetext=True)
         .select(F.posexplode(F.from_json("value", "array<struct<word: string, severity: string, group: string>>")))
         .select("col.word", "col.severity", "col.group", F.col("pos").cast("bigint").alias("position"))
     )
-    if entries.isEmpty():
+    if entries.isEmpty() and spark.read.text(path, wholetext=True).where(r"value RLIKE '^\\s*\\[\\s*\\]\\s*$'").isEmpty():
         raise ValueError(f"dictionary {path} is empty or no JSON array")
     return entries
 
@@ -103,12 +97,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path) if path.lower().endswith(".csv") else read_json(spark, path)
 
 
-def _check_size(spark: SparkSession, path: str) -> None:
-    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
-    if (size or 0) > MAX_FILE_BYTES:
-        raise ValueError(f"dictionary {path} is larger than {MAX_FILE_BYTES} bytes")
-
-
 def _or_word(group: Column) -> Column:
     return F.when(F.trim(F.coalesce(group, F.lit(""))) == "", F.col("word")).otherwise(group)
 
@@ -161,10 +149,8 @@ def info(lexicon: DataFrame, path: str | None = None, mode: str = EXTEND) -> Dat
 
 
 def entries(lexicon: DataFrame) -> list[tuple[str, str, str]]:
-    """The lexicon as plain rows, after checking that it is small enough to fold into a plan."""
-    rows = lexicon.select(*LEXICON.fieldNames()).limit(MAX_WORDS + 1).collect()
+    """The lexicon as plain rows."""
+    rows = lexicon.select(*LEXICON.fieldNames()).collect()
     if not rows:
         raise ValueError("dictionary is empty")
-    if len(rows) > MAX_WORDS:
-        raise ValueError(f"dictionary has more than {MAX_WORDS} words")
     return [tuple(r) for r in rows]

@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessionmill.operators.skew import join_facts
+
 # Provider tiers that decide which provider a model is listed under.
 FIRST_TIER = (
     "openai", "anthropic", "google", "deepseek", "mistral", "cohere", "xai", "togetherai", "fireworks-ai", "groq",
@@ -24,11 +26,6 @@ CATALOGUE = (
     "cost: struct<input: string, output: string, cache_read: string, cache_write: string>>>>>"
 )
 
-# A catalogue is one document of a few thousand models.  Anything larger is
-# joined by shuffle instead of being sent to every executor.
-BROADCAST_ROWS = 100_000
-
-
 def flatten_catalogue(documents: DataFrame) -> DataFrame:
     """One row per provider and model of catalogue documents (column ``value``)."""
     providers = documents.select(F.explode(F.from_json("value", CATALOGUE)).alias("provider", "entry"))
@@ -73,15 +70,16 @@ def overlay_aliases(prices: DataFrame, aliases: DataFrame) -> DataFrame:
     return renamed.unionByName(plain)
 
 
-def is_small(prices: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether the prices may be sent to every executor; the aliases laid over them add a handful of rows."""
-    return prices.select("model").limit(max_rows + 1).count() <= max_rows
-
-
 def with_prices(rows: DataFrame, prices: DataFrame, model: Column) -> DataFrame:
-    """Left join on the model name; price columns arrive prefixed with ``p_``."""
+    """Left join on the model name; price columns arrive prefixed with ``p_``.
+
+    Spark sends the prices to every executor if they turn out small enough. Else rows are dealt by model and by a hash of the
+    row, so that neither the most used model nor the rows without one (they get a name of their own each) meet in one task.
+    """
     renamed = prices.select(*[F.col(c).alias(f"p_{c}") for c in prices.columns if c != "friendly_name"])
-    return rows.join(renamed, model == F.col("p_model"), "left").drop("p_model")
+    own = F.concat(F.lit("\u0000"), F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]).cast("string"))
+    keyed = rows.withColumn("p_model", F.coalesce(model, own))
+    return join_facts(keyed, renamed, ["p_model"]).drop("p_model").select(*rows.columns, *[c for c in renamed.columns if c != "p_model"])
 
 
 def usage_cost(in_tok: Column, out_tok: Column, cache_read: Column, cache_write: Column | None = None) -> Column:

@@ -6,15 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionmill.functions import display as D
-from sessionmill.operators.skew import Skew
 from sessionmill.operators.attribution import attribute_tools
 from sessionmill.schemas import SESSION_KEY, USAGE_KEY
 
 
-def model_tools(events: DataFrame, skew: Skew | None = Skew()) -> DataFrame:
+def model_tools(events: DataFrame) -> DataFrame:
     """Tool calls and tool errors per session, model, provider and tool."""
-    calls = attribute_tools(events, skew=skew).groupBy(*USAGE_KEY, "tool")
-    return calls.agg(F.expr("count(1)").alias("count"), F.expr("count_if(is_error = 1)").alias("errors"))
+    calls = attribute_tools(events).groupBy(*USAGE_KEY, "tool")
+    return calls.agg(F.sum("calls").alias("count"), F.sum("errors").alias("errors"))
 
 
 def session_model_stats(events: DataFrame, tools: DataFrame) -> DataFrame:

@@ -1,76 +1,24 @@
-"""Keys that hold a large part of all rows: finding them, and joining past them."""
+"""Joining past keys that hold a large part of all rows."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-QUANTILES = 1024
+SALTS = 8
 
 
-@dataclass(frozen=True)
-class Skew:
-    """When a key counts as hot and how finely it is split.
-
-    Only the ``max_keys`` largest keys are split, which bounds what the driver
-    and the broadcasts hold: ``max_keys`` rows of at most ``QUANTILES`` cuts.
-    Any key beyond them holds less than 1 / ``max_keys`` of the rows and stays
-    one partition.
-    """
-
-    min_rows: int = 1_000_000
-    rows_per_task: int = 1_000_000
-    max_keys: int = 4096
-
-
-DEFAULT = Skew()
-
-
-def hot_keys(rows: DataFrame, keys: Sequence[str], skew: Skew) -> DataFrame | None:
-    """The largest keys at or above ``skew.min_rows``, at most ``skew.max_keys``; None if there are none.
-
-    Runs one job over the key columns, pre-aggregated before its shuffle.
-    """
-    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= skew.min_rows)
-    return held(counted.orderBy(F.desc("_rows"), *keys).limit(skew.max_keys).select(*keys))
-
-
-def held(small: DataFrame) -> DataFrame | None:
-    """A frame of bounded size as a local relation, so that plans using it repeatedly stay small."""
-    rows = small.collect()
-    return small.sparkSession.createDataFrame(rows, small.schema) if rows else None
-
-
-def any_hot(rows: DataFrame, keys: Sequence[str], skew: Skew | None = None) -> bool:
-    return hot_keys(rows.select(*keys), keys, skew or DEFAULT) is not None
-
-
-def join_facts(
-    rows: DataFrame,
-    facts: DataFrame,
-    keys: Sequence[str],
-    how: str = "left",
-    skew: Skew | None = None,
-    split: bool = True,
-) -> DataFrame:
+def join_facts(rows: DataFrame, facts: DataFrame, keys: Sequence[str], how: str = "left", salts: int = SALTS) -> DataFrame:
     """Join ``facts``, at most one row per key, to many ``rows`` per key; ``how`` is 'left' or 'inner'.
 
-    Adaptive execution cannot split a hot key here, because the facts come out
-    of an aggregation that already has the join's partitioning.  So rows of hot
-    keys meet their facts, at most ``max_keys`` rows, by broadcast and stay
-    where they are read; all other rows are shuffled.
-
-    Counting keys reads ``rows`` once more; ``split=False`` is for callers that
-    know from a cheaper count that no key is hot.
+    Adaptive execution cannot split a hot key here, because the facts come out of an aggregation that already has the
+    join's partitioning. So every key's rows are dealt over ``salts`` partitions by a hash of the row, and each fact is
+    there once per salt. A row lands in the same place when its task is run again.
     """
     keys = list(keys)
-    hot = hot_keys(rows.select(*keys), keys, skew or DEFAULT) if split else None
-    if hot is None:
-        return rows.join(facts, keys, how)
-    hot = F.broadcast(hot)
-    by_shuffle = rows.join(hot, keys, "left_anti").join(facts, keys, how)
-    by_broadcast = rows.join(hot, keys, "left_semi").join(F.broadcast(facts.join(hot, keys, "left_semi")), keys, how)
-    return by_shuffle.unionByName(by_broadcast)
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(salts)).cast("int")
+    copies = F.explode(F.array(*[F.lit(i) for i in range(salts)]))
+    salted = rows.withColumn("_salt", salt).join(facts.withColumn("_salt", copies), [*keys, "_salt"], how)
+    return salted.drop("_salt")

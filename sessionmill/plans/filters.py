@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -64,13 +64,17 @@ class Filters:
             return frame
         return matching(frame, self.equal(self.recent(sessions), "project"))
 
-    def having(self, frame: DataFrame, other: DataFrame, *names: str) -> DataFrame:
-        """Rows whose session has, per set filter, some row of ``other`` equal to it."""
+    def having(self, frame: DataFrame, other: Callable[[], DataFrame], *names: str) -> DataFrame:
+        """Rows whose session has, per set filter, some row of ``other()`` equal to it; not asked for if no filter is set."""
         for name in names:
             if getattr(self, name):
-                frame = matching(frame, self.equal(other, name))
+                frame = matching(frame, self.equal(other(), name))
         return frame
 
+    def with_tool(self, sessions: DataFrame) -> DataFrame:
+        """Sessions that name the tool."""
+        return sessions.where(F.map_contains_key("tool_breakdown", F.lit(self.tool))) if self.tool else sessions
+
     def order(self, table: str, columns: Mapping[str, str], default: str) -> list[Column]:
         """Sort keys for a table: the chosen column, then the default one descending.
 

@@ -43,11 +43,8 @@ def _mean_duration() -> Column:
 
 
 def _sessions_by_content(r: Rollups, f: Filters) -> DataFrame:
-    """Sessions with the row filters, and with an event, model or tool as asked for."""
-    rows = f.equal(f.recent(r.session_facts), "project", "filename")
-    rows = f.having(rows, r.events, "harness")
-    rows = f.having(rows, r.stats, "provider", "model")
-    return f.having(rows, r.events, "tool")
+    """Sessions with the row filters, and with a model or tool as asked for."""
+    return _session_rows(r.session_facts, r, f)
 
 
 def summary(r: Rollups, f: Filters = Filters()) -> DataFrame:
@@ -93,7 +90,7 @@ def _usage(r: Rollups, f: Filters) -> DataFrame:
 
 
 def harnesses(r: Rollups, f: Filters = Filters()) -> DataFrame:
-    groups = f.having(_usage(r, f), r.events, "tool").groupBy("harness").agg(
+    groups = f.having(_usage(r, f), lambda: r.session_tools, "tool").groupBy("harness").agg(
         _spend(), _total(_tokens()).alias("tokens"), *[_total(n).alias(n) for n in ("turns", "tools", "errors")]
     )
     order = f.order(
@@ -108,7 +105,7 @@ def harnesses(r: Rollups, f: Filters = Filters()) -> DataFrame:
 
 
 def providers(r: Rollups, f: Filters = Filters()) -> DataFrame:
-    groups = f.having(_usage(r, f), r.events, "tool").groupBy("provider").agg(
+    groups = f.having(_usage(r, f), lambda: r.session_tools, "tool").groupBy("provider").agg(
         _spend(), _total(_tokens()).alias("tokens"), *[_total(n).alias(n) for n in ("tools", "errors")]
     )
     order = f.order(
@@ -200,8 +197,7 @@ def model_tools(r: Rollups, f: Filters = Filters()) -> DataFrame:
 
 def _session_rows(sessions: DataFrame, r: Rollups, f: Filters) -> DataFrame:
     rows = f.equal(f.recent(sessions), "project", "filename", "harness")
-    rows = f.having(rows, r.stats, "provider", "model")
-    return f.having(rows, r.events, "tool")
+    return f.with_tool(f.having(rows, lambda: r.stats, "provider", "model"))
 
 
 def session_count(r: Rollups, f: Filters = Filters()) -> DataFrame:

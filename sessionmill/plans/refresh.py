@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from sessionmill.operators import attribution, lexicon, rollups
 from sessionmill.operators import pricing as P
-from sessionmill.operators.skew import Skew
 from sessionmill.plans.store import Rollups
 from sessionmill.schemas import ATTRIBUTED_HIT, HIT
 from sessionmill.sources import readers, registry
@@ -35,14 +34,13 @@ def refresh(
     collect_terms: bool = True,
     term_mode: str = "compat",
     aliases: tuple[tuple[str, str], ...] = (),
-    skew: Skew | None = Skew(),
 ) -> str:
     """Rebuild everything from the logs under ``home``; returns the published run's folder."""
     raw = registry.discover(spark, home)
     prices = registry.Prices.of(readers.read_catalogue(spark, catalogue), P.alias_frame(spark, aliases))
     terms = lexicon.entries(lexicon.build(spark, dictionary, dictionary_mode)) if collect_terms else None
     run = f"{out}/run={dt.datetime.now(dt.timezone.utc):%Y%m%dT%H%M%S%f}"
-    write_tables(spark, raw, prices, terms, lambda table: f"{run}/{table}", term_mode, skew)
+    write_tables(spark, raw, prices, terms, lambda table: f"{run}/{table}", term_mode)
     publish(spark, out, run)
     return run
 
@@ -54,7 +52,6 @@ def write_tables(
     terms: list[tuple[str, str, str]] | None,
     place: Callable[[str], str],
     term_mode: str = "compat",
-    skew: Skew | None = Skew(),
 ) -> Rollups:
     """Write all tables, each to the folder ``place`` gives for its name.
 
@@ -82,8 +79,8 @@ def write_tables(
             raw, terms, term_mode, parsed, lambda name: lambda frame: store(frame, f"found/{name}")
         )
         found = store(hits, "hits_raw")
-        hits = store(attribution.attribute_hits(found, events, skew), "hits")
-    tools = store(rollups.model_tools(events, skew), "model_tools")
+        hits = store(attribution.attribute_hits(found, events), "hits")
+    tools = store(rollups.model_tools(events), "model_tools")
     stats = store(rollups.session_model_stats(events, tools), "stats")
     sessions = store(rollups.sessions(events, tools, stats), "sessions")
     return Rollups(events, model_tools=tools, stats=stats, sessions=sessions, hits=hits)

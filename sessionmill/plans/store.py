@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionmill.operators import rollups
-from sessionmill.operators.skew import Skew
 from sessionmill.operators.attribution import attribute_hits
 from sessionmill.schemas import ATTRIBUTED_HIT, SESSION_KEY
 
@@ -23,20 +22,19 @@ class Rollups:
     """
 
     def __init__(
-        self, events: DataFrame, raw_hits: DataFrame | None = None, skew: Skew | None = Skew(), **tables: DataFrame
+        self, events: DataFrame, raw_hits: DataFrame | None = None, **tables: DataFrame
     ):
         unknown = set(tables) - set(TABLES)
         if unknown:
             raise TypeError(f"unknown tables {sorted(unknown)}")
         self.events = events
         self._raw_hits = raw_hits
-        self._skew = skew
         # A given table takes the place of the property of its name.
         self.__dict__.update(tables)
 
     @cached_property
     def model_tools(self) -> DataFrame:
-        return rollups.model_tools(self.events, self._skew)
+        return rollups.model_tools(self.events)
 
     @cached_property
     def stats(self) -> DataFrame:
@@ -48,6 +46,14 @@ class Rollups:
         given = self.__dict__.get("sessions")
         return rollups.session_facts(self.events) if given is None else given
 
+    @cached_property
+    def session_tools(self) -> DataFrame:
+        """(session, tool) of every tool named in a session, one small row each."""
+        given = self.__dict__.get("sessions")
+        if given is None:
+            return self.events.where("tool IS NOT NULL").select(*SESSION_KEY, "tool").distinct()
+        return given.select(*SESSION_KEY, F.explode(F.map_keys("tool_breakdown")).alias("tool"))
+
     @cached_property
     def sessions(self) -> DataFrame:
         return rollups.sessions(self.events, self.model_tools, self.stats)
@@ -61,14 +67,14 @@ class Rollups:
         keys = F.broadcast(few.select(*SESSION_KEY))
         if "sessions" in self.__dict__:
             return self.sessions.join(keys, SESSION_KEY, "left_semi")
-        return Rollups(self.events.join(keys, SESSION_KEY, "left_semi"), skew=None).sessions
+        return Rollups(self.events.join(keys, SESSION_KEY, "left_semi")).sessions
 
     @cached_property
     def hits(self) -> DataFrame:
         """Attributed hits; empty where no terms were collected."""
         if self._raw_hits is None:
             return self.events.sparkSession.createDataFrame([], ATTRIBUTED_HIT)
-        return attribute_hits(self._raw_hits, self.events, self._skew)
+        return attribute_hits(self._raw_hits, self.events)
 
     @classmethod
     def load(cls, spark: SparkSession, run: str) -> Rollups:

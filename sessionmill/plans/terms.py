@@ -44,7 +44,7 @@ def _hit_counts(r: Rollups, f: Filters) -> DataFrame:
     """Counted hits of existing sessions that pass the filters; a tool filter asks for the tool in the session."""
     rows = _counted(f.equal(r.hits, "filename", "harness", "provider", "model"))
     rows = matching(rows, f.equal(f.recent(r.session_facts), "project"))
-    return f.having(rows, r.model_tools, "tool")
+    return f.having(rows, lambda: r.model_tools, "tool")
 
 
 def _with_tool_of_turn(counts: DataFrame, r: Rollups, f: Filters) -> DataFrame:
@@ -140,8 +140,8 @@ def term_model_harnesses(r: Rollups, f: Filters = Filters()) -> DataFrame:
 def term_summary(r: Rollups, f: Filters = Filters()) -> DataFrame:
     """One row: hits, affected sessions, rates and the most frequent group."""
     sessions = f.equal(f.recent(r.session_facts), "project", "filename", "harness")
-    sessions = f.having(sessions, r.stats, "provider", "model")
-    sessions = f.having(sessions, r.model_tools, "tool").select(*SESSION_KEY, "user_turns")
+    sessions = f.having(sessions, lambda: r.stats, "provider", "model")
+    sessions = f.having(sessions, lambda: r.model_tools, "tool").select(*SESSION_KEY, "user_turns")
     counts = _counted(f.equal(r.hits, "provider", "model", "filename", "harness"))
 
     per_session = matching(counts, sessions).groupBy(*SESSION_KEY, "group_name").agg(

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from sessionmill.functions import values as V
 from sessionmill.operators import pricing as P
-from sessionmill.operators.skew import any_hot
 from sessionmill.sources.contract import Stage, as_events, as_is, as_messages, join_file_facts
 
 FOLDER = ".codex/sessions"
@@ -76,7 +75,7 @@ def normalize_parsed(parsed: DataFrame, prices: DataFrame) -> DataFrame:
         f"if({usage}, output, 0) AS out_tok",
         f"if({usage}, cached, 0) AS cache_tok",
     )
-    rows = join_file_facts(rows, file_facts(parsed), any_hot(parsed, ["filename"]))
+    rows = join_file_facts(rows, file_facts(parsed))
     rows = P.with_prices(rows, prices, F.col("model"))
     c = F.col
     return as_events(

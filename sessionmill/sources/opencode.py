@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sessionmill.functions import values as V
 from sessionmill.operators import pricing as P
-from sessionmill.operators.skew import any_hot, join_facts
+from sessionmill.operators.skew import join_facts
 from sessionmill.sources.contract import as_events, as_messages
 
 MESSAGE = "id string, session_id string, time_created bigint, data string"
@@ -36,7 +36,7 @@ def _provider() -> Column:
 
 
 def normalize_assistant(
-    message: DataFrame, session: DataFrame, prices: DataFrame, split: bool = True
+    message: DataFrame, session: DataFrame, prices: DataFrame
 ) -> DataFrame:
     parsed = message.where(_is_role("assistant")).select(
         F.col("session_id").cast("string").alias("filename"),
@@ -55,7 +55,7 @@ def normalize_assistant(
         V.to_count(F.col("d.tokens.output")).alias("out_tok"),
         V.to_count(F.col("d.tokens.cache.read")).alias("cache_tok"),
     )
-    rows = join_facts(P.with_prices(rows, prices, F.col("modelID")), _directories(session), ["filename"], split=split)
+    rows = join_facts(P.with_prices(rows, prices, F.col("modelID")), _directories(session), ["filename"])
     c = F.col
     cwd = F.coalesce(c("own_cwd"), c("directory"))
     priced = P.usage_cost(c("fresh_tok"), c("out_tok"), c("cache_tok"), c("write_tok"))
@@ -75,19 +75,19 @@ def normalize_assistant(
     )
 
 
-def _user_rows(message: DataFrame, session: DataFrame, split: bool = True) -> DataFrame:
+def _user_rows(message: DataFrame, session: DataFrame) -> DataFrame:
     users = message.where(_is_role("user")).select(
         F.col("id").alias("message_id"),
         F.col("session_id").cast("string").alias("filename"),
         F.col("time_created").cast("bigint").alias("ts"),
     )
-    return join_facts(users, _directories(session), ["filename"], "inner", split=split)
+    return join_facts(users, _directories(session), ["filename"], "inner")
 
 
-def normalize_user(message: DataFrame, session: DataFrame, split: bool = True) -> DataFrame:
+def normalize_user(message: DataFrame, session: DataFrame) -> DataFrame:
     directory = F.col("directory")
     return as_events(
-        _user_rows(message, session, split),
+        _user_rows(message, session),
         "opencode",
         project=_project(directory),
         session_cwd=directory,
@@ -97,7 +97,7 @@ def normalize_user(message: DataFrame, session: DataFrame, split: bool = True) -
 
 
 def normalize_tool(
-    part: DataFrame, message: DataFrame, session: DataFrame, prices: DataFrame, split: bool = True
+    part: DataFrame, message: DataFrame, session: DataFrame, prices: DataFrame
 ) -> DataFrame:
     calls = (
         part.where(F.col("data").startswith('{"type":"tool"'))
@@ -115,8 +115,8 @@ def normalize_tool(
         F.col("id").alias("message_id"),
         F.from_json("data", "modelID string, providerID string, path struct<cwd: string>").alias("d"),
     ).select("message_id", "d.modelID", "d.providerID", F.col("d.path.cwd").alias("own_cwd"))
-    rows = join_facts(calls, callers, ["message_id"], "inner", split=split)
-    rows = join_facts(rows, _directories(session), ["filename"], split=split)
+    rows = join_facts(calls, callers, ["message_id"], "inner")
+    rows = join_facts(rows, _directories(session), ["filename"])
     rows = P.with_prices(rows, prices, F.col("modelID"))
     cwd = F.coalesce(F.col("own_cwd"), F.col("directory"))
     return as_events(
@@ -136,12 +136,10 @@ def normalize_tool(
 def normalize(raw: dict[str, DataFrame], prices: DataFrame) -> DataFrame:
     """All events; the tables are relational already, so there is nothing to parse ahead."""
     message, session, part = raw["message"], raw["session"], raw["part"]
-    # A message belongs to one session: one count per session covers every join here.
-    split = any_hot(message.select("session_id").unionByName(part.select("session_id")), ["session_id"])
     return (
-        normalize_assistant(message, session, prices, split)
-        .unionByName(normalize_user(message, session, split))
-        .unionByName(normalize_tool(part, message, session, prices, split))
+        normalize_assistant(message, session, prices)
+        .unionByName(normalize_user(message, session))
+        .unionByName(normalize_tool(part, message, session, prices))
     )
 
 

@@ -46,13 +46,24 @@ _TABLES = {"message": opencode.MESSAGE, "session": opencode.SESSION, "part": ope
 
 
 def read_opencode(spark: SparkSession, folder: str, kind: str = "parquet") -> dict[str, DataFrame]:
-    """Exports of the three tables, ``folder/message`` and so on, as parquet or json (lines)."""
-    return {
-        table: spark.read.schema(schema).format(kind).load(f"{folder}/{table}")
-        if kind != "parquet"
-        else spark.read.parquet(f"{folder}/{table}")
-        for table, schema in _TABLES.items()
-    }
+    """Exports of the three tables, ``folder/message`` and so on, as parquet or json (lines).
+
+    An export with some of the tables only is broken, not absent.
+    """
+    found, absent = {}, None
+    for table, schema in _TABLES.items():
+        path = f"{folder}/{table}"
+        try:
+            found[table] = spark.read.parquet(path) if kind == "parquet" else spark.read.schema(schema).format(kind).load(path)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            absent = error
+    if found and absent:
+        raise FileNotFoundError(f"{folder} has {', '.join(found)} but not all of {', '.join(_TABLES)}")
+    if absent:
+        raise absent
+    return found
 
 
 def read_opencode_jdbc(spark: SparkSession, url: str, partitions: int = 1, **options: str) -> dict[str, DataFrame]:

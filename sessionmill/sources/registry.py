@@ -50,7 +50,10 @@ class Source:
         Terms are found before project and folder are joined, so no text is
         ever shuffled, and ``stage`` sees the hits without their texts.
         """
-        found = stage(D.detect(self.message_rows(raw), lexicon, mode=mode))
+        rows = self.message_rows(raw)
+        # What tells one message from another, once its text is gone.
+        rows = rows.withColumn("message", F.xxhash64(*rows.columns))
+        found = stage(D.detect(rows, lexicon, mode=mode))
         located = self.locate(self.parse(raw) if parsed is None else parsed, found)
         return D.as_hits(located.withColumn("harness", F.lit(self.name)))
 
@@ -106,8 +109,7 @@ class Prices:
     @classmethod
     def of(cls, documents: DataFrame, aliases: DataFrame) -> Prices:
         listed = P.price_per_model(P.flatten_catalogue(documents))
-        small = P.is_small(listed)
-        return cls(*[F.broadcast(p) if small else p for p in (listed, P.overlay_aliases(listed, aliases))])
+        return cls(listed, P.overlay_aliases(listed, aliases))
 
 
 def parse_all(raw: Mapping[str, Raw]) -> dict[str, Raw]:

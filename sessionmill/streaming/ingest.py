@@ -1,21 +1,24 @@
 """Incremental ingest: only files that arrived are read, only their sessions rebuilt.
 
-All rollups are per session and a session is one file, so a batch of files can
-be rolled up on its own.  Each batch is written under a version of its own and
-a row per session is added to an index last; readers take the newest version of
-each session.  Nothing is overwritten, and a batch that is run again after a
-failure rewrites exactly its own version.
+All rollups are per session and a session is one file (one id for the relational source), so a batch can be rolled up on
+its own.  Each batch is written under a version of its own: the time it was first begun, the writer and the batch's
+number.  Versions sort by that time, so whatever was read last wins, and no two writers share one.  A row per session is added
+to an index last; readers take the newest version of each session.  A batch that is run again after a failure finds its
+version on record and rewrites exactly that.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import uuid
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sessionmill.operators.skew import Skew, join_facts
+from sessionmill.operators.skew import join_facts
 from sessionmill.plans.refresh import write_tables
 from sessionmill.plans.store import TABLES, Rollups
 from sessionmill.schemas import SESSION_KEY
@@ -30,24 +33,23 @@ LANDINGS = {
     "codex": (codex.FOLDER, codex.RAW, _RECURSIVE),
     "gemini": (gemini.GLOB, gemini.RAW, {"multiLine": "true"}),
 }
-INDEX = "index"
+INDEX, BATCHES = "index", "batches"
 
 
 def store_batch(
     spark: SparkSession,
     source: str,
     raw: DataFrame,
-    version: int,
+    version: str,
     out: str,
     prices: Prices,
     terms: list[tuple[str, str, str]] | None = None,
-    skew: Skew | None = Skew(),
 ) -> None:
     """Roll up the sessions of some files and make them the current version of those sessions."""
     def place(table: str) -> str:
         return f"{out}/{table}/source={source}/version={version}"
 
-    tables = write_tables(spark, {source: raw}, prices, terms, place, skew=skew)
+    tables = write_tables(spark, {source: raw}, prices, terms, place)
     keys = tables.events.select(*SESSION_KEY).distinct()
     keys.write.mode("overwrite").parquet(place(INDEX))
 
@@ -62,7 +64,6 @@ def stream_source(
     terms: list[tuple[str, str, str]] | None = None,
     max_files: int = 100_000,
     every: str | None = None,
-    skew: Skew | None = Skew(),
 ) -> StreamingQuery:
     """Follow a folder of finished log files.
 
@@ -75,7 +76,10 @@ def stream_source(
     landed = readers.with_file_name(reader.json(f"{home}/{path}"))
 
     def handle(batch: DataFrame, number: int) -> None:
-        store_batch(batch.sparkSession, source, batch, number, out, prices, terms, skew)
+        session = batch.sparkSession
+        # Spark's id of the query lives in its checkpoint: the same after a restart, another for another checkpoint.
+        writer = session.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
+        store_batch(session, source, batch, recorded_version(session, out, source, writer, number), out, prices, terms)
 
     trigger = {"processingTime": every} if every else {"availableNow": True}
     return (
@@ -83,6 +87,29 @@ def stream_source(
     )
 
 
+def new_version(writer: str, number: int = 0) -> str:
+    """Sorts by the time of its making."""
+    now = dt.datetime.now(dt.timezone.utc)
+    return f"{now:%Y%m%dT%H%M%S%f}-{writer}-{number}"
+
+
+def recorded_version(spark: SparkSession, out: str, source: str, writer: str, number: int) -> str:
+    """The version of a batch of a stream, the same whenever the batch is run."""
+    path = f"{out}/{BATCHES}"
+    try:
+        known = spark.read.schema("source string, writer string, number long, version string").parquet(path)
+        found = known.where((F.col("source") == source) & (F.col("writer") == writer) & (F.col("number") == number)).agg(F.min("version")).first()[0]
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        found = None
+    if found is None:
+        found = new_version(writer, number)
+        row = spark.createDataFrame([(source, writer, number, found)], "source string, writer string, number long, version string")
+        row.coalesce(1).write.mode("append").parquet(path)
+    return found
+
+
 def store_changed(
     spark: SparkSession,
     source: str,
@@ -91,30 +118,48 @@ def store_changed(
     since: dt.datetime,
     prices: Prices,
     terms: list[tuple[str, str, str]] | None = None,
-    skew: Skew | None = Skew(),
 ) -> bool:
     """Read files modified after ``since`` as a whole: for logs that are appended in place.
 
-    The version is the time of ``since``, so a call that is repeated replaces
-    its own result.  False if no file changed.
+    ``since`` must name its time zone.  Of the relational source the sessions are read that have a message or part
+    created after it.  What is read becomes the newest version, whatever ``since`` was.  False if nothing changed.
     """
-    path, schema, options = LANDINGS[source]
-    stamp = f"{since:%Y-%m-%dT%H:%M:%S}"
-    reader = spark.read.schema(schema).options(**options).option("modifiedAfter", stamp)
-    raw = readers.if_present(lambda: readers.with_file_name(reader.json(f"{home}/{path}")))
+    if since.tzinfo is None:
+        raise ValueError("since must have a time zone")
+    since = since.astimezone(dt.timezone.utc)
+    version = new_version(uuid.uuid4().hex)
+    if source == "opencode":
+        raw = readers.if_present(lambda: changed_tables(readers.read_opencode(spark, f"{home}/opencode"), since))
+    else:
+        path, schema, options = LANDINGS[source]
+        reader = spark.read.schema(schema).options(**options).option("timeZone", "UTC").option("modifiedAfter", f"{since:%Y-%m-%dT%H:%M:%S}")
+        raw = readers.if_present(lambda: readers.with_file_name(reader.json(f"{home}/{path}")))
     if raw is None:
         return False
-    store_batch(spark, source, raw, int(since.timestamp()), out, prices, terms, skew)
+    store_batch(spark, source, raw, version, out, prices, terms)
     return True
 
 
+def changed_tables(raw: dict[str, DataFrame], since: dt.datetime) -> dict[str, DataFrame]:
+    """The tables cut to sessions that have a row created after ``since``."""
+    after = int(since.timestamp() * 1000)
+    changed = reduce(
+        DataFrame.unionByName,
+        [raw[t].where(F.col("time_created") > after).select(F.col("session_id").cast("string").alias("_id")) for t in ("message", "part")],
+    ).distinct()
+    keys = {"message": "session_id", "part": "session_id", "session": "id"}
+    return {
+        t: frame.join(changed, frame[keys[t]].cast("string") == changed["_id"], "left_semi") for t, frame in raw.items()
+    }
+
+
 def load(spark: SparkSession, out: str) -> Rollups:
     """All tables with the newest version of every session.
 
     Source and version are partition columns, so any number of batches is one
     scan, and the plan does not grow with them.
     """
-    version = F.col("version").cast("bigint")
+    version = F.col("version").cast("string")
     index = spark.read.parquet(f"{out}/{INDEX}").groupBy(*SESSION_KEY, "source")
     newest = index.agg(F.max(version).alias("version"))
 

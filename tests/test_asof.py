@@ -5,16 +5,10 @@ import random
 import pytest
 
 from sessionmill.operators.asof import asof
-from sessionmill.operators.skew import Skew, join_facts
+from sessionmill.operators.skew import join_facts
 
 POINT = "k string, f string, at bigint, id bigint"
 STATE = "k string, f string, at bigint, state struct<model: string, provider: string>"
-# Every key is hot, buckets and salts are tiny.
-HOT = Skew(min_rows=5, rows_per_task=4, max_keys=50)
-# Only the largest key is split.
-ONE_HOT = Skew(min_rows=5, rows_per_task=10, max_keys=1)
-
-
 def data(seed):
     rng = random.Random(seed)
     points, states = [], []
@@ -50,12 +44,12 @@ def brute(points, states, forward):
 
 
 @pytest.mark.parametrize("forward", [False, True])
-@pytest.mark.parametrize("skew", [None, HOT, ONE_HOT, Skew()])
-def test_equals_brute_force(spark, skew, forward):
+@pytest.mark.parametrize("width, by_instant", [(1, False), (7, False), (7, True), (1000, False), (1000, True)])
+def test_equals_brute_force(spark, width, by_instant, forward):
     points, states = data(7 if forward else 11)
     found = asof(
         spark.createDataFrame(points, POINT), spark.createDataFrame(states, STATE), ["k", "f"], "at", "state",
-        forward=forward, skew=skew,
+        forward=forward, width=width, by_instant=by_instant,
     )
     rows = found.collect()
     assert len(rows) == len(points)
@@ -69,33 +63,28 @@ def test_inner_drops_unmatched(spark):
     assert [r.id for r in asof(points, states, ["k", "f"], "at", "state", how="inner").collect()] == [2]
 
 
-def test_hot_key_is_spread(spark):
-    """The layout gives a hot key many partitions, each starting with the state carried over."""
-    from pyspark.sql import functions as F
-
-    from sessionmill.operators import asof as module
-
-    points = spark.range(1000).selectExpr("'hot' AS k", "'f' AS f", "if(id < 500, 77, id) AS _at", "struct(id) AS _point")
-    states = spark.range(0, 1000, 5).selectExpr(
-        "'hot' AS k", "'f' AS f", "id AS _at", "struct(string(id) AS model, 'p' AS provider) AS _state"
+def test_one_key_with_most_rows(spark):
+    """90 % of points and states in one key, half of the points at one instant."""
+    points = spark.range(4000).selectExpr("if(id % 10 = 0, 'rare', 'hot') AS k", "'f' AS f", "if(id < 2000, 77, id) AS at", "id")
+    states = spark.range(0, 4000, 5).selectExpr(
+        "if(id % 50 = 0, 'rare', 'hot') AS k", "'f' AS f", "id AS at", "struct(string(id) AS model, 'p' AS provider) AS state"
     )
-    skew = Skew(min_rows=10, rows_per_task=50)
-    hot = module.hot_keys(points.select("k", "f"), ["k", "f"], skew)
-    placed, spread_states = module._lay_out(points, states, ["k", "f"], skew, hot)
-    sizes = [r["count"] for r in placed.groupBy("_bucket", "_salt").count().collect()]
-    # 500 points at one instant are salted, the rest cut by time.
-    assert sum(sizes) == 1000 and max(sizes) <= 300 and len(sizes) >= 10
-    assert spread_states.groupBy("_bucket", "_salt").count().agg(F.max("count")).first()[0] <= 120
+    rows = {
+        by: asof(points, states, ["k", "f"], "at", "state", width=100, by_instant=by).collect() for by in (False, True)
+    }
+    want = brute([tuple(r) for r in points.collect()], [(r.k, r.f, r.at, tuple(r.state)) for r in states.collect()], False)
+    for found in rows.values():
+        assert {r.id: (tuple(r.state) if r.state else None) for r in found} == want and len(found) == 4000
 
 
 @pytest.mark.parametrize("how", ["left", "inner"])
-@pytest.mark.parametrize("skew", [Skew(), Skew(min_rows=50, max_keys=2), Skew(min_rows=1)])
-def test_join_facts_equals_plain_join(spark, skew, how):
+@pytest.mark.parametrize("salts", [1, 8])
+def test_join_facts_equals_plain_join(spark, salts, how):
     rows = spark.range(1000).selectExpr(
         "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 50 = 1 THEN NULL ELSE concat('k', id % 40) END AS k", "id"
     )
     facts = spark.createDataFrame([("hot", 1), ("k1", 2), ("k7", 3), (None, 4), ("unused", 5)], "k string, fact int")
-    got = join_facts(rows, facts, ["k"], how, skew)
+    got = join_facts(rows, facts, ["k"], how, salts)
     want = rows.join(facts, ["k"], how)
     assert got.columns == want.columns
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))

@@ -57,10 +57,20 @@ def test_json(spark, tmp_path):
             lexicon.merge(lexicon.read(spark, write(tmp_path / "bad.json", bad))).collect()
 
 
-def test_size_limit(spark, tmp_path):
-    path = write(tmp_path / "big.csv", "word\n" + "x" * lexicon.MAX_FILE_BYTES)
-    with pytest.raises(ValueError):
-        lexicon.read(spark, path)
+def test_large_dictionary(spark, tmp_path):
+    path = write(tmp_path / "big.csv", "word\n" + "\n".join(f"term{i}" for i in range(150_000)))
+    assert lexicon.read(spark, path).count() == 150_000
+
+
+def test_quoted_cells(spark, tmp_path):
+    path = write(tmp_path / "quoted.csv", 'word,severity,group\n"a""b",mild,"line\nbreak"\n"back\\",strong,x\n')
+    rows = {(r.word, r.severity, r.group) for r in lexicon.read(spark, path).collect()}
+    assert rows == {('a"b', "mild", "line\nbreak"), ("back\\", "strong", "x")}
+
+
+def test_empty_array_extends_by_nothing(spark, tmp_path):
+    path = write(tmp_path / "none.json", " [ ] ")
+    assert lexicon.build(spark, path).count() == lexicon.build(spark).count()
 
 
 def test_export_and_info(spark, tmp_path):

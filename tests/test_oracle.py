@@ -6,9 +6,11 @@ import compare
 import pytest
 
 import __spark_entry__ as entry
+from workload.oracle import ORACLE
+from workload.queries import QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+
 # One of the stacked filter queries stands for the others, which the driver runs.
 NAMES = [n for n in QUERIES if not n.startswith("filters_") or n in ("filters_none", "filters_several")]
 

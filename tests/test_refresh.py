@@ -11,7 +11,6 @@ from fixture_logs import MS, write_home
 
 from sessionmill.operators import lexicon
 from sessionmill.operators import pricing as P
-from sessionmill.operators.skew import Skew
 from sessionmill.plans import overview, refresh, terms
 from sessionmill.plans.bundles import VIEWS, answer, bundle
 from sessionmill.plans.filters import Filters
@@ -107,9 +106,9 @@ def test_collection_switched_off(spark, made, tmp_path):
     assert terms.term_summary(r).first().total_swears == 0
 
 
-def test_skewed_refresh_gives_the_same_tables(spark, made, tmp_path):
+def test_refresh_again_gives_the_same_tables(spark, made, tmp_path):
     home, _, catalogue, run = made
-    again = refresh.refresh(spark, home, str(tmp_path), catalogue, skew=Skew(min_rows=1, rows_per_task=1))
+    again = refresh.refresh(spark, home, str(tmp_path), catalogue)
     for table in TABLES:
         left, right = (spark.read.parquet(f"{x}/{table}").collect() for x in (run, again))
         assert sorted(map(repr, left)) == sorted(map(repr, right)), table
@@ -144,13 +143,13 @@ def test_changed_file_replaces_its_session(spark, made, tmp_path):
     shutil.copytree(made[0], home)
     prices, words = _prices(spark, made[2]), lexicon.entries(lexicon.build(spark))
     out = str(tmp_path / "live")
-    long_ago = dt.datetime(2020, 1, 1)
+    long_ago = dt.datetime(2020, 1, 1, tzinfo=dt.timezone.utc)
     assert ingest.store_changed(spark, "pi", home, out, long_ago, prices, words)
     path = glob.glob(f"{home}/.pi/agent/sessions/*/*.jsonl")[0]
     with open(path, "a") as log:
         log.write(json.dumps({"type": "message", "timestamp": "2025-03-04T10:00:09.500Z",
                               "message": {"role": "toolResult", "toolName": "bash"}}) + "\n")
-    past = dt.datetime.now() - dt.timedelta(hours=1)
+    past = dt.datetime.now(dt.timezone(dt.timedelta(hours=2))) - dt.timedelta(hours=1)
     assert ingest.store_changed(spark, "pi", home, out, past, prices, words)
     r = ingest.load(spark, out)
     (session,) = r.sessions.collect()
@@ -159,6 +158,30 @@ def test_changed_file_replaces_its_session(spark, made, tmp_path):
     # Running the same change again replaces its own result.
     assert ingest.store_changed(spark, "pi", home, out, past, prices, words)
     assert ingest.load(spark, out).events.count() == 8
-    # Nothing changed since tomorrow.
-    assert not ingest.store_changed(spark, "pi", home, out, dt.datetime.now() + dt.timedelta(days=1), prices)
+    # A wider read is newer, not older.
+    assert ingest.store_changed(spark, "pi", home, out, long_ago, prices, words)
+    assert ingest.load(spark, out).events.count() == 8
+    # Nothing changed since tomorrow; a time without a zone is no time.
+    assert not ingest.store_changed(spark, "pi", home, out, dt.datetime.now(dt.timezone.utc) + dt.timedelta(days=1), prices)
+    with pytest.raises(ValueError):
+        ingest.store_changed(spark, "pi", home, out, dt.datetime(2020, 1, 1), prices)
     assert os.path.exists(path)
+
+
+def test_streams_do_not_overwrite_each_other(spark, made, tmp_path):
+    """Two checkpoints on one folder, a changed file between them, and the relational source."""
+    prices, out = _prices(spark, made[2]), str(tmp_path / "live")
+    homes = []
+    for i in (1, 2):
+        homes.append(str(tmp_path / f"home{i}"))
+        shutil.copytree(made[0], homes[-1])
+    for i, home in enumerate(homes):
+        ingest.stream_source(spark, "pi", home, out, f"{tmp_path}/checkpoint{i}", prices).awaitTermination(300)
+        long_ago = dt.datetime(2020, 1, 1, tzinfo=dt.timezone.utc)
+        assert ingest.store_changed(spark, "opencode", home, out, long_ago, prices)
+    r = ingest.load(spark, out)
+    names = {s.filename for s in r.sessions.collect() if s.harness == "pi"}
+    assert len(names) == 2 and all(any(n.startswith(h) for n in names) for h in homes)
+    batch = Rollups.load(spark, made[3])
+    assert r.events.where("harness = 'opencode'").count() == batch.events.where("harness = 'opencode'").count() > 0
+    assert not ingest.store_changed(spark, "opencode", homes[0], out, dt.datetime.now(dt.timezone.utc), prices)

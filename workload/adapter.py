@@ -33,22 +33,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def spread(frame: DataFrame, key: str) -> DataFrame:
-    """A table of fewer splits than cores, such as a single small file, dealt out over all of them.
+def log_rows(spark: SparkSession, sf: str, dealt: bool = False) -> DataFrame:
+    """``events`` with the values the adapters and the source-shaped logs are made of.
 
-    Only for queries whose work per row is heavy; a large table is left as it is read.
+    ``dealt`` puts them into partitions by event, as logs come in many files where the table here is one.
     """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(cores, key) if frame.rdd.getNumPartitions() < cores else frame
-
-
-def log_rows(spark: SparkSession, sf: str, heavy: bool = False) -> DataFrame:
-    """``events`` with the values the adapters and the source-shaped logs are made of."""
     named = "event_type <> 'signup'"
     pick = "(user_id + event_id) % 6"
     harnesses = ", ".join(f"'{h}'" for h in HARNESSES)
     events = table(spark, sf, "events")
-    return (spread(events, "event_id") if heavy else events).select(
+    return (events.repartition("event_id") if dealt else events).select(
         "event_id", "event_type", "user_id", "value",
         c("ts").alias("stamp"),
         ntz_millis(c("ts")).alias("ms"),

@@ -55,7 +55,7 @@ def pi(spark: SparkSession, sf: str) -> DataFrame:
     )
     # A list as content is spliced in, since one JSON field cannot hold both shapes.
     spliced = f"if(event_type = 'signup' AND k % 2 = 0, replace({message}, '\"@LIST@\"', {text}), {message})"
-    return log_rows(spark, sf, heavy=True).selectExpr(
+    return log_rows(spark, sf, dealt=True).selectExpr(
         "concat('/logs/--w-', project, '--/', filename, '.jsonl') AS filename",
         "if(k % 11 = 0, 'session', 'message') AS type",
         f"if(k % 13 = 0, NULL, {spliced}) AS message",
@@ -65,7 +65,7 @@ def pi(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def opencode(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    rows = log_rows(spark, sf, heavy=True)
+    rows = log_rows(spark, sf, dealt=True)
     assistant = (
         "to_json(named_struct('role', 'assistant', 'modelID', model, 'providerID', provider, "
         "'path', named_struct('cwd', if(k % 2 = 0, concat('/o/', project), NULL)), "
@@ -114,7 +114,7 @@ def claude(spark: SparkSession, sf: str) -> DataFrame:
         f"if(k % 8 = 0, 'null', concat('\"[n ', k, ']\"')), {answers}), '}}')"
     )
     said = "event_type IN ('view', 'purchase')"
-    return log_rows(spark, sf, heavy=True).selectExpr(
+    return log_rows(spark, sf, dealt=True).selectExpr(
         "concat('/c/', project, '/', filename, '.jsonl') AS filename",
         f"if({said}, 'assistant', 'user') AS type",
         f"{STAMP} AS timestamp",
@@ -142,7 +142,7 @@ def codex(spark: SparkSession, sf: str) -> DataFrame:
         "error": "named_struct('type', 'agent_message')",
     }
     payload = " ".join(f"WHEN '{kind}' THEN to_json({body})" for kind, body in payloads.items())
-    return log_rows(spark, sf, heavy=True).selectExpr(
+    return log_rows(spark, sf, dealt=True).selectExpr(
         "concat('/x/', filename, '.jsonl') AS filename",
         f"{STAMP} AS timestamp",
         "CASE event_type WHEN 'signup' THEN 'session_meta' WHEN 'view' THEN 'turn_context' "
@@ -161,6 +161,6 @@ def gemini(spark: SparkSession, sf: str) -> DataFrame:
         f"named_struct('name', tool_name, 'status', if(event_type = 'error', 'error', 'success'), 'timestamp', {STAMP}), "
         f"named_struct('name', if(k % 2 = 0, 'shell', NULL), 'status', 'success', 'timestamp', {STAMP})), NULL)))"
     )
-    return log_rows(spark, sf, heavy=True).selectExpr(
+    return log_rows(spark, sf, dealt=True).selectExpr(
         "concat('/g/', project, '/chats/', filename, '.json') AS filename", f"array({question}, {answer}) AS messages"
     )

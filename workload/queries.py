@@ -14,7 +14,6 @@ from sessionmill.functions import values as V
 from sessionmill.operators import attribution, detect, lexicon, resume
 from sessionmill.operators import pricing as P
 from sessionmill.operators.asof import asof
-from sessionmill.operators.skew import any_hot
 from sessionmill.plans import overview, terms
 from sessionmill.plans.filters import Filters
 from sessionmill.plans.store import Rollups
@@ -123,14 +122,16 @@ def hit_turns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tool_turns(spark: SparkSession, sf: str) -> DataFrame:
-    return attribution.attribute_tools(adapter.event_rows(spark, sf), how="left")
+    """Every call with its turn; counted calls are told apart again, the failed ones first."""
+    counted = attribution.attribute_tools(adapter.event_rows(spark, sf), how="left")
+    return counted.selectExpr(
+        "harness", "filename", "ts", "tool", "model", "provider", "errors", "explode(sequence(1L, calls)) AS nth"
+    ).selectExpr("harness", "filename", "ts", "tool", "int(nth <= errors) AS is_error", "model", "provider")
 
 
 def tool_errors(spark: SparkSession, sf: str) -> DataFrame:
     parsed = claude.parse(logs.claude(spark, sf))
-    judged = claude.judge_tool_uses(
-        claude.tool_uses(parsed), claude.tool_results(parsed), any_hot(parsed, ["filename"])
-    )
+    judged = claude.judge_tool_uses(claude.tool_uses(parsed), claude.tool_results(parsed))
     return judged.selectExpr("filename", "timestamp", "model", "uuid", "use_id", "tool", "is_error")
 
 
@@ -140,7 +141,7 @@ def session_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 def document_terms(mode: str) -> Query:
     def query(spark: SparkSession, sf: str) -> DataFrame:
-        documents = adapter.spread(adapter.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+        documents = adapter.table(spark, sf, "documents").select("doc_id", "text")
         return detect.detect(documents, adapter.LEXICON, mode=mode)
 
     return query
@@ -238,8 +239,7 @@ def display_texts(spark: SparkSession, sf: str) -> DataFrame:
         "whole": D.round_even("l_quantity / 2"),
         "mood": D.mood("l_linenumber * 2 - 2"),
     }
-    lines = adapter.spread(adapter.table(spark, sf, "lineitem"), "l_orderkey")
-    return lines.selectExpr("l_orderkey", "l_linenumber", "l_quantity", *[f"{t} AS {n}" for n, t in texts.items()])
+    return adapter.table(spark, sf, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_quantity", *[f"{t} AS {n}" for n, t in texts.items()])
 
 
 def resume_commands(spark: SparkSession, sf: str) -> DataFrame:
