@@ -957,3 +957,7 @@ ASOF LEFT JOIN turn ON c.harness = turn.harness AND c.filename = turn.filename A
     "resume_command": resume_command(),
     "dates_and_texts": f"WITH {ROWS} SELECT event_id, ms, CAST(CAST(epoch_ms(ms) AS DATE) AS VARCHAR) AS day, strftime(epoch_ms(ms), '%Y-%m-%dT%H:%M:%S.%f') AS text FROM log",
 }
+ORACLE["unified_events"] = " UNION ALL BY NAME ".join(
+    f"(SELECT * FROM ({ORACLE[f'normalize_{name}']}))" for name in ("pi", "opencode", "claude", "codex", "gemini")
+)
+ORACLE["hit_ids"] = f"SELECT count(*) AS hits, count(*) AS ids FROM ({ORACLE['term_hits']})"

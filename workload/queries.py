@@ -17,7 +17,7 @@ from sessionmill.operators.asof import asof
 from sessionmill.plans import overview, terms
 from sessionmill.plans.filters import Filters
 from sessionmill.plans.store import Rollups
-from sessionmill.sources import claude, codex, gemini, opencode, pi
+from sessionmill.sources import claude, codex, gemini, opencode, pi, registry
 from workload import adapter, logs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,6 +113,11 @@ def session_list(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(listed.drop("model_tool_breakdown_json", "model_stats_json"), cost=4)
 
 
+def hit_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """As many ids as hits."""
+    return adapter.chat_hits(spark, sf).agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("hit_id").alias("ids"))
+
+
 def hit_turns(spark: SparkSession, sf: str) -> DataFrame:
     """Every user message of the chats set to the turn that answers it."""
     asked = adapter.chat_messages(spark, sf).drop("text")
@@ -220,6 +225,12 @@ def _messages(source: str) -> Query:
     return query
 
 
+def unified_events(spark: SparkSession, sf: str) -> DataFrame:
+    """All five sources' raw logs to one event table, as a refresh makes it."""
+    raw = {s: getattr(logs, s)(spark, sf) for s in registry.SOURCES}
+    return rounded(registry.unified_events(registry.parse_all(raw), logs.prices(spark, sf)), cost=9)
+
+
 def display_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Every display form, over the values of ``lineitem``."""
     price, quantity = "l_extendedprice", "bigint(l_quantity)"
@@ -298,6 +309,7 @@ QUERIES: dict[str, Query] = {
     "model_tools": lambda spark, sf: adapter.event_rollups(spark, sf).model_tools,
     "sessions": sessions,
     "term_hits": lambda spark, sf: adapter.all_rollups(spark, sf).hits.drop("hit_id"),
+    "hit_ids": hit_ids,
     "tool_turn_asof": tool_turns,
     "hit_turn_asof": hit_turns,
     "tool_error_or_join": tool_errors,
@@ -305,6 +317,7 @@ QUERIES: dict[str, Query] = {
     "pricing_alias_overlay": overlaid_prices,
     "usage_cost": usage_cost,
     **{f"normalize_{s}": _normalized(s) for s in ("pi", "opencode", "claude", "codex", "gemini")},
+    "unified_events": unified_events,
     **{f"messages_{s}": _messages(s) for s in ("pi", "opencode", "claude", "codex", "gemini")},
     "detect_terms": document_terms("compat"),
     "detect_terms_token": document_terms("token"),
