@@ -168,7 +168,7 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     n = max(1, -(-size // BLOCK_BYTES))
     for block in range(n):
         rows = usable.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == block).distinct()
-        yield [(r["item_id"], r["text"]) for r in rows.toLocalIterator()]
+        yield [(r["item_id"], r["text"]) for r in rows.collect()]
 
 
 def judged(index: Index, column: pa.Array) -> list[list[tuple[int, float, int]]]:
