@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionmill.operators.skew import join_facts
+from sessionmill.operators.skew import join_facts, row_hash
 
 # Provider tiers that decide which provider a model is listed under.
 FIRST_TIER = (
@@ -77,7 +77,7 @@ def with_prices(rows: DataFrame, prices: DataFrame, model: Column) -> DataFrame:
     row, so that neither the most used model nor the rows without one (they get a name of their own each) meet in one task.
     """
     renamed = prices.select(*[F.col(c).alias(f"p_{c}") for c in prices.columns if c != "friendly_name"])
-    own = F.concat(F.lit("\u0000"), F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]).cast("string"))
+    own = F.concat(F.lit("\u0000"), row_hash(rows).cast("string"))
     keyed = rows.withColumn("p_model", F.coalesce(model, own))
     return join_facts(keyed, renamed, ["p_model"]).drop("p_model").select(*rows.columns, *[c for c in renamed.columns if c != "p_model"])
 
