@@ -4,7 +4,7 @@ Base rules count words, symbols, repeated lines and repeated runs of eight words
 fertility: characters per token of two public vocabularies, the share of tokens that fall back to bytes, and the entropy
 of tokens relative to the largest that so many tokens can have. Each measure has a band per language (the ``lang`` column; where it
 is null, the script most letters are of): quartiles over all texts that pass the base rules, widened by ``WIDEN`` times their
-distance, at least by ``SLACK``. A text outside a band is rejected.
+distance, at least by ``LEAST``, and by ``SLACK`` only where they are equal. A text outside a band is rejected.
 
 A word is tokenized once per worker and batch of texts it is in; a cache of words is bounded by ``CACHE_WORDS``. Texts are read
 once and not shuffled; only the narrow rows of measures are aggregated, by language, with sketches of the quartiles.
@@ -28,7 +28,8 @@ from sessionmill.llm.text import _SPACE, U64, Words, joined, mix, run_hash, slic
 from sessionmill.operators.skew import join_facts
 
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
-WIDEN, SLACK = 4.0, {"chars_per_token": 0.5, "chars_per_byte_token": 0.5, "fallback_share": 0.02, "entropy": 0.1}
+# The slack is about what the widening comes to on prose; differences below the least are not judged.
+WIDEN, LEAST, SLACK = 2.0, 0.02, {"chars_per_token": 0.1, "chars_per_byte_token": 0.1, "fallback_share": 0.02, "entropy": 0.2}
 CACHE_WORDS = 200_000
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -221,7 +222,7 @@ def bands(measured: DataFrame) -> DataFrame:
     ends = []
     for name, slack in SLACK.items():
         q = F.percentile_approx(name, [0.25, 0.75], 1000)
-        room = F.greatest(F.lit(slack), WIDEN * (q[1] - q[0]))
+        room = F.when(q[1] > q[0], F.greatest(F.lit(LEAST), WIDEN * (q[1] - q[0]))).otherwise(F.lit(slack))
         ends += [(q[0] - room).alias(f"{name}_low"), (q[1] + room).alias(f"{name}_high")]
     return measured.where(~F.col("base_failed")).groupBy("grouping").agg(*ends)
 

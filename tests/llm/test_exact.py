@@ -248,6 +248,24 @@ def test_bands_reject_outliers(spark):
     assert not out[99] and all(out[i] for i in range(60))
 
 
+def test_bands_part_junk_from_clean_texts(spark):
+    sf = "/root/testdata/sf0.01"
+    quality = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    passed = [r for r in fertility.judged(spark.read.parquet(f"{sf}/documents.parquet")).collect() if not r["base_failed"]]
+    junk = [r["kept"] for r in passed if quality.get(r["doc_id"]) == 0]
+    clean = [r["kept"] for r in passed if quality.get(r["doc_id"]) == 1]
+    assert len(junk) > 20 and np.mean(junk) < 0.25
+    assert len(clean) > 300 and np.mean(clean) > 0.95
+
+
+def test_bands_of_equal_quartiles_keep_their_neighbours(spark):
+    rng = random.Random(6)
+    copy = " ".join(rng.choice(["house", "table", "window", "garden", "street", "people"]) + str(rng.randrange(9)) for _ in range(60))
+    rest = [(i, copy, "en") for i in range(60)] + [(60, copy.rsplit(" ", 1)[0], "en")]
+    out = {r["doc_id"]: r["kept"] for r in fertility.judged(spark.createDataFrame(rest, "doc_id long, text string, lang string")).collect()}
+    assert all(out.values()) and len(out) == 61
+
+
 # --- decontamination ------------------------------------------------------------------------------------------
 
 
