@@ -4,7 +4,9 @@ A multinomial logistic regression over hashed word unigrams, bigrams and trigram
 everything else. It is trained on variants of short templates (words dropped, changed, put in front) against paragraphs of
 a bounded sample of texts (``SAMPLE``), and its temperature is fitted on variants held back, so probabilities mean what they
 say. A paragraph is of a family if its probability is ``SURE`` or more, and confirmed if it holds enough of the word trigrams of
-one of the family's templates. Paragraphs are lines. Every whole text is read once; nothing is shuffled.
+one of the family's templates. Paragraphs are lines, and so that wrapped notices are seen whole, also the groups of neighbouring lines,
+of any number and without a blank one, over which the trigrams of a template are spread; each line of a confirmed group counts as
+licensed. Words without a letter or digit, as comment marks, are left out of groups. Every whole text is read once; nothing is shuffled.
 
 Defined results: null and empty texts have no paragraphs; repeated rows are judged once each; an empty table gives no rows; other columns are not read.
 """
@@ -12,6 +14,7 @@ Defined results: null and empty texts have no paragraphs; repeated rows are judg
 from __future__ import annotations
 
 import pickle
+from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +29,10 @@ from sessionmill.llm.text import U64, Words, joined, mix, slices, words
 SAMPLE, SAMPLE_CHARS = 400, 20_000
 BITS, EPOCHS, VARIANTS = 16, 60, 60
 SURE, CONFIRM = 0.5, 0.6
+MAYBE = 0.5  # of a template's trigrams, and a group of lines is looked at
+# Letters and digits, and whatever is not ASCII.
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 SCHEMA = (
     "doc_id long, n_paragraphs long, n_licensed long, n_unconfirmed long, family string, probability double, families array<string>"
 )
@@ -90,13 +97,14 @@ class Model:
     temperature: float
 
 
-def lines(data: np.ndarray, offsets: np.ndarray, w: Words) -> np.ndarray:
-    """Number of the line each word is in, counted over all texts of the batch."""
+def lines(data: np.ndarray, offsets: np.ndarray, w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the line each word is in, counted over all texts of the batch: of lines with words, and of all lines."""
     marks = np.zeros(len(data) + 1, np.int64)
     marks[1:][data == 10] = 1
     np.add.at(marks, offsets[:-1], 1)
-    _, line = np.unique(np.cumsum(marks)[w.start], return_inverse=True)
-    return line
+    every = np.cumsum(marks)[w.start]
+    _, line = np.unique(every, return_inverse=True)
+    return line, every
 
 
 def features(h: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,6 +161,67 @@ def confirmed(paragraph: str, family: str) -> bool:
     return own >= CONFIRM and own >= max(share(f) for f in _TRIGRAMS)
 
 
+def triples(h: np.ndarray) -> np.ndarray:
+    """The hash of each three neighbouring words."""
+    base = U64(0x9E3779B97F4A7C15)
+    return mix((h[:-2] * base + h[1:-1]) * base + h[2:]) if len(h) > 2 else np.zeros(0, U64)
+
+
+def indexed() -> tuple[list[tuple[str, int]], np.ndarray, list[list[tuple[int, int]]]]:
+    """Each template's family and number of triples; the triples in order, and the templates and places each is at."""
+    kinds, places = [], defaultdict(list)
+    for family, of in TEMPLATES.items():
+        for template in of:
+            found = triples(plain(words(*joined(pa.array([template], pa.string())))))
+            for at, x in enumerate(found.tolist()):
+                places[x].append((len(kinds), at))
+            kinds.append((family, len(found)))
+    known = np.array(sorted(places), U64)
+    return kinds, known, [places[x] for x in known.tolist()]
+
+
+_KINDS, _KNOWN, _PLACES = indexed()
+
+
+@dataclass
+class Group:
+    """Words ``begin`` to ``end`` (not with it), which hold the share of the triples of a template of the family."""
+
+    share: float
+    held: int
+    family: str
+    begin: int
+    end: int
+
+
+def groups(h: np.ndarray, block: np.ndarray) -> list[Group]:
+    """Where templates may stand, the surest first: runs of words of a block with ``MAYBE`` of a template's triples, none of them twice."""
+    found = triples(h)
+    if not len(found):
+        return []
+    place = np.minimum(np.searchsorted(_KNOWN, found), len(_KNOWN) - 1)
+    hits = defaultdict(list)
+    for i in np.flatnonzero((_KNOWN[place] == found) & (block[:-2] == block[2:])).tolist():
+        for kind, which in _PLACES[place[i]]:
+            hits[kind].append((i, which))
+    out = []
+    for kind, of in hits.items():
+        family, n = _KINDS[kind]
+        held = {}  # places in the template, and the word each is found at, in the order of the words
+        for i, which in [*of, (len(h) + n, None)]:
+            last = next(reversed(held.values()), i)
+            apart = which is None or block[i] != block[last] or i - last > n + 2
+            if (apart or which in held) and len(held) >= MAYBE * n:
+                out.append(Group(len(held) / n, len(held), family, next(iter(held.values())), last + 3))
+                apart = True
+            if apart:
+                held = {}
+            elif which in held:  # go on after the first of the two
+                held = {k: x for k, x in held.items() if x > held[which]}
+            held[which] = i
+    return sorted(out, key=lambda g: (-g.share, -g.held, g.begin, g.family))
+
+
 def variants(seed: int = 11) -> list[tuple[str, str]]:
     """(paragraph, family): templates with words dropped, swapped for others, or set in front."""
     rng, out = np.random.default_rng(seed), []
@@ -230,6 +299,47 @@ def fit_frame(docs: DataFrame) -> Model:
     return pickle.loads(row[0]) if row else fit([])
 
 
+@dataclass
+class Notice:
+    """Lines ``first`` to ``last`` that are a notice of the family, and the words that its template was found in."""
+
+    first: int
+    last: int
+    family: str
+    probability: float
+    begin: int
+    end: int
+
+    def beside(self, family: str, h: np.ndarray, at: int) -> bool:
+        """Do the line's words ``h``, the first of which is word ``at``, hold a template of the family apart from this notice?"""
+        return any(
+            g.family == family and (at + g.end <= self.begin or at + g.begin >= self.end) for g in groups(h, np.zeros(len(h), np.int64))
+        )
+
+
+def notices(m: Model, w: Words, h: np.ndarray, line: np.ndarray, every: np.ndarray) -> list[Notice]:
+    """The notices of two and more neighbouring lines; no word is in those of two families."""
+    letters = np.concatenate([[0], np.cumsum(_LETTER[w.data])])
+    at = np.flatnonzero(letters[w.end] > letters[w.start])
+    h, line, every, doc = h[at], line[at], every[at], w.doc[at]
+    # A block ends at a line without such words, or with its text.
+    block = np.cumsum((np.diff(every, prepend=every[:1]) > 1) | (np.diff(doc, prepend=doc[:1]) > 0))
+    out, taken = [], np.full(len(h), -1)
+    for g in groups(h, block):
+        first, last, family = int(line[g.begin]), int(line[g.end - 1]), m.families.index(g.family)
+        if np.any((taken[g.begin : g.end] >= 0) & (taken[g.begin : g.end] != family)):
+            continue
+        begin, end = np.searchsorted(line, [first, last + 1])
+        slot, of = features(h[begin:end], np.zeros(end - begin, np.int64))
+        p = float(probabilities(m, scores(m, slot, of, 1))[0, family])
+        text = " ".join(w.bytes_of(i).decode("utf-8", "replace") for i in at[begin:end])
+        if p >= SURE and confirmed(text, g.family):
+            taken[g.begin : g.end] = family
+            if first < last:
+                out.append(Notice(first, last, g.family, p, int(at[g.begin]), int(at[g.end - 1]) + 1))
+    return out
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """Every text with its paragraphs, those of a confirmed family, and the likeliest of these."""
     spark = docs.sparkSession
@@ -246,22 +356,33 @@ def scan(docs: DataFrame) -> DataFrame:
             paragraphs, licensed, open_ = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
             best, families = [(0.0, None)] * n, [set() for _ in range(n)]
             if len(w.start):
-                line = lines(data, offsets, w)
-                slot, of = features(plain(w), line)
+                line, every = lines(data, offsets, w)
+                h = plain(w)
+                slot, of = features(h, line)
                 p = probabilities(m, scores(m, slot, of, int(line[-1]) + 1))
                 head = np.flatnonzero(np.diff(line, prepend=-1))
                 tail = np.append(head[1:], len(line)) - 1
                 paragraphs = np.bincount(w.doc[head], minlength=n)
+                wrapped = notices(m, w, h, line, every)
+                inside = {x: notice for notice in wrapped for x in range(notice.first, notice.last + 1)}
+                for notice in wrapped:
+                    doc = int(w.doc[head[notice.first]])
+                    families[doc].add(notice.family)
+                    best[doc] = max(best[doc], (notice.probability, notice.family), key=lambda x: (x[0], x[1] or ""))
+                for i in inside:
+                    licensed[w.doc[head[i]]] += 1
                 top = p[:, :-1].argmax(axis=1)
                 for i in np.flatnonzero(p[np.arange(len(p)), top] >= SURE).tolist():
                     doc, family = int(w.doc[head[i]]), m.families[top[i]]
                     text = data[w.start[head[i]] : w.end[tail[i]]].tobytes().decode("utf-8", "replace")
+                    if i in inside and not inside[i].beside(family, h[head[i] : tail[i] + 1], int(head[i])):
+                        continue  # a part of the notice
                     if confirmed(text, family):
-                        licensed[doc] += 1
+                        licensed[doc] += i not in inside
                         families[doc].add(family)
                         best[doc] = max(best[doc], (float(p[i, top[i]]), family), key=lambda x: (x[0], x[1] or ""))
                     else:
-                        open_[doc] += 1
+                        open_[doc] += i not in inside
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(paragraphs.astype(np.int64)), pa.array(licensed), pa.array(open_),
                  pa.array([f for _, f in best], pa.string()), pa.array([x for x, _ in best], pa.float64()),

@@ -158,6 +158,48 @@ def test_licences_are_recognised(spark, edge, nothing):
     assert licences.scan(nothing).count() == 0
 
 
+WRAPPED = {
+    "gpl": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "lgpl": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.""",
+    "bsd": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:""",
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights""",
+}
+
+
+def test_wrapped_notices_are_seen_whole(spark):
+    rng, rows, truth = random.Random(3), [], {}
+    for i, (family, notice) in enumerate(WRAPPED.items()):
+        narrow = notice.replace("\n", " ").split()
+        narrow = "\n".join(" ".join(narrow[k : k + 5]) for k in range(0, len(narrow), 5))
+        for j, text in enumerate((notice, narrow)):
+            for k, mark in enumerate(("", "# ", " * ", "// ")):
+                prose = "".join(invented(rng, SYLLABLES["cc"], 12) + "\n" for _ in range(3))
+                marked = "".join(f"{mark}{x}\n" for x in text.split("\n"))
+                doc = 100 * i + 10 * j + k
+                rows.append((doc, prose + "\n" + marked + "\n" + prose if k % 2 else marked + prose))
+                truth[doc] = [family]
+    both = WRAPPED["bsd"] + "\n" + WRAPPED["gpl"] + "\nReleased under the MIT license.\n"
+    one = " ".join(WRAPPED["lgpl"].split()[:21]) + " License\nand not the GNU General Public License"
+    rows += [(903, one), (900, both), (901, "\n\n".join(WRAPPED["gpl"].split("\n")[:2])), (902, "This program is free software:\nyou can buy it")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licences.scan(docs).collect()}
+    assert {d: got[d]["families"] for d in truth} == truth
+    assert all(2 <= got[d]["n_licensed"] <= got[d]["n_paragraphs"] for d in truth)
+    assert got[900]["families"] == ["bsd", "gpl", "mit"]
+    assert got[903]["families"] == ["lgpl"]
+    assert got[901]["families"] == got[902]["families"] == []
+
+
 # --- archives -------------------------------------------------------------------------------------------------
 
 
