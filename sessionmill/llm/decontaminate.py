@@ -13,7 +13,8 @@ one more pass over the documents, so what is broadcast never grows. Words are lo
 their ends.
 
 Defined results: a null or empty text holds nothing; items with fewer than ``SEED`` words or a null text are in no document;
-repeated items count as one id; repeated rows are judged once each; other columns are not read.
+repeated items count as one id; items without an id are looked for as the others, and stand as one null, last, among the ids;
+repeated rows are judged once each; other columns are not read.
 """
 
 from __future__ import annotations
@@ -106,7 +107,7 @@ def tiles(item: np.ndarray, doc: np.ndarray, least: int = SEED) -> list[tuple[in
 class Index:
     """Runs of ``SEED`` words of a block of items."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, items: list[tuple[int | None, str]]) -> None:
         w = words(*joined(pa.array([t for _, t in items], pa.string())))
         h = plain(w)
         self.ids = [i for i, _ in items]
@@ -159,18 +160,22 @@ def held(index: Index, doc: np.ndarray) -> list[tuple[int, float, int]]:
     return out
 
 
-def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
     """Items in blocks of about ``BLOCK_BYTES``; a block is read when its turn comes."""
     usable = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(
-        "item_id is not null and text is not null"
+        "text is not null"
     )
     size = usable.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-size // BLOCK_BYTES))
     for block in range(n):
-        rows = usable.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == block).distinct()
+        rows = usable.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block).distinct()
         yield [(r["item_id"], r["text"]) for r in rows.collect()]
 
 
+def id_order(item: int | None) -> tuple[bool, int]:
+    return item is None, item or 0
+
+
 def judged(index: Index, column: pa.Array) -> list[list[tuple[int, float, int]]]:
     """What each text of a batch holds."""
     w = words(*joined(column))
@@ -219,9 +224,9 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     found = results[row]
                     for item, covered, n in found:
                         number = index.value.ids[item]
-                        if best is None or (covered, -number) > (coverage, -best):
+                        if not n_tiles or (-covered, id_order(number)) < (-coverage, id_order(best)):
                             best, coverage, n_tiles = number, covered, n
-                    rows.append((best, coverage, n_tiles, sorted({*known, *(index.value.ids[i] for i, _, _ in found)})))
+                    rows.append((best, coverage, n_tiles, sorted({*known, *(index.value.ids[i] for i, _, _ in found)}, key=id_order)))
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), batch.column("text"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.float64()),

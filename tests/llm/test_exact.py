@@ -316,3 +316,17 @@ def test_reordered_passages_are_found(spark, edge, nothing, monkeypatch):
         assert kept.columns == docs.columns and kept.count() == docs.count() - 2
     assert decontaminate.matches(nothing, bench).count() == 0
     assert not any(r["contaminated"] for r in decontaminate.matches(edge, bench.limit(0)).collect())
+
+
+def test_items_without_an_id_are_found(spark, monkeypatch):
+    one, two, three = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    bench = spark.createDataFrame([(None, one), (None, two), (7, three), (None, three), (None, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so " + one), (2, two + " so " + one), (3, three), (4, "so " + three + " " + two), (5, "none of them")], "doc_id long, text string")
+    for size in (1 << 20, 40):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        got = rows(decontaminate.matches(docs, bench), "doc_id", "contaminated", "item_id", "coverage", "items")
+        assert got == [
+            (1, True, None, 1.0, [None]), (2, True, None, 1.0, [None]), (3, True, 7, 1.0, [7, None]), (4, True, 7, 1.0, [7, None]),
+            (5, False, None, 0.0, []),
+        ]
+        assert [r["doc_id"] for r in decontaminate.kept(docs, bench).collect()] == [5]
