@@ -5,7 +5,8 @@ text, predicts that bit; the language whose codeword has the smallest loss over
 and a text whose second-best codeword is nearly as close is flagged as ambiguous.
 
 Fitting uses a bounded sample of rows (``SAMPLE`` in expectation, dealt evenly over the languages, so a rare one is kept
-whole) chosen by a hash of the id; predicting reads every whole text and shuffles nothing.
+whole) chosen by a hash of the id. A sampled text becomes its n-gram counts, of a fixed size, where it is read; these meet in one
+task, which fits, and the driver gets the model alone. Predicting reads every whole text and shuffles nothing.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; with one learned language it always wins
 with score 1, with none every text is ``und``; ties go to the language first by name; rows with a null language or id
@@ -14,6 +15,8 @@ teach nothing; repeated rows are predicted once each; other columns are not read
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionmill.llm.frames import fold, small_batches, texts
-from sessionmill.llm.text import _LOWER, joined, slices
+from sessionmill.llm.text import _LOWER, SLICE_BYTES, joined, pack, slices, unpack
 
 SAMPLE = 1_600
 PAIRS, TRIPLES = 1 << 12, 1 << 13
@@ -92,30 +95,38 @@ def margins(codes: Codes, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out / count[:, None] + codes.bias
 
 
-def frequencies(of: list[str]) -> np.ndarray:
+def counted(data: np.ndarray, step: int = SLICE_BYTES) -> np.ndarray:
+    """How often each slot is in a text, which is looked at in pieces."""
+    row = np.zeros(PAIRS + TRIPLES, np.int64)
+    if len(data) > 2:
+        for begin in range(0, len(data), step):
+            two, three = grams(data[begin : begin + step + 2])
+            row[:PAIRS] += np.bincount(two[:step], minlength=PAIRS)
+            row[PAIRS:] += np.bincount(three[:step], minlength=TRIPLES)
+    return row
+
+
+def frequencies(of: list[bytes]) -> np.ndarray:
+    """Shares of the slots, from packed counts; a row a text."""
     rows = np.zeros((len(of), PAIRS + TRIPLES), dtype=np.float32)
-    for i, text in enumerate(of):
-        data = np.frombuffer(text.encode(), np.uint8)
-        if len(data) > 2:
-            two, three = grams(data)
-            rows[i, :PAIRS] = np.bincount(two, minlength=PAIRS)
-            rows[i, PAIRS:] = np.bincount(three, minlength=TRIPLES)
-            rows[i] /= rows[i].sum()
+    for i, packed in enumerate(of):
+        n = unpack(packed)
+        rows[i] = n / max(n.sum(), 1)
     return rows
 
 
-def fit(sample: list[tuple[str, str]], epochs: int = EPOCHS) -> Codes:
-    """The model of a bounded list of (text, language): all bits at once, by gradient descent with momentum."""
+def fit(sample: list[tuple[bytes, str, bytes]], epochs: int = EPOCHS) -> Codes:
+    """The model of a bounded list of (digest of a text, language, packed counts): all bits at once, by gradient descent with momentum."""
     sample = sorted(set(sample))
-    languages = sorted({x for _, x in sample})
+    languages = sorted({x for _, x, _ in sample})
     words = codewords(len(languages))
     bits = words.shape[1]
     if len(languages) < 2:
         return Codes(languages, words, np.zeros((0, PAIRS)), np.zeros((0, TRIPLES)), np.zeros(0))
-    x = frequencies([t for t, _ in sample])
+    x = frequencies([n for _, _, n in sample])
     scale = 1 / np.sqrt(x.mean(axis=0) + 1e-6)
     x *= scale
-    number = np.array([languages.index(l) for _, l in sample])
+    number = np.array([languages.index(l) for _, l, _ in sample])
     y = words[number].astype(np.float32)
     share = 1 / np.bincount(number)[number].astype(np.float32)  # every language counts the same
     share /= share.sum()
@@ -148,17 +159,38 @@ def decode(codes: Codes, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return winner, score, second - least < AMBIGUOUS, wrong
 
 
-def training_sample(docs: DataFrame, learn: Column | None = None) -> list[tuple[str, str]]:
-    """About ``SAMPLE`` rows (text, lang), evenly over languages, by a hash of the id."""
+def training_sample(docs: DataFrame, learn: Column | None = None) -> DataFrame:
+    """About ``SAMPLE`` rows (digest of the text, lang, packed counts), evenly over languages, by a hash of the id."""
     usable = texts(docs, "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.lit(True) if learn is None else learn))
+    usable = usable.withColumn("lang", F.col("lang").cast("string"))
     sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return []
-    each = max(SAMPLE // len(sizes), 1)
-    share = F.element_at(F.create_map(*(F.lit(x) for l, n in sizes.items() for x in (l, min(1.0, each / n)))), F.col("lang"))
+    each = max(SAMPLE // max(len(sizes), 1), 1)
+    known = [F.lit(x) for l, n in sizes.items() for x in (l, min(1.0, each / n))] or [F.lit(""), F.lit(0.0)]
+    share = F.element_at(F.create_map(*known), F.col("lang"))
     rows = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 20)) < share * (1 << 20))
-    rows = rows.where(F.col("text").rlike(LETTER)).select("text", "lang")
-    return [(r["text"], r["lang"]) for r in rows.toLocalIterator()]
+
+    def run(batches):
+        for batch in slices(batches):
+            data, offsets = joined(batch.column("text"))
+            of = [data[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in of], pa.binary()), batch.column("lang"),
+                 pa.array([pack(counted(x)) for x in of], pa.binary())],
+                ["digest", "lang", "counts"],
+            )
+
+    return rows.where(F.col("text").rlike(LETTER)).select("text", "lang").mapInArrow(run, "digest binary, lang string, counts binary")
+
+
+def fit_frame(sample: DataFrame) -> Codes:
+    """The model of a bounded sample, fitted in one task."""
+
+    def run(batches):
+        rows = [(r["digest"], r["lang"], r["counts"]) for b in batches for r in b.to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], ["model"])
+
+    row = sample.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(row[0]) if row else fit([])
 
 
 def identify(codes: Codes, column: pa.Array) -> tuple[np.ndarray, ...]:
@@ -175,7 +207,7 @@ def kept(docs: DataFrame) -> DataFrame:
     """The rows, with all their columns, whose language is known and not ambiguous; learned from all rows with a language."""
     spark = docs.sparkSession
     small_batches(spark)
-    codes = spark.sparkContext.broadcast(fit(training_sample(docs)))
+    codes = spark.sparkContext.broadcast(fit_frame(training_sample(docs)))
 
     def run(batches):
         for batch in slices(batches):
@@ -189,7 +221,7 @@ def predict(docs: DataFrame, learn: Column | None = None) -> DataFrame:
     """Every document with its language, the winner's share, the ambiguity flag and the number of wrong bits."""
     spark = docs.sparkSession
     small_batches(spark)
-    codes = spark.sparkContext.broadcast(fit(training_sample(docs, learn)))
+    codes = spark.sparkContext.broadcast(fit_frame(training_sample(docs, learn)))
 
     def run(batches):
         names = np.array([*codes.value.languages, "und"], dtype=object)

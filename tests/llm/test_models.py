@@ -53,6 +53,23 @@ def test_language_without_a_choice(spark, nothing):
     assert {r["lang_pred"] for r in language.predict(none).collect()} == {"und"}
 
 
+def test_language_learns_from_rows_of_a_fixed_size(spark):
+    rng = random.Random(4)
+    docs = [(i, invented(rng, SYLLABLES["aa"], 1 << (2 * i)), "aa") for i in range(10)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    rows = language.training_sample(docs)
+    assert rows.columns == ["digest", "lang", "counts"] and rows.count() == 10
+    assert max(len(r["counts"]) for r in rows.collect()) < 8 * (language.PAIRS + language.TRIPLES)
+
+
+@pytest.mark.parametrize("text", ["", "ab", "abc", "a text looked at in pieces, aaaaaaaaaaaa"])
+def test_pieces_count_as_the_whole(text):
+    data = np.frombuffer(text.encode(), np.uint8)
+    whole = language.counted(data)
+    assert whole.sum() == (2 * len(text) - 3 if len(text) > 2 else 0)
+    assert all((language.counted(data, step) == whole).all() for step in (1, 2, 3, 7))
+
+
 @pytest.mark.parametrize("n", [2, 3, 4, 5, 9])
 def test_codewords_are_apart(n):
     code = language.codewords(n)
