@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 # Rows per Arrow batch: a batch of whole texts must fit a Python worker beside its arrays.
 BATCH_ROWS = 512
+# Where a local session without ``spark.checkpoint.dir`` keeps its tables, by application.
+_LOCAL_ROOTS: dict[str, str] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -46,8 +48,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="sessionmill-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        root = _LOCAL_ROOTS.get(app) or _LOCAL_ROOTS.setdefault(app, tempfile.mkdtemp(prefix="sessionmill-"))
     return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 

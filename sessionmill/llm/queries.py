@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionmill.llm import bpe, decontaminate, fertility, jaccard, katz, language, licences, repeats, toxicity, warc
+from sessionmill.llm import bpe, decontaminate, fertility, jaccard, katz, language, licences, manifest, naming, repair, repeats, toxicity, warc
 from sessionmill.llm.frames import read
 
 
@@ -65,6 +65,19 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return manifest.verified(manifest.leaves(docs, manifest.tampered(docs)))
+
+
+def op12_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return naming.duplicates(read(spark, sf_dir, "documents"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired(read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_warc": op2_warc,
@@ -76,4 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fertility": op8_fertility,
     "op9_repeats": op9_repeats,
     "op10_decontaminate": op10_decontaminate,
+    "op11_manifest": op11_manifest,
+    "op12_naming": op12_naming,
+    "op13_repair": op13_repair,
 }
