@@ -9,6 +9,9 @@ occurrence once instead.
 
 All of it is column expressions: matches are marked by a replacement, the text is cut at the marks, and the
 lengths of the pieces give the byte offsets.  No text is shuffled: texts become hits where they are read.
+
+One expression of all words serves dictionaries of up to ``PATTERN_WORDS`` rows. A dictionary that comes as a frame or is larger, or
+whose terms are more than single words in token mode, is joined to the texts' tokens instead (``phrases``): the hits are the same.
 """
 
 from __future__ import annotations
@@ -19,9 +22,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sessionmill.operators import phrases
+from sessionmill.operators.text import collapse, lower_text
 from sessionmill.schemas import HIT
 
 _WORD = "[0-9A-Za-z_]"
+# Words that one regular expression tries at every place of a text; more are found by a join, with the same result.
+PATTERN_WORDS = 200
 
 
 def pattern(words: Sequence[str]) -> str:
@@ -47,15 +54,6 @@ def _quote(word: str) -> str:
     return re.sub(r"([\\^$.|?*+()\[\]{}\-])", r"\\\1", word)
 
 
-def lower_text(text: Column) -> Column:
-    """Lower case, with the dotted capital I going to one plain i."""
-    return F.lower(F.replace(text, F.lit("İ"), F.lit("i")))
-
-
-def collapse(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?s)(.)\1+", "$1")
-
-
 # Stands around matches while they are located; in a text it counts as another control character.
 MARK, OTHER = "\u0001", "\u0002"
 
@@ -105,23 +103,31 @@ _PLACES = "array<struct<start: bigint, word: string>>"
 
 def detect(
     messages: DataFrame,
-    lexicon: Sequence[tuple[str, str, str]],
+    lexicon: DataFrame | Sequence[tuple[str, str, str]],
     text: str = "text",
     keep: Sequence[str] | None = None,
     mode: str = "compat",
 ) -> DataFrame:
     """One row per hit: kept columns, ``pass``, ``start``, word, group_name, severity.
 
-    ``lexicon`` holds (word, severity, group) as given by ``lexicon.entries``.
+    ``lexicon`` has word, severity and group, each word once: a frame as ``lexicon.merge`` gives it, or rows. ``start`` is a byte
+    offset, in token mode the number of words before (one more if the text does not begin with a word). In token mode a term is found
+    where its tokens are, as written or else each with its repeats collapsed, and no token is in two hits.
     """
     if mode not in ("compat", "token"):
         raise ValueError("mode is 'compat' or 'token'")
-    words = [w for w, _, _ in lexicon]
     keep = list(keep) if keep is not None else [c for c in messages.columns if c != text]
+    if not isinstance(lexicon, DataFrame):
+        lexicon = [tuple(row) for row in lexicon]
+        if len(lexicon) > PATTERN_WORDS or (mode == "token" and not all(re.fullmatch(f"{_WORD}+", w) for w, _, _ in lexicon)):
+            lexicon = messages.sparkSession.createDataFrame(lexicon, "word string, severity string, group string")
+    if isinstance(lexicon, DataFrame):
+        return phrases.found(messages, lexicon, text, keep, mode)
+    words = [w for w, _, _ in lexicon]
     source = messages.where(f"`{text}` is not null and `{text}` <> ''")
     found = _compat(source, text, words, keep) if mode == "compat" else _token(source, text, words, keep)
 
-    # The words that were found meet the dictionary as a frame: a plan does not grow with the dictionary.
+    # The words that were found meet the dictionary as a frame.
     entry = messages.sparkSession.createDataFrame(
         [(w, g, s) for w, s, g in lexicon], "word string, group_name string, severity string"
     )
@@ -153,9 +159,6 @@ def _compat(source: DataFrame, text: str, words: Sequence[str], keep: list[str])
 
 def _token(source: DataFrame, text: str, words: Sequence[str], keep: list[str]) -> DataFrame:
     """Each token once: as written, else with its repeats collapsed; ``start`` is the token's position."""
-    odd = sorted(w for w in words if not re.fullmatch(f"{_WORD}+", w))
-    if odd:
-        raise ValueError(f"token mode finds single words of [0-9A-Za-z_] only; not {', '.join(odd[:5])}: use mode='compat'")
     tokens = F.split(lower_text(F.col(text)), f"(?:(?!{_WORD})(?s:.))+")
     exploded = source.select(*keep, F.posexplode(tokens).alias("start", "_token"))
     listed = source.sparkSession.createDataFrame([(w,) for w in words], "_word string")

@@ -15,10 +15,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionmill.operators import attribution, lexicon, rollups
+from sessionmill.operators import attribution, detect, lexicon, rollups
 from sessionmill.operators import pricing as P
 from sessionmill.plans.store import Rollups
-from sessionmill.schemas import ATTRIBUTED_HIT, HIT
+from sessionmill.schemas import ATTRIBUTED_HIT, HIT, LEXICON
 from sessionmill.sources import readers, registry
 
 PUBLISHED = "published"
@@ -38,7 +38,7 @@ def refresh(
     """Rebuild everything from the logs under ``home``; returns the published run's folder."""
     raw = registry.discover(spark, home)
     prices = registry.Prices.of(readers.read_catalogue(spark, catalogue), P.alias_frame(spark, aliases))
-    terms = lexicon.entries(lexicon.build(spark, dictionary, dictionary_mode)) if collect_terms else None
+    terms = lexicon.build(spark, dictionary, dictionary_mode) if collect_terms else None
     run = f"{out}/run={dt.datetime.now(dt.timezone.utc):%Y%m%dT%H%M%S%f}"
     write_tables(spark, raw, prices, terms, lambda table: f"{run}/{table}", term_mode)
     publish(spark, out, run)
@@ -49,14 +49,15 @@ def write_tables(
     spark: SparkSession,
     raw: Mapping[str, registry.Raw],
     prices: registry.Prices,
-    terms: list[tuple[str, str, str]] | None,
+    terms: DataFrame | list[tuple[str, str, str]] | None,
     place: Callable[[str], str],
     term_mode: str = "compat",
 ) -> Rollups:
     """Write all tables, each to the folder ``place`` gives for its name.
 
-    ``terms`` None leaves the hit tables empty and reads no text.  Events are
-    partitioned by harness, so a question about one reads only its files.
+    ``terms`` None leaves the hit tables empty and reads no text; a frame is
+    written first, and no more of it collected than one expression can hold.
+    Events are partitioned by harness, so a question about one reads only its files.
     """
 
     def store(frame: DataFrame, table: str) -> DataFrame:
@@ -65,6 +66,12 @@ def write_tables(
         frame.write.mode("overwrite").partitionBy(*parts).parquet(path)
         return spark.read.parquet(path).select(*frame.columns)
 
+    if isinstance(terms, DataFrame):
+        terms = store(terms.select(*LEXICON.fieldNames()), "lexicon")
+        few = [tuple(row) for row in terms.limit(detect.PATTERN_WORDS + 1).collect()]
+        if not few:
+            raise ValueError("dictionary is empty")
+        terms = few if len(few) <= detect.PATTERN_WORDS else terms
     # The parsed logs, without texts: events take several looks at them.
     parsed = {
         name: store(frame, f"parsed/{name}") if isinstance(frame, DataFrame) else frame

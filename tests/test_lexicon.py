@@ -106,8 +106,7 @@ PIECES = st.sampled_from(
 )
 
 
-@pytest.mark.parametrize("words", [PLAIN, ODD])
-def test_detection_equals_emulation(spark, words):
+def drawn_texts():
     texts = []
 
     @settings(max_examples=300, deadline=None, derandomize=True, suppress_health_check=list(HealthCheck))
@@ -116,8 +115,20 @@ def test_detection_equals_emulation(spark, words):
         texts.append("".join(pieces))
 
     collect()
+    return texts
+
+
+def as_frame(spark, words):
+    return spark.createDataFrame(words, "word string, severity string, group string")
+
+
+@pytest.mark.parametrize("joined", [False, True])
+@pytest.mark.parametrize("words", [PLAIN, ODD])
+def test_detection_equals_emulation(spark, words, joined):
+    texts = drawn_texts()
     frame = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
-    got = sorted((r.id, r["pass"], r.start, r.word) for r in detect.detect(frame, words).collect())
+    lexicon = as_frame(spark, words) if joined else words
+    got = sorted((r.id, r["pass"], r.start, r.word) for r in detect.detect(frame, lexicon).collect())
     want = sorted((i, *hit) for i, text in enumerate(texts) for hit in emulate(text, [w for w, _, _ in words]))
     assert got == want and len(got) > 100
 
@@ -134,3 +145,45 @@ def test_double_count_behind_a_collapsed_run(spark):
 def test_long_text(spark):
     frame = spark.range(1).selectExpr("id", "repeat('the xx of ', 100000) AS text")
     assert detect.detect(frame, PLAIN).count() == len(emulate("the xx of " * 100000, [w for w, _, _ in PLAIN]))
+
+
+def emulate_tokens(text, words):
+    """Tokens from the left, at each the longest term, as written before collapsed."""
+    def squeeze(t):
+        return re.sub(r"(.)\1+", r"\1", t, flags=re.S)
+
+    parts = re.findall(r"[0-9A-Za-z_]+|[^0-9A-Za-z_]", text.lower())
+    lead = int(bool(parts) and not re.match("[0-9A-Za-z_]", parts[0]))
+    sized = sorted(((len(re.findall(r"[0-9A-Za-z_]+|[^0-9A-Za-z_]", w)), w) for w in words), reverse=True)
+    hits, i = [], 0
+    while i < len(parts):
+        found = [(-n, p, w) for n, w in sized for p, f in ((1, str), (2, squeeze)) if [f(t) for t in parts[i : i + n]] and "".join(map(f, parts[i : i + n])) == w and len(parts[i : i + n]) == n]
+        if found:
+            n, number, word = min(found)
+            hits.append((number, lead + sum(bool(re.match("[0-9A-Za-z_]", t)) for t in parts[:i]), word))
+        i += -n if found else 1
+    return hits
+
+
+def test_token_mode_equals_emulation(spark):
+    texts = drawn_texts() + ["the  end", "the ennd the end", "c++ c+ cc++", "@xx a.b aa.b", "a" * 70 + " the end " * 200]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = sorted((r.id, r["pass"], r.start, r.word) for r in detect.detect(frame, ODD, mode="token").collect())
+    want = sorted((i, *hit) for i, text in enumerate(texts) for hit in emulate_tokens(text, [w for w, _, _ in ODD]))
+    assert got == want and len(got) > 300
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_a_hundred_thousand_entries(spark, shuffled, monkeypatch):
+    """Terms with spaces, symbols and accents in a large dictionary, sent around or not; the plan does not hold it."""
+    if shuffled:
+        monkeypatch.setattr(detect.phrases, "BROADCAST_ROWS", 1000)
+    words = [("the end", "mild", "e"), ("the", "mild", "t"), ("é", "mild", "é"), ("a.b", "strong", "d"), ("long term of a term", "mild", "l")]
+    large = as_frame(spark, words).unionByName(spark.range(100_000).selectExpr("concat('t', id, ' é') AS word", "'mild' AS severity", "'f' AS group"))
+    texts = ["the end of t99999 éx", "téé the a.b", "x long term of a term " * 40, "tt7 é", ""]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    found = detect.detect(frame, large)
+    got = sorted((r.id, r["pass"], r.start, r.word) for r in found.collect())
+    near = [w for w, _, _ in words] + ["t99999 é", "t7 é"]
+    assert got == sorted((i, *hit) for i, text in enumerate(texts) for hit in emulate(text, near)) and len(got) > 40
+    assert len(found._jdf.queryExecution().toString()) < 200_000 and "t500 é" not in found._jdf.queryExecution().toString()

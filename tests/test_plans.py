@@ -120,7 +120,7 @@ def test_tools_belong_to_the_turn_in_force(spark):
         event(5, is_turn=1, model="", provider="p"),
         event(6, model="a", provider=None, cost=2.0, in_tok=5),
     ], EVENT)
-    tools = rollups.model_tools(events, None)
+    tools = rollups.model_tools(events)
     assert sorted((r.model, r.provider, r["count"], r.errors) for r in tools.collect()) == [("a", None, 1, 1), ("c", "p", 2, 0)]
     stats = {r.model: r for r in rollups.session_model_stats(events, tools).collect()}
     assert set(stats) == {"a", "b", "c"}

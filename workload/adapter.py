@@ -28,6 +28,19 @@ LEXICON = [
     ("un", "moderate", "article"),
 ]
 
+# Terms of several words, with symbols and accents; some are part of others.
+PHRASES = [
+    ("the", "mild", "article"), ("the the", "strong", "twice"), ("of", "mild", "of"), ("de la", "moderate", "article"), ("für", "mild", "für"),
+    ("ción", "moderate", "end"), ("example.com", "strong", "site"), ("by-nc", "moderate", "licence"), ("é", "mild", "letter"), ("cc by-nc", "strong", "licence"),
+]
+# Entries that make a dictionary large: term0, term1 and so on.
+FILLERS = 100_000
+
+
+def large_lexicon(spark: SparkSession) -> DataFrame:
+    known = spark.createDataFrame(PHRASES, "word string, severity string, group string")
+    return known.unionByName(spark.range(FILLERS).selectExpr("concat('term', id) AS word", "'mild' AS severity", "'filler' AS group"))
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")

@@ -7,7 +7,7 @@ joins, errors use the literal OR join, normalised events are derived from
 
 from __future__ import annotations
 
-from workload.adapter import LEXICON
+from workload.adapter import FILLERS, LEXICON, PHRASES
 from workload.logs import ALIASES, LISTED, PROVIDERS
 from workload.queries import FILTERS
 
@@ -814,7 +814,7 @@ SELECT word, severity, "group" FROM (
   SELECT *, row_number() OVER (PARTITION BY word ORDER BY layer DESC, position DESC) AS place FROM (
     {default if mode == "extend" else ""}
     SELECT 1 AS layer, p_partkey AS position, lower(CASE WHEN p_size > 40 THEN p_type ELSE p_name END) AS word, 'moderate' AS severity, lower(p_type) AS "group"
-    FROM part WHERE p_size > 25
+    FROM part
   )
 ) WHERE place = 1"""
 
@@ -824,6 +824,12 @@ def document_terms() -> str:
     return f"WITH {found}, {_lexicon(LEXICON)} SELECT f.doc_id, f.pass, f.start, f.word, l.group_name, l.severity FROM found f JOIN lexicon l ON l.word = f.word"
 
 
+def document_phrases() -> str:
+    words = [w.replace(".", "\\.") for w, _, _ in PHRASES] + ["term(?:0|[1-9][0-9]{0,4})"]
+    entries = f"{_lexicon(PHRASES)}, entry AS (SELECT * FROM lexicon UNION ALL SELECT 'term' || i, 'mild', 'filler' FROM range({FILLERS}) r(i))"
+    return f"WITH {_found('found', 'documents', 'doc_id', words)}, {entries} SELECT f.doc_id, f.pass, f.start, f.word, l.group_name, l.severity FROM found f JOIN entry l ON l.word = f.word"
+
+
 def token_terms() -> str:
     """Words between non-word characters, looked up as written and else collapsed."""
     return f"""
@@ -866,8 +872,8 @@ def usage_cost() -> str:
     return f"""
 WITH {ROWS}, {PRICES}
 SELECT event_id, round({plain}, 9) AS plain, round({_cost('k * 100', 'k * 10', 'k * 50', 'k * 5')}, 9) AS with_writes,
-  round(CASE WHEN k % 10 = 0 OR value = 0 THEN {plain} ELSE value END, 9) AS recorded_first
-FROM log r LEFT JOIN price p ON p.model = r.model WHERE event_type = 'purchase'"""
+  round(CASE WHEN k % 10 = 0 OR coalesce(value, 0) = 0 THEN {plain} ELSE value END, 9) AS recorded_first
+FROM log r LEFT JOIN price p ON p.model = r.model"""
 
 
 def display_texts() -> str:
@@ -947,6 +953,7 @@ ASOF LEFT JOIN turn ON c.harness = turn.harness AND c.filename = turn.filename A
     "messages_gemini": messages_gemini(),
     "detect_terms": document_terms(),
     "detect_terms_token": token_terms(),
+    "detect_phrases": document_phrases(),
     "detect_term_counts": f"SELECT word, group_name, severity, count(*) AS hits, count(*) FILTER (WHERE pass = 2) AS collapsed_hits FROM ({document_terms()}) GROUP BY ALL",
     "detect_built_in": built_in_terms(),
     "lexicon_merge_extend": lexicon_merge("extend"),

@@ -152,6 +152,12 @@ def document_terms(mode: str) -> Query:
     return query
 
 
+def document_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    """A dictionary of 100 000 entries, terms of several words among them."""
+    documents = adapter.table(spark, sf, "documents").select("doc_id", "text")
+    return detect.detect(documents, adapter.large_lexicon(spark))
+
+
 def document_term_counts(spark: SparkSession, sf: str) -> DataFrame:
     found = document_terms("compat")(spark, sf)
     return found.groupBy("word", "group_name", "severity").agg(
@@ -175,7 +181,7 @@ def lexicon_merge(mode: str) -> Query:
             "concat(' ', upper(p_name), ' ') AS word", "element_at(array('mild', '', 'strong'), p_size % 3 + 1) AS severity",
             "if(p_size % 4 = 0, ' ', p_brand) AS group", "p_partkey AS position",
         )
-        custom = part.where("p_size > 25").selectExpr(
+        custom = part.selectExpr(
             "if(p_size > 40, p_type, p_name) AS word", "'moderate' AS severity", "lower(p_type) AS group",
             "p_partkey AS position",
         )
@@ -185,8 +191,8 @@ def lexicon_merge(mode: str) -> Query:
 
 
 def usage_cost(spark: SparkSession, sf: str) -> DataFrame:
-    """Purchases priced by the catalogue, with and without a cache-write price."""
-    rows = adapter.log_rows(spark, sf).where("event_type = 'purchase'")
+    """Every event priced by the catalogue, with and without a cache-write price; some have no model, some no price."""
+    rows = adapter.log_rows(spark, sf)
     priced = P.with_prices(rows, logs.prices(spark, sf).overlaid, F.col("model"))
     k = F.col("k")
     return priced.select(
@@ -321,6 +327,7 @@ QUERIES: dict[str, Query] = {
     **{f"messages_{s}": _messages(s) for s in ("pi", "opencode", "claude", "codex", "gemini")},
     "detect_terms": document_terms("compat"),
     "detect_terms_token": document_terms("token"),
+    "detect_phrases": document_phrases,
     "detect_term_counts": document_term_counts,
     "detect_built_in": built_in_terms,
     "lexicon_merge_extend": lexicon_merge("extend"),
