@@ -53,18 +53,17 @@ def _sorted_names(different: DataFrame, by: list[str], steps: Steps, name: str)
 
 def _block_names(cut: DataFrame, steps: Steps) -> DataFrame:
     """(row, pos, count, name)"""
-    different = cut.groupBy("h", "block").agg(F.lit(1).alias("one")).drop("one")
-    sorted_blocks = different.sortWithinPartitions("block").select("h", "block", F.monotonically_increasing_id().alias("name"))
-    # Where a hash has several blocks, and only there, the blocks themselves are kept.
-    named = sorted_blocks.groupBy("h").agg(F.count("*").alias("n"), F.min("name").alias("name"), F.collect_list(F.struct("block", "name")).alias("all"))
-    named = steps.keep(named.select("h", "name", F.when(F.col("n") > 1, F.col("all")).alias("all")), "block-names")
+    # The set of blocks of a hash: copies are merged before the one shuffle of texts. Blocks are kept where a hash has several, and only there.
+    sets = cut.groupBy("h").agg(F.collect_set("block").alias("all"))
+    different = sets.select("h", (F.size("all") > 1).alias("shared"), F.explode("all").alias("block")).sortWithinPartitions("block")
+    named = steps.keep(different.select("h", F.when(F.col("shared"), F.col("block")).alias("block"), F.monotonically_increasing_id().alias("name")), "block-names")
     places = cut.select("row", "pos", "count", "h")
-    by_hash = places.join(named.where(F.col("all").isNull()).select("h", "name"), "h").select("row", "pos", "count", "name")
-    shared = named.where(F.col("all").isNotNull())
+    by_hash = places.join(named.where(F.col("block").isNull()).select("h", "name"), "h").select("row", "pos", "count", "name")
+    shared = named.where(F.col("block").isNotNull())
     if shared.isEmpty():
         return by_hash
-    texts = shared.select("h", F.inline("all"))
-    by_text = cut.join(shared.select("h"), "h", "left_semi").join(texts, ["h", "block"]).select("row", "pos", "count", "name")
+    # On the block alone, which is one name's: its hash is what it shares.
+    by_text = cut.join(shared.select("block", "name"), "block").select("row", "pos", "count", "name")
     return by_hash.unionByName(by_text)
 
 
