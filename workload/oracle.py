@@ -726,7 +726,8 @@ def _json_counts(value: str) -> str:
     return f"'{{' || string_agg('\"' || tool || '\":' || {value}, ',' ORDER BY tool) || '}}'"
 
 
-def sessions() -> str:
+def _nested() -> str:
+    """The nested columns of a session as text, one table each."""
     stats = (
         "concat_ws('|', model, coalesce(provider, '-'), turns, in_tok, out_tok, cache_tok, tools, errors, "
         f"{_money('cost')}, {_breakdown('in_tok', 'out_tok', 'cache_tok')}, {_percent('errors', 'tools')}, "
@@ -734,11 +735,16 @@ def sessions() -> str:
     )
     pairs = f"concat_ws('|', model, tool, count, errors, {_percent('errors', 'count')})"
     return f"""
-WITH {LOGS},
+pair AS (SELECT harness, filename, string_agg(t, ';' ORDER BY t) AS text FROM (SELECT harness, filename, {pairs} AS t FROM mt) GROUP BY ALL),
+stat AS (SELECT harness, filename, string_agg(t, ';' ORDER BY t) AS text FROM (SELECT harness, filename, {stats} AS t FROM st) GROUP BY ALL)"""
+
+
+def sessions(logs: str | None = None) -> str:
+    return f"""
+WITH {logs or LOGS},
 per_tool AS (SELECT harness, filename, tool, count(*) AS n, sum(is_error) AS bad FROM ev WHERE tool IS NOT NULL GROUP BY ALL),
 maps AS (SELECT harness, filename, {_json_counts('n')} AS good, {_json_counts('bad')} AS bad FROM per_tool GROUP BY ALL),
-pair AS (SELECT harness, filename, string_agg(t, ';' ORDER BY t) AS text FROM (SELECT harness, filename, {pairs} AS t FROM mt) GROUP BY ALL),
-stat AS (SELECT harness, filename, string_agg(t, ';' ORDER BY t) AS text FROM (SELECT harness, filename, {stats} AS t FROM st) GROUP BY ALL)
+{_nested()}
 SELECT s.harness, s.filename, start_time, end_time, CAST(duration_sec AS DOUBLE) AS duration_sec, project, cwd,
   array_to_string(models, ',') AS models, round(cost, 4) AS cost, in_tok, out_tok, cache_tok, user_turns, agent_turns, errors, tool_count,
   tool_error_count, coalesce(maps.good, '{{}}') AS tool_breakdown, coalesce(maps.bad, '{{}}') AS tool_error_breakdown,
@@ -766,6 +772,7 @@ def session_list() -> str:
 WITH {LOGS},
 per_tool AS (SELECT harness, filename, tool, count(*) AS n, sum(is_error) AS bad FROM ev WHERE tool IS NOT NULL GROUP BY ALL),
 maps AS (SELECT harness, filename, {_json_counts('n')} AS good, {_json_counts('bad')} AS bad FROM per_tool GROUP BY ALL),
+{_nested()},
 base AS (
   SELECT *, in_tok + out_tok + cache_tok AS total_tokens, date_diff('second', epoch_ms(start_time), epoch_ms(end_time)) AS duration_sec_calc
   FROM se ORDER BY total_tokens DESC, start_time DESC, harness, filename LIMIT 100
@@ -774,13 +781,14 @@ SELECT b.harness, b.filename, strftime(epoch_ms(start_time), '%Y-%m-%dT%H:%M:%S.
   strftime(epoch_ms(end_time), '%Y-%m-%dT%H:%M:%S.%f') AS end_time_str, duration_sec_calc, project, cwd, round(cost, 4) AS cost,
   in_tok, out_tok, cache_tok, total_tokens, user_turns, agent_turns, user_turns + agent_turns AS total_turns, errors, tool_count,
   tool_error_count, coalesce(maps.good, '{{}}') AS tool_breakdown_json, coalesce(maps.bad, '{{}}') AS tool_error_breakdown_json,
+  coalesce(pair.text, '') AS model_tool_breakdown_json, coalesce(stat.text, '') AS model_stats_json,
   CASE WHEN models IS NULL THEN '[]' ELSE '["' || array_to_string(models, '","') || '"]' END AS models_json,
   {_money('cost')} AS cost_display, {_human('total_tokens')} AS total_tokens_display,
   {_breakdown('in_tok', 'out_tok', 'cache_tok')} AS token_breakdown_display, {_duration('duration_sec_calc')} AS duration_display,
   {_percent('tool_error_count', 'tool_count')} AS tool_error_pct,
   {_resume('b.harness', "CASE b.harness WHEN 'codex' THEN b.filename ELSE b.filename END", 'cwd')} AS resume_command,
   {LABEL.replace('CASE harness', 'CASE b.harness')} AS resume_label
-FROM base b LEFT JOIN maps USING (harness, filename)"""
+FROM base b LEFT JOIN maps USING (harness, filename) LEFT JOIN pair USING (harness, filename) LEFT JOIN stat USING (harness, filename)"""
 
 
 def resume_command() -> str:

@@ -91,26 +91,45 @@ def session_stats(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(adapter.event_rollups(spark, sf).stats, cost=4)
 
 
+PAIR_TEXT = "x.model, x.tool, x.count, x.errors, x.error_pct"
+STAT_TEXT = (
+    "x.model, coalesce(x.provider, '-'), x.turns, x.in_tok, x.out_tok, x.cache_tok, x.tools, x.errors, x.cost_display, "
+    "x.token_breakdown_display, x.error_pct, x.cost_per_turn_display, x.cost_per_tool_display"
+)
+
+
+def _nested(column: str, fields: str) -> str:
+    return f"array_join(array_sort(transform({column}, x -> concat_ws('|', {fields}))), ';')"
+
+
 def sessions(spark: SparkSession, sf: str) -> DataFrame:
     """The session table with its nested columns as text."""
     table = adapter.event_rollups(spark, sf).sessions
-    stats = "transform(model_stats, s -> concat_ws('|', s.model, coalesce(s.provider, '-'), s.turns, s.in_tok, s.out_tok, s.cache_tok, s.tools, s.errors, s.cost_display, s.token_breakdown_display, s.error_pct, s.cost_per_turn_display, s.cost_per_tool_display))"
-    pairs = "transform(model_tool_breakdown, t -> concat_ws('|', t.model, t.tool, t.count, t.errors, t.error_pct))"
     return rounded(table, cost=4).selectExpr(
         "harness", "filename", "start_time", "end_time", "duration_sec", "project", "cwd",
         "array_join(models, ',') AS models", "cost", "in_tok", "out_tok", "cache_tok", "user_turns", "agent_turns",
         "errors", "tool_count", "tool_error_count",
         "to_json(tool_breakdown) AS tool_breakdown", "to_json(tool_error_breakdown) AS tool_error_breakdown",
-        f"array_join(array_sort({pairs}), ';') AS model_tool_breakdown",
-        f"array_join(array_sort({stats}), ';') AS model_stats",
+        f"{_nested('model_tool_breakdown', PAIR_TEXT)} AS model_tool_breakdown",
+        f"{_nested('model_stats', STAT_TEXT)} AS model_stats",
     )
 
 
 def session_list(spark: SparkSession, sf: str) -> DataFrame:
-    """Top sessions by tokens; the nested model columns are compared by ``sessions``."""
+    """Top sessions by tokens; the nested columns' JSON is read back and compared as text."""
     f = Filters(sort_table="sessions", sort_by="tokens", sort_dir="desc")
     listed = overview.session_list(adapter.event_rollups(spark, sf), f)
-    return rounded(listed.drop("model_tool_breakdown_json", "model_stats_json"), cost=4)
+    pairs = F.from_json("model_tool_breakdown_json", "array<struct<model string, tool string, count bigint, errors bigint, error_pct string>>")
+    stats = F.from_json("model_stats_json", (
+        "array<struct<model string, provider string, turns bigint, cost double, in_tok bigint, out_tok bigint, cache_tok bigint, "
+        "tools bigint, errors bigint, cost_display string, token_breakdown_display string, error_pct string, "
+        "cost_per_turn_display string, cost_per_tool_display string>>"
+    ))
+    read_back = listed.withColumns({"model_tool_breakdown_json": pairs, "model_stats_json": stats})
+    return rounded(read_back, cost=4).withColumns({
+        "model_tool_breakdown_json": F.expr(_nested("model_tool_breakdown_json", PAIR_TEXT)),
+        "model_stats_json": F.expr(_nested("model_stats_json", STAT_TEXT)),
+    })
 
 
 def hit_ids(spark: SparkSession, sf: str) -> DataFrame:
@@ -276,14 +295,15 @@ def resume_commands(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sorted_providers(spark: SparkSession, sf: str) -> DataFrame:
-    """Providers in ascending and descending order; the NULL provider is last in both."""
+    """Providers in ascending and descending order, numbered as they come; the NULL provider is last in both."""
     r = adapter.event_rollups(spark, sf)
     parts = []
     for direction in ("asc", "desc"):
         f = Filters(sort_table="providers", sort_by="provider", sort_dir=direction)
-        order = f.order("providers", {"provider": "provider"}, "spend")
-        place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))
-        parts.append(overview.providers(r, f).select(F.lit(direction).alias("direction"), "provider", place.cast("bigint").alias("place")))
+        # Ids grow in the order of the frame, with gaps between its partitions.
+        found = overview.providers(r, f).select("provider", F.monotonically_increasing_id().alias("_id"))
+        place = F.row_number().over(Window.orderBy("_id")).cast("bigint").alias("place")
+        parts.append(found.select(F.lit(direction).alias("direction"), "provider", place))
     return parts[0].unionByName(parts[1])
 
 
