@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from sessionmill.operators import attribution, detect, lexicon, rollups
 from sessionmill.operators import pricing as P
+from sessionmill.plans import layout
 from sessionmill.plans.store import Rollups
 from sessionmill.schemas import ATTRIBUTED_HIT, HIT, LEXICON
 from sessionmill.sources import readers, registry
@@ -40,7 +41,7 @@ def refresh(
     prices = registry.Prices.of(readers.read_catalogue(spark, catalogue), P.alias_frame(spark, aliases))
     terms = lexicon.build(spark, dictionary, dictionary_mode) if collect_terms else None
     run = f"{out}/run={dt.datetime.now(dt.timezone.utc):%Y%m%dT%H%M%S%f}"
-    write_tables(spark, raw, prices, terms, lambda table: f"{run}/{table}", term_mode)
+    write_tables(spark, raw, prices, terms, lambda table: f"{run}/{table}", term_mode, run)
     publish(spark, out, run)
     return run
 
@@ -52,16 +53,21 @@ def write_tables(
     terms: DataFrame | list[tuple[str, str, str]] | None,
     place: Callable[[str], str],
     term_mode: str = "compat",
+    bucketed_run: str | None = None,
 ) -> Rollups:
     """Write all tables, each to the folder ``place`` gives for its name.
 
     ``terms`` None leaves the hit tables empty and reads no text; a frame is
     written first, and no more of it collected than one expression can hold.
-    Events are partitioned by harness, so a question about one reads only its files.
+    Events are partitioned by harness, so a question about one reads only its files. The rollups of a ``bucketed_run`` are
+    stored in buckets of their session key, whose number is noted in that folder.
     """
+    buckets = None
 
     def store(frame: DataFrame, table: str) -> DataFrame:
         path = place(table)
+        if buckets and table in layout.BUCKETED:
+            return layout.store(frame, path, buckets)
         parts = ["harness"] if table == "events" else []
         frame.write.mode("overwrite").partitionBy(*parts).parquet(path)
         return spark.read.parquet(path).select(*frame.columns)
@@ -78,6 +84,9 @@ def write_tables(
         for name, frame in registry.parse_all(raw).items()
     }
     events = store(registry.unified_events(parsed, prices), "events")
+    if bucketed_run:
+        buckets = layout.buckets_for(events)
+        layout.record(spark, bucketed_run, buckets)
     if terms is None:
         store(spark.createDataFrame([], HIT), "hits_raw")
         hits = store(spark.createDataFrame([], ATTRIBUTED_HIT), "hits")

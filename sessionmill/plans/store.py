@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sessionmill.operators import rollups
 from sessionmill.operators.attribution import attribute_hits
+from sessionmill.plans import layout
 from sessionmill.schemas import ATTRIBUTED_HIT, SESSION_KEY
 
 TABLES = ("events", "model_tools", "stats", "sessions", "hits")
@@ -78,4 +79,11 @@ class Rollups:
 
     @classmethod
     def load(cls, spark: SparkSession, run: str) -> Rollups:
-        return cls(**{table: spark.read.parquet(f"{run}/{table}") for table in TABLES})
+        """The tables of a run, the rollups in the buckets they were stored in."""
+        buckets = layout.recorded(spark, run)
+
+        def table(name: str) -> DataFrame:
+            path = f"{run}/{name}"
+            return layout.load(spark, path, buckets) if buckets and name in layout.BUCKETED else spark.read.parquet(path)
+
+        return cls(**{name: table(name) for name in TABLES})

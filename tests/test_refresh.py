@@ -11,7 +11,7 @@ from fixture_logs import MS, write_home
 
 from sessionmill.operators import lexicon
 from sessionmill.operators import pricing as P
-from sessionmill.plans import overview, refresh, terms
+from sessionmill.plans import layout, overview, refresh, terms
 from sessionmill.plans.bundles import VIEWS, answer, bundle
 from sessionmill.plans.filters import Filters
 from sessionmill.plans.store import TABLES, Rollups
@@ -85,6 +85,41 @@ def test_views(spark, made):
         bundle("nothing", r)
 
 
+QUESTIONS = {
+    "sessions": lambda r: overview.session_list(r, Filters(provider="fireworks", model="gpt-x")),
+    "summary": lambda r: overview.summary(r, Filters(provider="fireworks", tool="bash")),
+    "models": lambda r: overview.models(r, Filters(project="proj")),
+    "tools": lambda r: overview.tools(r, Filters(project="proj")),
+}
+
+
+@pytest.mark.parametrize("name", QUESTIONS)
+def test_stored_questions_do_not_shuffle_sessions(spark, made, name):
+    """Rollups meet bucket by bucket; plain files of the same rows are shuffled by session and give the same answer."""
+    assert layout.recorded(spark, made[3]) == layout.FEWEST
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stored = QUESTIONS[name](Rollups.load(spark, made[3]))
+        plain = QUESTIONS[name](Rollups(**{t: spark.read.parquet(f"{made[3]}/{t}") for t in TABLES}))
+        plans = [q._jdf.queryExecution().executedPlan().toString() for q in (stored, plain)]
+        answers = [q.collect() for q in (stored, plain)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert answers[0] == answers[1]
+    by_session = [plan.count("Exchange hashpartitioning(harness") for plan in plans]
+    assert by_session[0] == 0 < by_session[1], plans[0]
+
+
+def test_bucket_count_grows_with_the_events(spark, made, monkeypatch):
+    events = spark.read.parquet(f"{made[3]}/events")
+    assert layout.buckets_for(events) == layout.FEWEST
+    monkeypatch.setattr(layout, "BUCKET_BYTES", 100)
+    many = layout.buckets_for(events)
+    assert many > layout.FEWEST and many & (many - 1) == 0
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("mill_")]
+
+
 def test_session_list_json(spark, made):
     r = Rollups.load(spark, made[3])
     rows = {s.harness: s for s in overview.session_list(r).collect()}
