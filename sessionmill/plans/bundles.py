@@ -6,7 +6,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, Row
 
-from sessionmill.plans import overview, terms
+from sessionmill.plans import overview, paging, terms
 from sessionmill.plans.filters import Filters
 from sessionmill.plans.store import Rollups
 
@@ -61,3 +61,21 @@ def answer(frames: dict[str, DataFrame], at_once: int = 4) -> dict[str, list[Row
     with ThreadPoolExecutor(at_once) as pool:
         collected = pool.map(DataFrame.collect, frames.values())
         return dict(zip(frames, collected))
+
+
+def answer_pages(
+    view: str, rollups: Rollups, filters: Filters = Filters(), size: int = 25, at_once: int = 4
+) -> dict[str, paging.Page]:
+    """The first page of each question of a view; ``paging.page`` gives the others.
+
+    Questions that are not paged have one row, or a number of rows that they limit themselves.
+    """
+
+    def first(name: str, frame: DataFrame) -> paging.Page:
+        if name in paging.PAGED:
+            return paging.page(name, rollups, filters, size)
+        return paging.Page(frame.collect(), None)
+
+    frames = bundle(view, rollups, filters)
+    with ThreadPoolExecutor(at_once) as pool:
+        return dict(zip(frames, pool.map(first, frames.keys(), frames.values())))

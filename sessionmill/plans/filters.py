@@ -13,6 +13,50 @@ from sessionmill.functions.values import MILLIS_PER_DAY
 from sessionmill.schemas import SESSION_KEY
 
 
+# Sums of doubles differ in their last digits with the order of addition; sorted by so many places, rows that
+# should be equal are, and their ties decide.
+DOUBLES = ("spend", "cost", "avg_cost_per_session", "duration_sec")
+PLACES = 9
+
+
+@dataclass(frozen=True)
+class Sort:
+    """How a table is sorted: columns to choose by name, the default one, and what decides among equals ('-': descending)."""
+
+    columns: Mapping[str, str]
+    default: str | None
+    ties: tuple[str, ...]
+
+
+# The columns each table may be sorted by.
+SORTS = {
+    "harnesses": Sort(
+        {"harness": "harness", "spend": "spend", "tokens": "tokens", "turns": "turns", "tools": "tools"}, "spend", ("harness",)
+    ),
+    "providers": Sort({"provider": "provider", "spend": "spend", "tokens": "tokens", "tools": "tools"}, "spend", ("provider",)),
+    "models": Sort(
+        {"model": "model", "provider": "provider", "spend": "spend", "avg_cost": "avg_cost_per_session", "tokens": "tokens",
+         "tools": "tools"},
+        "tokens", ("model", "provider"),
+    ),
+    "projects": Sort(
+        {"project": "project", "spend": "spend", "sessions": "sessions", "avg_duration": "avg_duration"}, "spend", ("project",)
+    ),
+    "tools": Sort({"tool": "tool", "count": "count", "errors": "errors"}, "count", ("tool",)),
+    "model_tools": Sort(
+        {"model": "model", "provider": "provider", "tool": "tool", "count": "count", "errors": "errors"},
+        "count", ("model", "provider", "tool"),
+    ),
+    "sessions": Sort(
+        {"when": "start_time", "project": "project", "spend": "cost", "tokens": "total_tokens", "duration": "duration_sec",
+         "turns": "agent_turns"},
+        "start_time", ("harness", "filename"),
+    ),
+    "timeline": Sort({}, None, ("date",)),
+    "profanity_model_harnesses": Sort({}, "count", ("-feel_score", "harness", "model", "provider")),
+}
+
+
 @dataclass(frozen=True)
 class Filters:
     """Optional restrictions; an empty value does not restrict.
@@ -75,16 +119,39 @@ class Filters:
         """Sessions that name the tool."""
         return sessions.where(F.map_contains_key("tool_breakdown", F.lit(self.tool))) if self.tool else sessions
 
-    def order(self, table: str, columns: Mapping[str, str], default: str) -> list[Column]:
-        """Sort keys for a table: the chosen column, then the default one descending.
+    def keys(self, table: str, sort: Sort | None = None) -> list[tuple[str, bool]]:
+        """(column, ascending) by which a table is sorted: the chosen column, the default one descending, then the ties.
 
-        NULLs go last in either direction.  Unknown tables and columns are ignored.
+        Unknown tables and columns choose nothing. No two rows of a table agree in all keys.
         """
-        keys = []
-        if self.sort_table == table and self.sort_by in columns:
-            chosen = F.col(columns[self.sort_by])
-            keys.append(chosen.asc_nulls_last() if self.sort_dir == "asc" else chosen.desc_nulls_last())
-        return [*keys, F.col(default).desc_nulls_last()]
+        sort = sort or SORTS[table]
+        chosen = sort.columns.get(self.sort_by) if self.sort_table == table else None
+        keys = [(chosen, self.sort_dir == "asc")] if chosen else []
+        keys += [(sort.default, False)] if sort.default else []
+        keys += [(name.removeprefix("-"), not name.startswith("-")) for name in sort.ties]
+        return _first(keys)
+
+    def order(self, table: str, columns: Mapping[str, str], default: str) -> list[Column]:
+        """Sort columns of a table that has no ties of its own."""
+        return _sorted_by(self.keys(table, Sort(columns, default, ())))
+
+    def sort(self, table: str) -> list[Column]:
+        """Sort columns of a table; NULLs go last in either direction."""
+        return _sorted_by(self.keys(table))
+
+
+def _first(keys: list[tuple[str, bool]]) -> list[tuple[str, bool]]:
+    """A column named again decides nothing more."""
+    return [key for i, key in enumerate(keys) if key[0] not in [name for name, _ in keys[:i]]]
+
+
+def _sorted_by(keys: list[tuple[str, bool]]) -> list[Column]:
+    return [sort_key(name).asc_nulls_last() if up else sort_key(name).desc_nulls_last() for name, up in keys]
+
+
+def sort_key(name: str) -> Column:
+    """What a column is sorted by: doubles by ``PLACES`` places."""
+    return F.round(name, PLACES) if name in DOUBLES else F.col(name)
 
 
 def _days(text: str) -> int:

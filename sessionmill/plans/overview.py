@@ -7,6 +7,8 @@ README has the table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,28 +95,20 @@ def harnesses(r: Rollups, f: Filters = Filters()) -> DataFrame:
     groups = f.having(_usage(r, f), lambda: r.session_tools, "tool").groupBy("harness").agg(
         _spend(), _total(_tokens()).alias("tokens"), *[_total(n).alias(n) for n in ("turns", "tools", "errors")]
     )
-    order = f.order(
-        "harnesses",
-        {"harness": "harness", "spend": "spend", "tokens": "tokens", "turns": "turns", "tools": "tools"},
-        "spend",
-    )
     return groups.select(
         "harness", "spend", F.expr(D.money("spend")).alias("spend_display"),
         "tokens", F.expr(D.human_count("tokens")).alias("tokens_display"), "turns", "tools", "errors",
-    ).orderBy(*order, "harness")
+    ).orderBy(*f.sort("harnesses"))
 
 
 def providers(r: Rollups, f: Filters = Filters()) -> DataFrame:
     groups = f.having(_usage(r, f), lambda: r.session_tools, "tool").groupBy("provider").agg(
         _spend(), _total(_tokens()).alias("tokens"), *[_total(n).alias(n) for n in ("tools", "errors")]
     )
-    order = f.order(
-        "providers", {"provider": "provider", "spend": "spend", "tokens": "tokens", "tools": "tools"}, "spend"
-    )
     return groups.select(
         "provider", "spend", F.expr(D.money("spend")).alias("spend_display"),
         "tokens", F.expr(D.human_count("tokens")).alias("tokens_display"), "tools", "errors",
-    ).orderBy(*order, c("provider").asc_nulls_last())
+    ).orderBy(*f.sort("providers"))
 
 
 def models(r: Rollups, f: Filters = Filters()) -> DataFrame:
@@ -140,12 +134,6 @@ def models(r: Rollups, f: Filters = Filters()) -> DataFrame:
         _total("errors").alias("errors"),
     )
     mean = F.when(c("sessions") == 0, 0.0).otherwise(c("spend") / F.nullif(c("sessions"), F.lit(0)))
-    order = f.order(
-        "models",
-        {"model": "model", "provider": "provider", "spend": "spend", "avg_cost": "avg_cost_per_session",
-         "tokens": "tokens", "tools": "tools"},
-        "tokens",
-    )
     return groups.withColumn("avg_cost_per_session", mean).select(
         "model", F.coalesce("provider", F.lit("unknown")).alias("provider"),
         "spend", F.expr(D.money("spend")).alias("spend_display"), "sessions",
@@ -153,22 +141,17 @@ def models(r: Rollups, f: Filters = Filters()) -> DataFrame:
         "tokens", F.expr(D.human_count("tokens")).alias("tokens_display"),
         "unpriced_tokens", F.expr(D.human_count("unpriced_tokens")).alias("unpriced_tokens_display"), "unpriced_sessions",
         "tools", "errors",
-    ).orderBy(*order, "model", "provider")
+    ).orderBy(*f.sort("models"))
 
 
 def projects(r: Rollups, f: Filters = Filters()) -> DataFrame:
     groups = _sessions_by_content(r, f).groupBy("project").agg(
         _spend(), F.count(F.lit(1)).alias("sessions"), _mean_duration()
     )
-    order = f.order(
-        "projects",
-        {"project": "project", "spend": "spend", "sessions": "sessions", "avg_duration": "avg_duration"},
-        "spend",
-    )
     return groups.select(
         "project", "spend", F.expr(D.money("spend")).alias("spend_display"), "sessions",
         "avg_duration", F.expr(D.human_duration("avg_duration")).alias("avg_duration_display"),
-    ).orderBy(*order, c("project").asc_nulls_last())
+    ).orderBy(*f.sort("projects"))
 
 
 def _tool_groups(r: Rollups, f: Filters, *keys: str) -> DataFrame:
@@ -179,20 +162,14 @@ def _tool_groups(r: Rollups, f: Filters, *keys: str) -> DataFrame:
 
 
 def tools(r: Rollups, f: Filters = Filters()) -> DataFrame:
-    order = f.order("tools", {"tool": "tool", "count": "count", "errors": "errors"}, "count")
-    return _tool_groups(r, f, "tool").orderBy(*order, "tool")
+    return _tool_groups(r, f, "tool").orderBy(*f.sort("tools"))
 
 
 def model_tools(r: Rollups, f: Filters = Filters()) -> DataFrame:
     groups = _tool_groups(r, f, "model", "provider", "tool").where(c("model").isNotNull())
-    order = f.order(
-        "model_tools",
-        {"model": "model", "provider": "provider", "tool": "tool", "count": "count", "errors": "errors"},
-        "count",
-    )
     return groups.withColumn("provider", F.coalesce("provider", F.lit("unknown"))).select(
         "model", "provider", "tool", "count", "errors", "error_pct"
-    ).orderBy(*order, "model", "provider", "tool")
+    ).orderBy(*f.sort("model_tools"))
 
 
 def _session_rows(sessions: DataFrame, r: Rollups, f: Filters) -> DataFrame:
@@ -207,18 +184,21 @@ def session_count(r: Rollups, f: Filters = Filters()) -> DataFrame:
 
 def session_list(r: Rollups, f: Filters = Filters(), rows: int = SESSION_ROWS, zone: str = "UTC") -> DataFrame:
     """The first sessions in the chosen order, latest first by default."""
-    order = f.order(
-        "sessions",
-        {"when": "start_time", "project": "project", "spend": "cost", "tokens": "total_tokens",
-         "duration": "duration_sec", "turns": "agent_turns"},
-        "start_time",
-    )
+    return listed_sessions(r, f, rows, zone).drop("_key")
+
+
+def listed_sessions(
+    r: Rollups, f: Filters, rows: int, zone: str = "UTC", part: Callable[[DataFrame], DataFrame] = lambda facts: facts
+) -> DataFrame:
+    """The first sessions of a ``part`` of all, with the values they are sorted by as ``_key``."""
+    order = f.sort("sessions")
     # The order is decided on few columns; lists and texts are made for the rows kept.
     facts = _session_rows(r.session_facts, r, f).withColumn("total_tokens", _tokens())
-    first = facts.orderBy(*order, "harness", "filename").limit(rows)
+    first = part(facts).orderBy(*order).limit(rows)
     seconds = F.floor(c("end_time") / 1000) - F.floor(c("start_time") / 1000)
     kept = r.sessions_of(first).withColumns({"total_tokens": _tokens(), "duration_sec_calc": seconds})
-    return kept.orderBy(*order, "harness", "filename").limit(rows).select(
+    key = F.struct(*[name for name, _ in f.keys("sessions")]).alias("_key")
+    return kept.orderBy(*order).limit(rows).select(
         "harness", "filename",
         V.zone_text(c("start_time"), zone).alias("start_time_str"),
         V.zone_text(c("end_time"), zone).alias("end_time_str"),
@@ -237,4 +217,5 @@ def session_list(r: Rollups, f: Filters = Filters(), rows: int = SESSION_ROWS, z
         F.expr(D.percent("tool_error_count", "tool_count")).alias("tool_error_pct"),
         resume.resume_command(c("harness"), c("filename"), c("cwd")).alias("resume_command"),
         resume.resume_label(c("harness")).alias("resume_label"),
+        key,
     )
