@@ -6,6 +6,9 @@ turns.  The expressions are mirrored, in SQL, in ``oracle.py``.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +49,22 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def stored(frame: DataFrame) -> DataFrame:
+    """The frame written below ``spark.checkpoint.dir`` and read back: later steps start from files, as in a refresh.
+
+    A local session that names no such folder writes to a temporary one.
+    """
+    spark = frame.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        root = tempfile.mkdtemp(prefix="sessionmill-")
+    path = f"{root.rstrip('/')}/workload-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
 def log_rows(spark: SparkSession, sf: str, dealt: bool = False) -> DataFrame:
     """``events`` with the values the adapters and the source-shaped logs are made of.
 

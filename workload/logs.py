@@ -18,6 +18,10 @@ ALIASES = (("m5", "base-5"), ("m3", "base-3"))
 PROVIDERS = ("groq", "azure", "zeta", "openai", "acme", "google-vertex", "mistral", "beta")
 
 
+# Terms that the messages of these logs hold: (word, severity, group).
+TERMS = [("n", "mild", "letter"), ("7", "strong", "digit"), ("12", "moderate", "dozen"), ("text", "mild", "word"), ("null", "strong", "word")]
+
+
 def _array(names: tuple[str, ...]) -> str:
     return f"array({', '.join(repr(n) for n in names)})"
 

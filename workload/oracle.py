@@ -8,7 +8,7 @@ joins, errors use the literal OR join, normalised events are derived from
 from __future__ import annotations
 
 from workload.adapter import FILLERS, LEXICON, PHRASES
-from workload.logs import ALIASES, LISTED, PROVIDERS
+from workload.logs import ALIASES, LISTED, PROVIDERS, TERMS
 from workload.queries import FILTERS
 
 from sessionmill.operators.lexicon import built_in_rows
@@ -726,12 +726,16 @@ def _json_counts(value: str) -> str:
     return f"'{{' || string_agg('\"' || tool || '\":' || {value}, ',' ORDER BY tool) || '}}'"
 
 
-def _nested() -> str:
-    """The nested columns of a session as text, one table each."""
+def _nested(displayed: bool = True) -> str:
+    """The nested columns of a session as text, one table each; with or without the texts made of costs."""
+    share = _percent("errors", "tools")
+    shown = (
+        f"{_money('cost')}, {_breakdown('in_tok', 'out_tok', 'cache_tok')}, {share}, "
+        f"{_ratio('cost', 'turns', 4, '0.0000', '$')}, {_ratio('cost', 'tools', 4, '0.0000', '$')}"
+    )
     stats = (
         "concat_ws('|', model, coalesce(provider, '-'), turns, in_tok, out_tok, cache_tok, tools, errors, "
-        f"{_money('cost')}, {_breakdown('in_tok', 'out_tok', 'cache_tok')}, {_percent('errors', 'tools')}, "
-        f"{_ratio('cost', 'turns', 4, '0.0000', '$')}, {_ratio('cost', 'tools', 4, '0.0000', '$')})"
+        f"{shown if displayed else share})"
     )
     pairs = f"concat_ws('|', model, tool, count, errors, {_percent('errors', 'count')})"
     return f"""
@@ -739,14 +743,14 @@ pair AS (SELECT harness, filename, string_agg(t, ';' ORDER BY t) AS text FROM (S
 stat AS (SELECT harness, filename, string_agg(t, ';' ORDER BY t) AS text FROM (SELECT harness, filename, {stats} AS t FROM st) GROUP BY ALL)"""
 
 
-def sessions(logs: str | None = None) -> str:
+def sessions(logs: str = LOGS, displayed: bool = True, places: int = 4) -> str:
     return f"""
-WITH {logs or LOGS},
+WITH {logs},
 per_tool AS (SELECT harness, filename, tool, count(*) AS n, sum(is_error) AS bad FROM ev WHERE tool IS NOT NULL GROUP BY ALL),
 maps AS (SELECT harness, filename, {_json_counts('n')} AS good, {_json_counts('bad')} AS bad FROM per_tool GROUP BY ALL),
-{_nested()}
+{_nested(displayed)}
 SELECT s.harness, s.filename, start_time, end_time, CAST(duration_sec AS DOUBLE) AS duration_sec, project, cwd,
-  array_to_string(models, ',') AS models, round(cost, 4) AS cost, in_tok, out_tok, cache_tok, user_turns, agent_turns, errors, tool_count,
+  array_to_string(models, ',') AS models, round(cost, {places}) AS cost, in_tok, out_tok, cache_tok, user_turns, agent_turns, errors, tool_count,
   tool_error_count, coalesce(maps.good, '{{}}') AS tool_breakdown, coalesce(maps.bad, '{{}}') AS tool_error_breakdown,
   coalesce(pair.text, '') AS model_tool_breakdown, coalesce(stat.text, '') AS model_stats
 FROM se s LEFT JOIN maps USING (harness, filename) LEFT JOIN pair USING (harness, filename) LEFT JOIN stat USING (harness, filename)"""
@@ -976,3 +980,20 @@ ORACLE["unified_events"] = " UNION ALL BY NAME ".join(
     f"(SELECT * FROM ({ORACLE[f'normalize_{name}']}))" for name in ("pi", "opencode", "claude", "codex", "gemini")
 )
 ORACLE["hit_ids"] = f"SELECT count(*) AS hits, count(*) AS ids FROM ({ORACLE['term_hits']})"
+
+SOURCES = ("pi", "opencode", "claude", "codex", "gemini")
+RAW_LOGS = f"ev AS MATERIALIZED ({ORACLE['unified_events']}),{ROLLUPS}"
+ORACLE["pipeline_sessions"] = sessions(RAW_LOGS, displayed=False, places=8)
+ORACLE["pipeline_hits"] = f"""
+WITH {RAW_LOGS},
+said AS MATERIALIZED (
+  SELECT *, row_number() OVER () AS message FROM ({" UNION ALL BY NAME ".join(f"(SELECT * FROM ({ORACLE[f'messages_{n}']}))" for n in SOURCES)})
+),
+{_found("found", "said", "message", [w for w, _, _ in TERMS])},
+{_lexicon(TERMS)},
+raw_hit AS (
+  SELECT s.harness, s.filename, s.project, s.ts, f.word, l.group_name, l.severity
+  FROM found f JOIN said s USING (message) JOIN lexicon l ON l.word = f.word
+)
+SELECT h.*, turn.model, turn.provider FROM raw_hit h
+ASOF LEFT JOIN turn ON h.harness = turn.harness AND h.filename = turn.filename AND h.ts <= turn.ts"""

@@ -256,6 +256,28 @@ def unified_events(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(registry.unified_events(registry.parse_all(raw), logs.prices(spark, sf)), cost=9)
 
 
+def _log_rollups(spark: SparkSession, sf: str) -> Rollups:
+    """From all five sources' raw logs to rollups and attributed hits, as a refresh makes them."""
+    raw = {s: getattr(logs, s)(spark, sf) for s in registry.SOURCES}
+    return Rollups(adapter.stored(unified_events(spark, sf)), registry.term_hits(raw, logs.TERMS))
+
+
+def log_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw logs to sessions. Costs are compared by eight places, which no sum here is halfway between."""
+    stats = "x.model, coalesce(x.provider, '-'), x.turns, x.in_tok, x.out_tok, x.cache_tok, x.tools, x.errors, x.error_pct"
+    return rounded(_log_rollups(spark, sf).sessions, cost=8).selectExpr(
+        "harness", "filename", "start_time", "end_time", "duration_sec", "project", "cwd", "array_join(models, ',') AS models",
+        "cost", "in_tok", "out_tok", "cache_tok", "user_turns", "agent_turns", "errors", "tool_count", "tool_error_count",
+        "to_json(tool_breakdown) AS tool_breakdown", "to_json(tool_error_breakdown) AS tool_error_breakdown",
+        f"{_nested('model_tool_breakdown', PAIR_TEXT)} AS model_tool_breakdown", f"{_nested('model_stats', stats)} AS model_stats",
+    )
+
+
+def log_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw logs to term hits with the turn that answers them."""
+    return _log_rollups(spark, sf).hits.drop("hit_id")
+
+
 def display_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Every display form, over the values of ``lineitem``."""
     price, quantity = "l_extendedprice", "bigint(l_quantity)"
@@ -344,6 +366,8 @@ QUERIES: dict[str, Query] = {
     "usage_cost": usage_cost,
     **{f"normalize_{s}": _normalized(s) for s in ("pi", "opencode", "claude", "codex", "gemini")},
     "unified_events": unified_events,
+    "pipeline_sessions": log_sessions,
+    "pipeline_hits": log_hits,
     **{f"messages_{s}": _messages(s) for s in ("pi", "opencode", "claude", "codex", "gemini")},
     "detect_terms": document_terms("compat"),
     "detect_terms_token": document_terms("token"),
