@@ -107,6 +107,10 @@ def message_facts(parsed: DataFrame) -> DataFrame:
     return file_facts(parsed).select("filename", "session_cwd")
 
 
+def located(rows: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Rows with the folder and project of their file; a file without meta and context rows has no facts, but a project."""
+    return join_file_facts(rows, message_facts(parsed)).withColumn("project", project())
+
+
 def messages(raw: DataFrame) -> DataFrame:
-    rows = join_file_facts(message_rows(raw), message_facts(parse(raw)))
-    return as_messages(rows.withColumn("project", project()), "codex")
+    return as_messages(located(message_rows(raw), parse(raw)), "codex")

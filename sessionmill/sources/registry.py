@@ -80,7 +80,7 @@ SOURCES = {
         ),
         Source(
             "codex", readers.read_codex, codex.parse, codex.normalize_parsed, codex.messages, codex.message_rows,
-            _by_file(lambda parsed: codex.message_facts(parsed).withColumn("project", codex.project())),
+            lambda parsed, rows: codex.located(rows, parsed),
         ),
         Source(
             "gemini", readers.read_gemini, gemini.parse, gemini.normalize_parsed, gemini.messages,
