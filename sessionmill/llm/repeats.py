@@ -6,9 +6,10 @@ texts' size, so suffixes are sorted one bucket at a time, and only those that ca
 
 1. Every string of ``LENGTH`` bytes is known by its anchor: of its windows of ``GRAM`` bytes the one with the smallest hash, the
    first of equals. Equal strings have equal anchors at equal places. Anchors (one in about 35 bytes) go to buckets
-   by hash; those found once are dropped.
+   by a second hash, since the smallest of many hashes are far from evenly spread; those found once are dropped.
 2. Texts with other anchors send each anchor's surroundings, the bytes of the strings known by it, to the anchor's
-   bucket. Equal surroundings are one from then on. A bucket holds suffixes that begin at most ``REACH`` before an anchor.
+   bucket. Equal surroundings are one, first among the ``FLUSH_ROWS`` anchors of a task that are sent together, where all
+   but the earliest become spans at once, then in the bucket. A bucket holds suffixes that begin at most ``REACH`` before an anchor.
 3. A bucket's suffixes are sorted in blocks. Suffixes are compared on 16 bytes; longer ties are resolved by the
    precomputed ranks of a difference-cover sample (residues ``COVER`` modulo ``PERIOD``), which exist for a fifth of the
    places only. Neighbours in this order that agree on ``LENGTH`` bytes are the same string; all but the earliest start go.
@@ -17,7 +18,9 @@ texts' size, so suffixes are sorted one bucket at a time, and only those that ca
 Texts that are equal in whole are one class first: all but the earliest go in whole if they have ``LENGTH`` bytes.
 
 Scale: texts are shuffled twice, to meet their anchors and to meet their spans; all else moves as packed blocks.
-A block is bounded by ``BLOCK_ROWS`` unless one anchor has more different surroundings.
+There is a bucket for every ``BUCKET_BYTES`` of text, so a bucket does not grow with the input. A passage that many texts
+share reaches its bucket once from every ``FLUSH_ROWS`` anchors. A block is bounded by ``BLOCK_ROWS`` unless one anchor has more
+different surroundings.
 
 Defined results: null and empty texts have 0 bytes and no spans; a null id comes after all others; rows with one id are
 ordered by a hash of their text, and rows equal in id and text are one document, each with its result; other columns are
@@ -27,6 +30,7 @@ not read. A cut inside a code point leaves its other bytes as they are; the dige
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionmill.llm.frames import Steps, small_batches, texts
-from sessionmill.llm.text import U64, joined, mix, pack, pack_sorted, powers, rolling, run_hash, slices, unpack, unpack_sorted
+from sessionmill.llm.text import U64, joined, mix, pack, pack_sorted, powers, rolling, slices, unpack, unpack_sorted
 
 LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM  # an anchor begins at most so far after its string
@@ -43,6 +47,8 @@ WIDTH = REACH + LENGTH
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)  # every difference modulo 31 is one of two members of the cover
 STRIDE = 186  # WIDTH and zeros up to a multiple of PERIOD
 BLOCK_ROWS = 8192
+BUCKET_BYTES = 8 << 20
+_SPREAD = U64(0x6A09E667F3BCC909)
 CHUNK_BYTES, FLUSH_ROWS, SLICE_BYTES = 8 << 20, 1 << 14, 1 << 19
 
 EMITTED = (
@@ -94,7 +100,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     place = places[at]
     head = np.flatnonzero(np.diff(place, prepend=-1))
     tail = np.append(head[1:], len(place)) - 1
-    return h[place[head]], place[head], start[head], start[tail]
+    return mix(h[place[head]] + _SPREAD), place[head], start[head], start[tail]
 
 
 def emit(batches, buckets: int):
@@ -132,19 +138,20 @@ def _chunk(chunk: int, batches: list[pa.RecordBatch], buckets: int):
     h = h[order]
     doc, place = doc[order].astype(np.uint32), place[order].astype(np.uint32)
     before, after = before[order].astype(np.uint8), after[order].astype(np.uint8)
-    at = bounds(h, buckets)
-    for bucket, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)):
-        if j > i:
-            row = dict.fromkeys(_EMITTED.names) | {
-                "bucket": bucket, "chunk": chunk, "hashes": pack_sorted(h[i:j]), "owners": pack(doc[i:j]),
-                "places": pack(place[i:j]), "before": pack(before[i:j]), "after": pack(after[i:j]),
-            }
-            yield pa.RecordBatch.from_pylist([row], _EMITTED)
+    for bucket, i, j in dealt(h, buckets):
+        row = dict.fromkeys(_EMITTED.names) | {
+            "bucket": bucket, "chunk": chunk, "hashes": pack_sorted(h[i:j]), "owners": pack(doc[i:j]),
+            "places": pack(place[i:j]), "before": pack(before[i:j]), "after": pack(after[i:j]),
+        }
+        yield pa.RecordBatch.from_pylist([row], _EMITTED)
 
 
-def bounds(sorted_hashes: np.ndarray, buckets: int) -> list[int]:
-    edges = np.array([(i << 64) // buckets for i in range(1, buckets)], dtype=U64)
-    return [0, *np.searchsorted(sorted_hashes, edges).tolist(), len(sorted_hashes)]
+def dealt(sorted_hashes: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """Buckets that have hashes, with the first and last (exclusive) of them."""
+    width = U64((1 << 64) // buckets + 1)
+    of = (sorted_hashes // width).astype(np.int64)
+    at = _grouped(of)
+    return list(zip(of[at[:-1]].tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True))
 
 
 def _grouped(sorted_keys: np.ndarray) -> np.ndarray:
@@ -172,50 +179,121 @@ def repeated(table: pa.Table) -> pa.Table:
     })
 
 
+@dataclass
+class Anchors:
+    """Anchors with the bytes around them: their hash, document (id, id is null, hash of the text), place in it and strings."""
+
+    h: np.ndarray
+    around: np.ndarray
+    ids: np.ndarray
+    absent: np.ndarray
+    tied: np.ndarray
+    place: np.ndarray
+    before: np.ndarray
+    after: np.ndarray
+
+    @staticmethod
+    def of(parts: list[Anchors]) -> Anchors:
+        return Anchors(*(np.concatenate([getattr(p, f.name) for p in parts]) for f in fields(Anchors)))
+
+    def take(self, at: np.ndarray) -> Anchors:
+        return Anchors(*(getattr(self, f.name)[at] for f in fields(Anchors)))
+
+    def order_of_starts(self) -> np.ndarray:
+        """Rank of each anchor's place among all; equal for one document handed over twice."""
+        order = np.lexsort((self.place, self.tied, self.ids, self.absent))
+        new = np.zeros(len(order), np.int64)
+        new[1:] = np.any([x[order][1:] != x[order][:-1] for x in (self.absent, self.ids, self.tied, self.place)], axis=0)
+        prior = np.empty(len(order), np.int64)
+        prior[order] = np.cumsum(new)
+        return prior
+
+    def merge(self, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Equal surroundings are one: the rows that stay, by anchor, and those that go with all their strings as one of the
+        former stands earlier. A row equal in place too is left out of both."""
+        n = len(self.h)
+        whole = np.zeros(n, dtype=U64)
+        for column, factor in zip(np.ascontiguousarray(self.around).view(U64).T, powers(0x9E3779B97F4A7C15, WIDTH // 8), strict=True):
+            whole += mix(column + factor)
+        order = np.lexsort((prior, self.after, self.before, whole, self.h))
+        a, b = order[1:], order[:-1]
+        equal = np.zeros(n, dtype=bool)
+        equal[1:] = (whole[a] == whole[b]) & np.all([x[a] == x[b] for x in (self.h, self.before, self.after)], axis=0)
+        check = np.flatnonzero(equal)
+        for i in range(0, len(check), FLUSH_ROWS):
+            at = check[i : i + FLUSH_ROWS]
+            equal[at] = (self.around[order[at]] == self.around[order[at - 1]]).all(axis=1)
+        leader = order[np.maximum.accumulate(np.where(equal, 0, np.arange(n)))] if n else order
+        return order[~equal], order[equal & (prior[order] > prior[leader])]
+
+
 def surroundings(batches, buckets: int):
-    """For each bucket, blocks of anchors with the bytes around them and where they stand."""
-    held, rows = [], 0
+    """For each bucket, blocks of anchors with the bytes around them and where they stand; and spans found on the way."""
+    part, nth, held, rows = TaskContext.get().partitionId(), 0, [], 0
     for batch in slices(batches, limit=SLICE_BYTES):
-        data, offsets = joined(batch.column("text"))
-        lists = [batch.column(c).combine_chunks() if isinstance(batch.column(c), pa.ChunkedArray) else batch.column(c) for c in ("place", "before", "after")]
-        n = np.diff(lists[0].offsets.to_numpy())
-        place, before, after = (x.flatten().to_numpy().astype(np.int64) for x in lists)
-        doc = np.repeat(np.arange(batch.num_rows), n)
+        for found in _around(batch):
+            held.append(found)
+            rows += len(found.h)
+            if rows >= FLUSH_ROWS:
+                yield from _flush(Anchors.of(held), buckets, part * 31 + nth)
+                nth, held, rows = nth + 1, [], 0
+    if rows:
+        yield from _flush(Anchors.of(held), buckets, part * 31 + nth)
+
+
+def _around(batch: pa.RecordBatch):
+    """The anchors of a batch, at most ``FLUSH_ROWS`` at a time."""
+    data, offsets = joined(batch.column("text"))
+    lists = [batch.column(c) for c in ("place", "before", "after")]
+    count = np.diff(lists[0].offsets.to_numpy())
+    ends = np.cumsum(count)
+    lists = [x.flatten().to_numpy() for x in lists]
+    padded = np.concatenate([np.zeros(WIDTH, np.uint8), data, np.zeros(WIDTH, np.uint8)])
+    windows = np.lib.stride_tricks.sliding_window_view(padded, WIDTH)
+    column = np.arange(WIDTH, dtype=np.int16)
+    ids = batch.column("doc_id")
+    absent, ids = np.asarray(ids.is_null()).astype(np.uint8), ids.fill_null(0).to_numpy()
+    tied = batch.column("text_hash").to_numpy()
+    for i in range(0, len(lists[0]), FLUSH_ROWS):
+        place, before, after = (x[i : i + FLUSH_ROWS].astype(np.int64) for x in lists)
+        doc = np.searchsorted(ends, np.arange(i, i + len(place)), side="right")
         at = offsets[doc] + place
-        h = run_hash(data, at, at + GRAM)
-        padded = np.concatenate([np.zeros(WIDTH, np.uint8), data, np.zeros(WIDTH, np.uint8)])
-        column = np.arange(WIDTH, dtype=np.int16)
-        around = np.lib.stride_tricks.sliding_window_view(padded, WIDTH)[at + WIDTH - REACH]
+        around = windows[at + WIDTH - REACH]
+        gram = np.ascontiguousarray(around[:, REACH : REACH + GRAM]).view(U64)
+        h = np.zeros(len(at), dtype=U64)
+        for word, factor in zip(gram.T, powers(0x9E3779B97F4A7C15, GRAM // 8), strict=True):
+            h = mix(h + word * factor)
         # Only the strings known by the anchor: first begins REACH - before, last ends at REACH - after + LENGTH.
         around[(column < (REACH - before)[:, None]) | (column >= (REACH - after + LENGTH)[:, None])] = 0
-        ids = batch.column("doc_id")
-        held.append((
-            h, around, ids.fill_null(0).to_numpy()[doc], np.asarray(ids.is_null())[doc].astype(np.uint8), batch.column("text_hash").to_numpy()[doc],
-            place.astype(np.uint32), before.astype(np.uint8), after.astype(np.uint8),
-        ))
-        rows += len(h)
-        if rows >= FLUSH_ROWS:
-            yield from _flush(held, buckets)
-            held, rows = [], 0
-    if rows:
-        yield from _flush(held, buckets)
+        yield Anchors(
+            h, around, ids[doc], absent[doc], tied[doc], place.astype(np.uint32), before.astype(np.uint8), after.astype(np.uint8)
+        )
 
 
 _ZSTD = pa.Codec("zstd", compression_level=3)
 
 
-def _flush(held: list, buckets: int):
-    h, around, ids, absent, tied, place, before, after = (np.concatenate(x) for x in zip(*held, strict=True))
-    order = np.argsort(h, kind="stable")
-    h = h[order]
-    at = bounds(h, buckets)
-    for bucket, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)):
-        if j > i:
-            o = order[i:j]
-            blobs = [pack_sorted(h[i:j]), _ZSTD.compress(around[o].tobytes(), asbytes=True)] + [
-                pack(x[o]) for x in (ids, absent, tied, place, before, after)
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([blobs], pa.list_(pa.binary()))], ["bucket", "blobs"])
+def _flush(found: Anchors, buckets: int, any_bucket: int):
+    """Blocks by bucket, eight blobs each; spans as one block of five blobs, which may go to any bucket."""
+    kept, gone = found.merge(found.order_of_starts())
+    if len(gone):
+        begin, end = _strings(found, gone, REACH - found.before[gone].astype(np.int64), REACH - found.after[gone].astype(np.int64))
+        blobs = [pack(x) for x in (found.ids[gone], found.absent[gone], found.tied[gone], begin.astype(np.int32), end.astype(np.int32))]
+        yield _block(any_bucket % buckets, blobs)
+    found = found.take(kept)  # sorted by hash
+    for bucket, i, j in dealt(found.h, buckets):
+        blobs = [pack_sorted(found.h[i:j]), _ZSTD.compress(found.around[i:j].tobytes(), asbytes=True)]
+        yield _block(bucket, blobs + [pack(getattr(found, f.name)[i:j]) for f in fields(Anchors)[2:]])
+
+
+def _block(bucket: int, blobs: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([blobs], pa.list_(pa.binary()))], ["bucket", "blobs"])
+
+
+def _strings(found: Anchors, rows: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end in the document of the strings at offsets ``first`` to ``last`` around anchors."""
+    place = found.place[rows].astype(np.int64)
+    return place - REACH + first, place - REACH + last + LENGTH
 
 
 def cover_ranks(around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -277,39 +355,32 @@ def sort_block(around: np.ndarray, valid: np.ndarray, prior: np.ndarray) -> np.n
     return out
 
 
-def resolve(table: pa.Table) -> pa.Table:
-    """One bucket of surroundings: spans that stand earlier too, by document."""
-    parts = []
+def _opened(table: pa.Table) -> tuple[Anchors, list[list[np.ndarray]]]:
+    """All anchors of a bucket, and blocks of spans that came along. The bytes are unpacked into their place one by one."""
+    blocks, spans_ = [], []
     for blobs in table.column("blobs"):
         blobs = [x.as_py() for x in blobs]
-        h = unpack_sorted(blobs[0])
-        around = np.frombuffer(_ZSTD.decompress(blobs[1], len(h) * WIDTH, asbytes=True), np.uint8).reshape(-1, WIDTH)
-        parts.append((h, around, *(unpack(b) for b in blobs[2:])))
-    h, around, ids, absent, tied, place, before, after = (np.concatenate(x) for x in zip(*parts, strict=True))
-    del parts
-    place, before, after = place.astype(np.int64), before.astype(np.int64), after.astype(np.int64)
-    # The order of starts; equal for one document handed over twice.
-    order = np.lexsort((place, tied, ids, absent))
-    new = np.zeros(len(h), np.int64)
-    new[1:] = np.any([x[order][1:] != x[order][:-1] for x in (absent, ids, tied, place)], axis=0)
-    prior = np.empty(len(h), np.int64)
-    prior[order] = np.cumsum(new)
-    # Equal surroundings are one: the earliest stands for all, the others go with all their strings.
-    whole = np.zeros(len(h), dtype=U64)
-    for column, factor in zip(np.ascontiguousarray(around).view(U64).T, powers(0x9E3779B97F4A7C15, WIDTH // 8), strict=True):
-        whole += mix(column + factor)
-    order = np.lexsort((prior, after, before, whole, h))
-    equal = np.zeros(len(h), dtype=bool)
-    a, b = order[1:], order[:-1]
-    equal[1:] = (whole[a] == whole[b]) & (h[a] == h[b]) & (before[a] == before[b]) & (after[a] == after[b])
-    check = np.flatnonzero(equal)
-    for i in range(0, len(check), 1 << 16):
-        at = check[i : i + (1 << 16)]
-        equal[at] = (around[order[at]] == around[order[at - 1]]).all(axis=1)
-    leader = order[np.maximum.accumulate(np.where(equal, 0, np.arange(len(h))))]
-    follows = equal & (prior[order] > prior[leader])
-    gone, first, last = [order[follows]], [(REACH - before[order[follows]])], [(REACH - after[order[follows]])]
-    rows = order[~equal]  # still by anchor
+        if len(blobs) == 5:
+            spans_.append([unpack(b) for b in blobs])
+        else:
+            blocks.append((unpack_sorted(blobs[0]), blobs[1], *(unpack(b) for b in blobs[2:])))
+    around, at = np.empty((sum(len(b[0]) for b in blocks), WIDTH), np.uint8), 0
+    for block in blocks:
+        n = len(block[0])
+        around[at : at + n] = np.frombuffer(_ZSTD.decompress(block[1], n * WIDTH, asbytes=True), np.uint8).reshape(-1, WIDTH)
+        at += n
+    kinds = (U64, None, np.int64, np.uint8, np.int64, np.uint32, np.uint8, np.uint8)
+    columns = [np.concatenate([np.zeros(0, k), *(b[c] for b in blocks)]) if k else around for c, k in enumerate(kinds)]
+    return Anchors(*columns), spans_
+
+
+def resolve(table: pa.Table) -> pa.Table:
+    """One bucket of surroundings: spans that stand earlier too, by document."""
+    found, ready = _opened(table)
+    h, around, prior = found.h, found.around, found.order_of_starts()
+    before, after = found.before.astype(np.int64), found.after.astype(np.int64)
+    rows, follows = found.merge(prior)
+    gone, first, last = [follows], [REACH - before[follows]], [REACH - after[follows]]
     at = _grouped(h[rows])
     sizes = np.diff(at)
 
@@ -348,15 +419,16 @@ def resolve(table: pa.Table) -> pa.Table:
         note(block, sort_block(around[block], own(block), prior[block]))
         i = j
     gone, first, last = np.concatenate(gone), np.concatenate(first), np.concatenate(last)
-    begin, end = place[gone] - REACH + first, place[gone] - REACH + last + LENGTH
-    order = np.lexsort((begin, tied[gone], ids[gone], absent[gone]))
-    gone, begin, end = gone[order], begin[order], end[order]
-    new = np.ones(len(gone), dtype=bool)
-    new[1:] = np.any([x[gone][1:] != x[gone][:-1] for x in (absent, ids, tied)], axis=0)
+    ready.append([found.ids[gone], found.absent[gone], found.tied[gone], *_strings(found, gone, first, last)])
+    ids, absent, tied, begin, end = (np.concatenate(x) for x in zip(*ready, strict=True))
+    order = np.lexsort((begin, tied, ids, absent))
+    ids, absent, tied, begin, end = (x[order] for x in (ids, absent, tied, begin, end))
+    new = np.ones(len(ids), dtype=bool)
+    new[1:] = np.any([x[1:] != x[:-1] for x in (absent, ids, tied)], axis=0)
     heads = np.flatnonzero(new)
-    lists = np.append(heads, len(gone))
+    lists = np.append(heads, len(ids))
     return pa.table({
-        "doc_id": pa.array(ids[gone[heads]], pa.int64(), mask=absent[gone[heads]] > 0), "text_hash": pa.array(tied[gone[heads]], pa.int64()),
+        "doc_id": pa.array(ids[heads], pa.int64(), mask=absent[heads] > 0), "text_hash": pa.array(tied[heads], pa.int64()),
         "begin": _list(begin.astype(np.int32), lists, pa.int32()), "end": _list(end.astype(np.int32), lists, pa.int32()),
     })
 
@@ -386,15 +458,16 @@ def spans(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     steps = Steps(spark)
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = texts(docs).withColumn("text_hash", F.xxhash64("text"))
-    emitted = steps.keep(source.mapInArrow(lambda b: emit(b, buckets), EMITTED), "emitted")
     # Texts equal in whole, but for the earliest.
     key = F.struct(F.col("doc_id").isNull().alias("absent"), F.col("doc_id"), F.col("text_hash"))
     rows = source.select(
         "doc_id", "text_hash", F.octet_length("text").alias("n"), F.sha2(F.col("text").cast("binary"), 256).alias("whole"), key.alias("key")
     ).where(F.col("n") >= LENGTH)
     rows = steps.keep(rows, "rows")
+    size = rows.agg(F.sum("n")).first()[0] or 0
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    emitted = steps.keep(source.mapInArrow(lambda b: emit(b, buckets), EMITTED), "emitted")
     earliest = rows.groupBy("whole", "n").agg(F.min("key").alias("least"), F.count("*").alias("copies")).where("copies > 1")
     copies = steps.keep(
         rows.join(earliest, ["whole", "n"]).where("key <> least").select("doc_id", "text_hash", "n").distinct(), "copies"
