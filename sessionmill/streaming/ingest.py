@@ -3,7 +3,7 @@
 All rollups are per session and a session is one file (one id for the relational source), so a batch can be rolled up on
 its own.  Each batch is written under a version of its own: the time it was first begun, the writer and the batch's
 number.  Versions sort by that time, so whatever was read last wins, and no two writers share one.  A row per session is added
-to an index last; readers take the newest version of each session.  A batch that is run again after a failure finds its
+to an index last; readers take the newest version of each session, and `compact` merges what batches wrote.  A batch that is run again after a failure finds its
 version on record and rewrites exactly that.
 """
 
@@ -18,12 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sessionmill.operators.skew import join_facts
 from sessionmill.plans.refresh import write_tables
 from sessionmill.plans.store import TABLES, Rollups
 from sessionmill.schemas import SESSION_KEY
 from sessionmill.sources import claude, codex, gemini, pi, readers
 from sessionmill.sources.registry import Prices
+from sessionmill.streaming import compact
+from sessionmill.streaming.compact import INDEX
 
 # source: (path under home, schema, reader options)
 _RECURSIVE = {"recursiveFileLookup": "true", "pathGlobFilter": "*.jsonl"}
@@ -33,7 +34,7 @@ LANDINGS = {
     "codex": (codex.FOLDER, codex.RAW, _RECURSIVE),
     "gemini": (gemini.GLOB, gemini.RAW, {"multiLine": "true"}),
 }
-INDEX, BATCHES = "index", "batches"
+BATCHES = "batches"
 
 
 def store_batch(
@@ -157,15 +158,13 @@ def load(spark: SparkSession, out: str) -> Rollups:
     """All tables with the newest version of every session.
 
     Source and version are partition columns, so any number of batches is one
-    scan, and the plan does not grow with them.
+    scan, and the plan does not grow with them.  Of what was compacted, the last
+    generation is read.
     """
-    version = F.col("version").cast("string")
-    index = spark.read.parquet(f"{out}/{INDEX}").groupBy(*SESSION_KEY, "source")
-    newest = index.agg(F.max(version).alias("version"))
+    generation = compact.last_generation(spark, out)
+    holds = compact.newest(compact.stored(spark, out, INDEX, generation))
 
     def table(name: str) -> DataFrame:
-        rows = spark.read.parquet(f"{out}/{name}").withColumn("version", version)
-        kept = join_facts(rows, newest.withColumn("_kept", F.lit(1)), [*SESSION_KEY, "source", "version"], "inner")
-        return kept.select(*[c for c in rows.columns if c not in ("source", "version")])
+        return compact.current(compact.stored(spark, out, name, generation), holds).drop(*compact.BATCH)
 
     return Rollups(**{name: table(name) for name in TABLES})

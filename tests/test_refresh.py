@@ -16,7 +16,7 @@ from sessionmill.plans.bundles import VIEWS, answer, bundle
 from sessionmill.plans.filters import Filters
 from sessionmill.plans.store import TABLES, Rollups
 from sessionmill.sources import readers, registry
-from sessionmill.streaming import ingest
+from sessionmill.streaming import compact, ingest
 
 
 @pytest.fixture(scope="module")
@@ -220,3 +220,49 @@ def test_streams_do_not_overwrite_each_other(spark, made, tmp_path):
     batch = Rollups.load(spark, made[3])
     assert r.events.where("harness = 'opencode'").count() == batch.events.where("harness = 'opencode'").count() > 0
     assert not ingest.store_changed(spark, "opencode", homes[0], out, dt.datetime.now(dt.timezone.utc), prices)
+
+
+def test_compaction_keeps_what_holds(spark, made, tmp_path):
+    home, out = str(tmp_path / "home"), str(tmp_path / "live")
+    shutil.copytree(made[0], home)
+    prices = _prices(spark, made[2])
+    long_ago, now = dt.datetime(2020, 1, 1, tzinfo=dt.timezone.utc), dt.timedelta(0)
+
+    def folders():
+        return len(glob.glob(f"{out}/*/source=*/version=*"))
+
+    def same(left, right):
+        for table in TABLES:
+            a, b = (sorted(repr(r.asDict()) for r in getattr(x, table).collect()) for x in (left, right))
+            assert a == b, table
+
+    for source in ("pi", "codex", "pi"):
+        assert ingest.store_changed(spark, source, home, out, long_ago, prices)
+    before = ingest.load(spark, out)
+    rows = before.events.count()
+    assert rows > 0 and compact.vacuum(spark, out, now) == 0
+    compact.compact(spark, out)
+    # A reader that began before the compaction, one after it, and one after old folders went.
+    assert before.events.count() == rows and compact.vacuum(spark, out, dt.timedelta(hours=1)) == 0
+    same(ingest.load(spark, out), before)
+    kept, many = {t: getattr(before, t).collect() for t in TABLES}, folders()
+    assert compact.vacuum(spark, out, now) > 0 and folders() == 0 < many
+    after = ingest.load(spark, out)
+    for table in TABLES:
+        assert sorted(map(repr, kept[table])) == sorted(repr(r) for r in getattr(after, table).select(*kept_columns(before, table)).collect())
+    # A newer batch wins over the generation, and is compacted with it.
+    path = glob.glob(f"{home}/.pi/agent/sessions/*/*.jsonl")[0]
+    with open(path, "a") as log:
+        log.write(json.dumps({"type": "message", "timestamp": "2025-03-04T10:00:09.500Z",
+                              "message": {"role": "toolResult", "toolName": "bash"}}) + "\n")
+    assert ingest.store_changed(spark, "pi", home, out, long_ago, prices)
+    grown = ingest.load(spark, out)
+    assert grown.events.count() == rows + 1
+    compact.compact(spark, out)
+    same(ingest.load(spark, out), grown)
+    compact.vacuum(spark, out, now)
+    assert ingest.load(spark, out).events.count() == rows + 1 and len(os.listdir(f"{out}/{compact.COMPACTED}")) == 1
+
+
+def kept_columns(rollups, table):
+    return getattr(rollups, table).columns
