@@ -127,11 +127,12 @@ def detect(
     source = messages.where(f"`{text}` is not null and `{text}` <> ''")
     found = _compat(source, text, words, keep) if mode == "compat" else _token(source, text, words, keep)
 
-    # The words that were found meet the dictionary as a frame.
+    # The words that were found meet the dictionary as a frame of at most PATTERN_WORDS rows. It is sent around: Spark does not know
+    # the size of rows from Python and would shuffle the hits by word, all of a frequent word to one task.
     entry = messages.sparkSession.createDataFrame(
         [(w, g, s) for w, s, g in lexicon], "word string, group_name string, severity string"
     )
-    joined = found.select(*keep, "hit.pass", "hit.start", "hit.word").join(entry, "word")
+    joined = found.select(*keep, "hit.pass", "hit.start", "hit.word").join(F.broadcast(entry), "word")
     return joined.select(*keep, "pass", "start", "word", "group_name", "severity")
 
 
@@ -162,9 +163,10 @@ def _token(source: DataFrame, text: str, words: Sequence[str], keep: list[str])
     tokens = F.split(lower_text(F.col(text)), f"(?:(?!{_WORD})(?s:.))+")
     exploded = source.select(*keep, F.posexplode(tokens).alias("start", "_token"))
     listed = source.sparkSession.createDataFrame([(w,) for w in words], "_word string")
-    plain = exploded.join(listed.withColumnRenamed("_word", "_token").withColumn("_plain", F.lit(1)), "_token", "left")
+    written = F.broadcast(listed.select(F.col("_word").alias("_token"), F.lit(1).alias("_plain")))
+    plain = exploded.join(written, "_token", "left")
     short = plain.withColumn("_word", F.when(F.col("_plain") == 1, F.col("_token")).otherwise(collapse(F.col("_token"))))
-    return short.join(listed, "_word", "left_semi").select(
+    return short.join(F.broadcast(listed), "_word", "left_semi").select(
         *keep,
         F.struct(
             F.when(F.col("_plain") == 1, 1).otherwise(2).alias("pass"), F.col("start").cast("bigint").alias("start"),

@@ -187,3 +187,16 @@ def test_a_hundred_thousand_entries(spark, shuffled, monkeypatch):
     near = [w for w, _, _ in words] + ["t99999 é", "t7 é"]
     assert got == sorted((i, *hit) for i, text in enumerate(texts) for hit in emulate(text, near)) and len(got) > 40
     assert len(found._jdf.queryExecution().toString()) < 200_000 and "t500 é" not in found._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("mode", ["compat", "token"])
+def test_hits_of_a_word_stay_where_they_are_found(spark, mode):
+    """A small dictionary is sent to the hits: a word that is in every text does not gather them in one task."""
+    texts = spark.range(0, 1000, 1, 8).selectExpr("id", "'the cat' AS text")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the texts were many
+    try:
+        found = detect.detect(texts, [("the", "mild", "article"), ("dog", "mild", "pet")], mode=mode)
+        assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+        assert found.count() == 1000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
