@@ -107,9 +107,10 @@ class Prices:
     overlaid: DataFrame
 
     @classmethod
-    def of(cls, documents: DataFrame, aliases: DataFrame) -> Prices:
-        listed = P.price_per_model(P.flatten_catalogue(documents))
-        return cls(listed, P.overlay_aliases(listed, aliases))
+    def of(cls, documents: DataFrame, aliases: DataFrame, stage: Stage = as_is) -> Prices:
+        """``stage`` may store both: stored, they are worked out once, and Spark knows whether they are small enough to send around."""
+        listed = stage(P.price_per_model(P.flatten_catalogue(documents)))
+        return cls(listed, stage(P.overlay_aliases(listed, aliases)))
 
 
 def parse_all(raw: Mapping[str, Raw]) -> dict[str, Raw]:

@@ -1,15 +1,17 @@
 """Source-shaped raw logs made from ``events``, and a price catalogue made from ``part``.
 
 Every row of ``events`` becomes one raw record per source, so the normalisers
-run over the whole table.
+run over the whole table.  A query of several sources deals the table once
+(``dealt_rows``) and hands the ``rows`` to each.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sessionmill.sources.contract import Stage, as_is
 from sessionmill.sources.registry import Prices
-from workload.adapter import log_rows, table
+from workload.adapter import log_rows, stored, table
 
 STAMP = "date_format(stamp, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'\")"
 # Model names of the catalogue; m3 is listed and an alias, m4 is not listed, m5 is an alias only.
@@ -39,12 +41,21 @@ def catalogue(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def prices(spark: SparkSession, sf: str) -> Prices:
+def prices(spark: SparkSession, sf: str, stage: Stage = as_is) -> Prices:
     aliases = spark.createDataFrame(list(ALIASES), "raw_model string, api_model string")
-    return Prices.of(catalogue(spark, sf), aliases)
+    return Prices.of(catalogue(spark, sf), aliases, stage)
 
 
-def pi(spark: SparkSession, sf: str) -> DataFrame:
+def dealt_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows all sources' logs are made of, stored: a filter on a log is not worked out before the rows are dealt."""
+    return stored(log_rows(spark, sf, dealt=True))
+
+
+def _rows(spark: SparkSession, sf: str, rows: DataFrame | None) -> DataFrame:
+    return log_rows(spark, sf, dealt=True) if rows is None else rows
+
+
+def pi(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
     role = "CASE WHEN event_type = 'signup' THEN 'user' WHEN event_type IN ('click', 'error') THEN 'toolResult' ELSE 'assistant' END"
     text = "if(k % 2 = 0, to_json(array(named_struct('type', 'text', 'text', concat('n ', k)))), NULL)"
     usage = (
@@ -59,7 +70,7 @@ def pi(spark: SparkSession, sf: str) -> DataFrame:
     )
     # A list as content is spliced in, since one JSON field cannot hold both shapes.
     spliced = f"if(event_type = 'signup' AND k % 2 = 0, replace({message}, '\"@LIST@\"', {text}), {message})"
-    return log_rows(spark, sf, dealt=True).selectExpr(
+    return _rows(spark, sf, rows).selectExpr(
         "concat('/logs/--w-', project, '--/', filename, '.jsonl') AS filename",
         "if(k % 11 = 0, 'session', 'message') AS type",
         f"if(k % 13 = 0, NULL, {spliced}) AS message",
@@ -68,8 +79,8 @@ def pi(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def opencode(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    rows = log_rows(spark, sf, dealt=True)
+def opencode(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> dict[str, DataFrame]:
+    rows = _rows(spark, sf, rows)
     assistant = (
         "to_json(named_struct('role', 'assistant', 'modelID', model, 'providerID', provider, "
         "'path', named_struct('cwd', if(k % 2 = 0, concat('/o/', project), NULL)), "
@@ -91,7 +102,7 @@ def opencode(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     return {"message": message, "session": session, "part": part}
 
 
-def claude(spark: SparkSession, sf: str) -> DataFrame:
+def claude(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
     usage = (
         "named_struct('input_tokens', k * 100, 'output_tokens', k * 10, 'cache_read_input_tokens', k * 50, "
         "'cache_creation_input_tokens', k * 5, 'cache_creation', "
@@ -118,7 +129,7 @@ def claude(spark: SparkSession, sf: str) -> DataFrame:
         f"if(k % 8 = 0, 'null', concat('\"[n ', k, ']\"')), {answers}), '}}')"
     )
     said = "event_type IN ('view', 'purchase')"
-    return log_rows(spark, sf, dealt=True).selectExpr(
+    return _rows(spark, sf, rows).selectExpr(
         "concat('/c/', project, '/', filename, '.jsonl') AS filename",
         f"if({said}, 'assistant', 'user') AS type",
         f"{STAMP} AS timestamp",
@@ -134,7 +145,7 @@ def claude(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def codex(spark: SparkSession, sf: str) -> DataFrame:
+def codex(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
     counts = "named_struct('input_tokens', k * 10, 'cached_input_tokens', 300, 'output_tokens', k)"
     payloads = {
         "signup": "named_struct('cwd', concat('/w/', project), 'model_provider', provider)",
@@ -146,7 +157,7 @@ def codex(spark: SparkSession, sf: str) -> DataFrame:
         "error": "named_struct('type', 'agent_message')",
     }
     payload = " ".join(f"WHEN '{kind}' THEN to_json({body})" for kind, body in payloads.items())
-    return log_rows(spark, sf, dealt=True).selectExpr(
+    return _rows(spark, sf, rows).selectExpr(
         "concat('/x/', filename, '.jsonl') AS filename",
         f"{STAMP} AS timestamp",
         "CASE event_type WHEN 'signup' THEN 'session_meta' WHEN 'view' THEN 'turn_context' "
@@ -155,7 +166,7 @@ def codex(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def gemini(spark: SparkSession, sf: str) -> DataFrame:
+def gemini(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
     """One small chat document per event: a question and an answer with tool calls."""
     question = f"to_json(named_struct('type', 'user', 'timestamp', {STAMP}, 'content', concat('n ', k)))"
     answer = (
@@ -165,6 +176,6 @@ def gemini(spark: SparkSession, sf: str) -> DataFrame:
         f"named_struct('name', tool_name, 'status', if(event_type = 'error', 'error', 'success'), 'timestamp', {STAMP}), "
         f"named_struct('name', if(k % 2 = 0, 'shell', NULL), 'status', 'success', 'timestamp', {STAMP})), NULL)))"
     )
-    return log_rows(spark, sf, dealt=True).selectExpr(
+    return _rows(spark, sf, rows).selectExpr(
         "concat('/g/', project, '/chats/', filename, '.json') AS filename", f"array({question}, {answer}) AS messages"
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sessionmill.functions import display as D
 from sessionmill.functions import values as V
-from sessionmill.operators import attribution, detect, lexicon, resume
+from sessionmill.operators import attribution, detect, lexicon, resume, rollups
 from sessionmill.operators import pricing as P
 from sessionmill.operators.asof import asof
 from sessionmill.plans import overview, terms
@@ -250,22 +250,32 @@ def _messages(source: str) -> Query:
     return query
 
 
-def unified_events(spark: SparkSession, sf: str) -> DataFrame:
-    """All five sources' raw logs to one event table, as a refresh makes it."""
-    raw = {s: getattr(logs, s)(spark, sf) for s in registry.SOURCES}
-    return rounded(registry.unified_events(registry.parse_all(raw), logs.prices(spark, sf)), cost=9)
+def _raw_and_parsed(spark: SparkSession, sf: str) -> tuple[dict[str, registry.Raw], dict[str, registry.Raw]]:
+    """All five sources' raw logs, and what is parsed of them, stored as in a refresh: each log is made and parsed once."""
+    rows = logs.dealt_rows(spark, sf)
+    raw = {s: getattr(logs, s)(spark, sf, rows) for s in registry.SOURCES}
+    # opencode is read from exported tables; messages and sessions are each looked at several times.
+    raw["opencode"] |= {table: adapter.stored(raw["opencode"][table]) for table in ("message", "session")}
+    parsed = registry.parse_all(raw)
+    return raw, {name: adapter.stored(frame) if isinstance(frame, DataFrame) else frame for name, frame in parsed.items()}
+
 
+def _unified(spark: SparkSession, sf: str, parsed: dict[str, registry.Raw]) -> DataFrame:
+    return rounded(registry.unified_events(parsed, logs.prices(spark, sf, adapter.stored)), cost=9)
 
-def _log_rollups(spark: SparkSession, sf: str) -> Rollups:
-    """From all five sources' raw logs to rollups and attributed hits, as a refresh makes them."""
-    raw = {s: getattr(logs, s)(spark, sf) for s in registry.SOURCES}
-    return Rollups(adapter.stored(unified_events(spark, sf)), registry.term_hits(raw, logs.TERMS))
+
+def unified_events(spark: SparkSession, sf: str) -> DataFrame:
+    """All five sources' raw logs to one event table, as a refresh makes it."""
+    return _unified(spark, sf, _raw_and_parsed(spark, sf)[1])
 
 
 def log_sessions(spark: SparkSession, sf: str) -> DataFrame:
     """Raw logs to sessions. Costs are compared by eight places, which no sum here is halfway between."""
     stats = "x.model, coalesce(x.provider, '-'), x.turns, x.in_tok, x.out_tok, x.cache_tok, x.tools, x.errors, x.error_pct"
-    return rounded(_log_rollups(spark, sf).sessions, cost=8).selectExpr(
+    events = adapter.stored(unified_events(spark, sf))
+    tools = adapter.stored(rollups.model_tools(events))
+    table = Rollups(events, model_tools=tools, stats=adapter.stored(rollups.session_model_stats(events, tools))).sessions
+    return rounded(table, cost=8).selectExpr(
         "harness", "filename", "start_time", "end_time", "duration_sec", "project", "cwd", "array_join(models, ',') AS models",
         "cost", "in_tok", "out_tok", "cache_tok", "user_turns", "agent_turns", "errors", "tool_count", "tool_error_count",
         "to_json(tool_breakdown) AS tool_breakdown", "to_json(tool_error_breakdown) AS tool_error_breakdown",
@@ -275,7 +285,10 @@ def log_sessions(spark: SparkSession, sf: str) -> DataFrame:
 
 def log_hits(spark: SparkSession, sf: str) -> DataFrame:
     """Raw logs to term hits with the turn that answers them."""
-    return _log_rollups(spark, sf).hits.drop("hit_id")
+    raw, parsed = _raw_and_parsed(spark, sf)
+    events = adapter.stored(_unified(spark, sf, parsed))
+    hits = adapter.stored(registry.term_hits(raw, logs.TERMS, parsed=parsed, stage=lambda name: adapter.stored))
+    return Rollups(events, hits).hits.drop("hit_id")
 
 
 def display_texts(spark: SparkSession, sf: str) -> DataFrame:
