@@ -124,6 +124,40 @@ def test_small_sets_with_a_common_passage(spark):
     assert rows(got, "doc_id", "n_shingles", "component_id") == brute_jaccard.near_duplicates(texts)
 
 
+@pytest.mark.parametrize("rows_of_a_tile", [2048, 40])
+def test_a_large_group_of_near_copies(spark, monkeypatch, rows_of_a_tile):
+    """Copies with a few words replaced, most pairs just above or below the threshold: no table holds the pairs of the group, and its
+    components are those of all pairs, whether its sets meet in one block or in many."""
+    rng, texts, written = random.Random(5), [], {}
+    for i in range(150):
+        w = [f"b{k}" for k in range(400)]
+        for at in rng.sample(range(400), rng.randrange(4, 8)):
+            w[at] = f"own{i}x{at}"
+        texts.append((i, " ".join(w)))
+    keep = jaccard.Steps.keep
+
+    def counted(self, frame, name):
+        written[name] = keep(self, frame, name).count() if name in ("rest", "near", "tried") else None
+        return self.spark.read.parquet(f"{self.folder}/{name}") if written[name] is not None else keep(self, frame, name)
+
+    monkeypatch.setattr(jaccard.Steps, "keep", counted)
+    monkeypatch.setattr(jaccard, "TILE_ROWS", rows_of_a_tile, raising=False)
+    got = rows(jaccard.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")), "doc_id", "n_shingles", "component_id")
+    assert got == brute_jaccard.near_duplicates(texts)
+    assert 1 < len({c for _, _, c in got}) < 150
+    assert written["tried"] > 0 and max(n for n in written.values() if n is not None) < 4 * 150, written
+
+
+def test_a_run_yields_fewer_rows_than_it_has_classes():
+    """60 classes, each in a component of its own, all near one another: 1770 pairs."""
+    import pyarrow as pa
+
+    parity = [[i, 0, 0, 0, 0, 0, 0, 0] for i in range(60)]
+    run = pa.table({"class": list(range(60)), "component": list(range(60)), "n": pa.array([100] * 60, pa.int32()), "parity": pa.array(parity, pa.list_(pa.int64()))})
+    forest = jaccard.near_forest(run, run)
+    assert sorted(forest.column("b").to_pylist()) == list(range(1, 60)) and set(forest.column("a").to_pylist()) == {0}
+
+
 def test_one_row_of_each_component_is_kept(spark, edge, pairs):
     kept = jaccard.kept(edge)
     assert kept.columns == edge.columns
