@@ -159,6 +159,24 @@ def test_a_run_yields_fewer_rows_than_it_has_classes():
     assert sorted(forest.column("b").to_pylist()) == list(range(1, 60)) and set(forest.column("a").to_pylist()) == {0}
 
 
+@pytest.mark.parametrize("links_of_a_block", [1 << 19, 7, 0])
+def test_few_tables_are_written_for_components(spark, monkeypatch, links_of_a_block):
+    """A path, a ring, a star, repeated and self-links: the same from one block of links, which is one table, and from many."""
+    from sessionmill.llm import graph
+
+    rng = random.Random(11)
+    path = rng.sample(range(1000, 1300), 300)
+    pairs = [*zip(path, path[1:]), *((2000 + i, 2000 + (i + 1) % 40) for i in range(40)), *((3000, 3001 + i) for i in range(50)), (7, 7), (3001, 3000), (3000, 3001)]
+    rng.shuffle(pairs)
+    steps, keep, written = jaccard.Steps(spark), jaccard.Steps.keep, []
+    monkeypatch.setattr(jaccard.Steps, "keep", lambda self, frame, name: written.append(name) or keep(self, frame, name))
+    monkeypatch.setattr(graph, "BLOCK_LINKS", links_of_a_block, raising=False)
+    links = spark.createDataFrame(pairs, "a long, b long").repartition(5)
+    got = sorted(map(tuple, graph.components(links, steps, "c").collect()))
+    assert got == sorted([(n, min(path)) for n in path] + [(2000 + i, 2000) for i in range(40)] + [(3000 + i, 3000) for i in range(51)])
+    assert links_of_a_block < len(pairs) or len(written) == 1
+
+
 def test_one_row_of_each_component_is_kept(spark, edge, pairs):
     kept = jaccard.kept(edge)
     assert kept.columns == edge.columns
