@@ -189,6 +189,22 @@ def test_a_hundred_thousand_entries(spark, shuffled, monkeypatch):
     assert len(found._jdf.queryExecution().toString()) < 200_000 and "t500 é" not in found._jdf.queryExecution().toString()
 
 
+def test_only_tokens_that_open_a_term_become_rows(spark):
+    """Texts of many words, the last of which are a term: the dictionary meets a row for each term's opening, not for each token."""
+    import pyarrow as pa
+
+    frame = spark.range(20).selectExpr("id", "concat(repeat('a plain word ', 50), 'é the end') AS text")
+    found = detect.detect(frame, as_frame(spark, ODD))
+    assert "posexplode" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.start, r.word) for r in found.collect()} == {(653, "the end")} and found.count() == 20
+    batch = pa.RecordBatch.from_pydict({"_message": [1, 2, 3], "_kept": [{"id": i} for i in range(3)], "pass": [1, 1, 2], "text": ["é the end", "none", "the"]})
+    for size in (1 << 20, 1):
+        detect.phrases.SLICE_BYTES, before = size, detect.phrases.SLICE_BYTES
+        rows = [r for b in detect.phrases._cut([batch], pa.array(["the"], pa.large_string()), 1) for r in b.to_pylist()]
+        detect.phrases.SLICE_BYTES = before
+        assert [(r["_message"], r["_place"], r["start"], r["_before"], r["_tokens"]) for r in rows] == [(1, 2, 3, " ", ["the", " "]), (3, 0, 0, None, ["the"])]
+
+
 @pytest.mark.parametrize("mode", ["compat", "token"])
 def test_hits_of_a_word_stay_where_they_are_found(spark, mode):
     """A small dictionary is sent to the hits: a word that is in every text does not gather them in one task."""
