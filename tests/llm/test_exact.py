@@ -159,6 +159,55 @@ def test_a_run_yields_fewer_rows_than_it_has_classes():
     assert sorted(forest.column("b").to_pylist()) == list(range(1, 60)) and set(forest.column("a").to_pylist()) == {0}
 
 
+def test_wide_parities_bound_what_sets_do_not_share():
+    """Whatever the widths: no more than the members not in common, and for sets without common members too many for a link."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    n = np.array([0, 300, 853, 854, 900, 1000, 1700, 1710, 2100, 5000, 6200])
+    sets = [np.sort(rng.integers(0, 1 << 62, k).astype(np.uint64)) for k in n]
+    wide = jaccard.wide_parities(np.concatenate(sets), n)
+    assert [w and len(w) for w in wide] == [None, None, None, 16, 16, 16, 16, 32, 32, 64, 64]
+    table = pa.table({"wide": pa.array(wide, pa.list_(pa.int64()))})
+    forms = jaccard.Wide(table)
+    for i in range(3, len(n)):
+        for j in range(3, i):
+            if 100 * n[j] >= 80 * n[i]:
+                size = min(forms.size[i], forms.size[j])
+                apart = jaccard._apart(forms.of(np.array([i]), size), forms.of(np.array([j]), size))[0]
+                assert n[i] + n[j] < 9 * apart <= 9 * (n[i] + n[j])
+    near = np.sort(np.concatenate([sets[8][:1705], rng.integers(0, 1 << 62, 5).astype(np.uint64)]))
+    one, two = jaccard.wide_parities(np.concatenate([sets[8][:1700], near]), np.array([1700, 1710]))
+    one, two = np.array(one), np.array(two)
+    assert len(two) == 2 * len(one) and np.bitwise_count((two[: len(one)] ^ two[len(one) :]) ^ one).sum() <= 10
+
+
+@pytest.mark.parametrize("rows_of_a_part", [512, 2])
+def test_large_texts_with_a_common_passage_are_not_near(spark, monkeypatch, rows_of_a_part):
+    """Large texts that agree on segments of a passage and on nothing else: only links are written with their sets, and no table
+    holds the segments' keys."""
+    rng, texts, written = random.Random(8), [], {}
+    passage = [f"c{i}" for i in range(200)]
+    for i in range(7):  # fewer than FREQUENT
+        texts.append((i, " ".join(passage + [f"own{i}x{k}" for k in range(1800 + rng.randrange(200))])))
+    w = texts[4][1].split()
+    w[700] = w[1500] = "changed"
+    texts.append((100, " ".join(w)))
+    keep = jaccard.Steps.keep
+
+    def counted(self, frame, name):
+        written[name] = keep(self, frame, name).collect()
+        assert not {"keys", "owners"} & set(frame.columns)
+        return self.spark.read.schema(frame.schema).parquet(f"{self.folder}/{name}")
+
+    monkeypatch.setattr(jaccard.Steps, "keep", counted)
+    monkeypatch.setattr(jaccard, "RUN_ROWS", rows_of_a_part, raising=False)
+    got = rows(jaccard.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")), "doc_id", "n_shingles", "component_id")
+    assert got == brute_jaccard.near_duplicates(texts)
+    assert len({c for _, _, c in got}) == 7
+    assert len(written["edges"]) == 1 and len(written["open"]) > 1 and not written["near"]
+
+
 @pytest.mark.parametrize("links_of_a_block", [1 << 19, 7, 0])
 def test_few_tables_are_written_for_components(spark, monkeypatch, links_of_a_block):
     """A path, a ring, a star, repeated and self-links: the same from one block of links, which is one table, and from many."""
